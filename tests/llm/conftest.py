@@ -1,0 +1,8 @@
+import pytest
+
+from curbline.plans.session import build_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return build_session("curbline-llm-tests", "local[4]", 4)
