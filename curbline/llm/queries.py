@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import bpe, decontam, secrets, simhash, topk, toxicity, warc
+from curbline.llm import bpe, decontam, secrets, simhash, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op3_warc": op3_warc,
         "op4_toxicity": op4_toxicity,
         "op6_bpe": op6_bpe,
+        "op7_substring": op7_substring,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
         "op10_simhash": op10_simhash,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_warc": warc.ORACLE, "op8_topk": topk.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_warc": warc.ORACLE, "op7_substring": substring.ORACLE, "op8_topk": topk.ORACLE}
