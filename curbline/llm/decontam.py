@@ -17,26 +17,23 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 500_000
 
-#: White space between words: the ASCII characters 9 to 13 and 32.
-SPACES = r"[\x09-\x0D\x20]+"
 
+def _spaced(text: Column) -> Column:
+    return F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
-
-
-def _windows(words: Column, width: int) -> Column:
-    """Arrays of width neighbouring words as structs; none if there are fewer."""
-    n = F.greatest(F.size(words) - (width - 1), F.lit(0))
-    return F.arrays_zip(*(F.slice(words, F.lit(i + 1), n).alias(f"w{i}") for i in range(width)))
 
-
-def _hash(window: str, width: int) -> Column:
-    return F.xxhash64(*(F.col(f"{window}.w{i}") for i in range(width)))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(_spaced(text), " "), "")
 
 
-def _text(window: str, width: int) -> Column:
-    return F.concat_ws(" ", *(F.col(f"{window}.w{i}") for i in range(width)))
+def shingle_rows(rows: DataFrame, width: int) -> DataFrame:
+    """A row for each place of width neighbouring words: the other columns, w1, w2, ... and h, their hash. The explode is of places
+    only, so the words are read from the row's one array by generated code."""
+    rest = [F.col(c) for c in rows.columns if c != "words"]
+    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width)).otherwise(F.array().cast("array<int>"))
+    placed = rows.select(*rest, "words", F.explode(places).alias("i"))
+    words = [F.get("words", F.col("i") + k) for k in range(width)]
+    return placed.select(*rest, F.xxhash64(*words).alias("h"), *(w.alias(f"w{k}") for k, w in enumerate(words)))
 
 
 def item_shingles(items: DataFrame, width: int, item_id: str, text: str) -> DataFrame:
@@ -45,8 +42,8 @@ def item_shingles(items: DataFrame, width: int, item_id: str, text: str) -> Data
     words = items.select(F.col(item_id).alias("item_id"), _words(F.col(text).cast("string")).alias("words"))
     size = F.size("words")
     words = words.where(size >= SHINGLE if width == SHINGLE else size == width)
-    rows = words.select("item_id", F.explode(_windows(F.col("words"), width)).alias("w"))
-    rows = rows.select("item_id", _text("w", width).alias("shingle"), _hash("w", width).alias("h")).distinct()
+    shingle = F.concat_ws(" ", *(f"w{k}" for k in range(width)))
+    rows = shingle_rows(words, width).select("item_id", shingle.alias("shingle"), "h").distinct()
     sizes = rows.groupBy("item_id").agg(F.count("*").alias("n"))
     return rows.join(sizes, "item_id")
 
@@ -74,8 +71,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         shingles = item_shingles(items, width, item_id, item_text)
         sketch = sketches(shingles, threshold)
         sketch = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
-        hashed = rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(_windows(_words(F.col("text")), width)).alias("w"))
-        found = hashed.select("doc_id", "th", _hash("w", width).alias("h")).join(sketch, "h").select("doc_id", "th", "item_id")
+        hashed = shingle_rows(rows.select("doc_id", F.xxhash64("text").alias("th"), _words(F.col("text")).alias("words")), width)
+        found = hashed.select("doc_id", "th", "h").join(sketch, "h").select("doc_id", "th", "item_id")
         pairs = found if pairs is None else pairs.unionByName(found)
         every = shingles if every is None else every.unionByName(shingles)
     pairs = pairs.distinct()
@@ -83,10 +80,11 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     bodies = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     held = pairs.join(bodies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).join(whole, "item_id")
     body = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" "))
-    held = held.select("doc_id", "item_id", "shingles", body.alias("body"))
-    n_found = F.size(F.filter("shingles", lambda s: F.contains(F.col("body"), F.concat(F.lit(" "), s, F.lit(" ")))))
-    held = held.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), n_found.cast("long").alias("n_found"))
-    held = held.where(F.col("n_found") >= threshold * F.col("n_shingles") - 1e-9).distinct()
+    # the explode keeps the optimiser from computing the body anew for every shingle
+    asked = held.select("doc_id", "th", "item_id", body.alias("body"), "shingles").select("doc_id", "th", "item_id", "body", F.explode("shingles").alias("s"))
+    found = F.contains(F.col("body"), F.concat(F.lit(" "), F.col("s"), F.lit(" ")))
+    held = asked.groupBy("doc_id", "th", "item_id").agg(F.count("*").alias("n_shingles"), F.count_if(found).alias("n_found"))
+    held = held.where(F.col("n_found") >= threshold * F.col("n_shingles") - 1e-9).select("doc_id", "item_id", "n_shingles", "n_found").distinct()
     return held.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
 
 
