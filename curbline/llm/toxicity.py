@@ -118,7 +118,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     if n > most:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.join(known, "id").select("text", "y")
+    # ids and labels of the training rows are bounded by most, whatever the corpus: texts stay where they are
+    return rows.join(F.broadcast(known), "id").select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
