@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import bpe, decontam, secrets, simhash, substring, topk, toxicity, warc
+from curbline.llm import bpe, decontam, html_crf, lang_id, secrets, simhash, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lang_id.identify(docs, lang_id.train(docs))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "n_segments")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -54,9 +63,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": op1_language,
         "op2_decontamination": op2_decontamination,
         "op3_warc": op3_warc,
         "op4_toxicity": op4_toxicity,
+        "op5_html": op5_html,
         "op6_bpe": op6_bpe,
         "op7_substring": op7_substring,
         "op8_topk": op8_topk,
