@@ -18,6 +18,7 @@ one rank need a collision in both.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -146,16 +147,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((gram.view(np.int64), kind.view(np.int64), docs[number], ties[number] + low + off, (high - low).astype(np.int32), lead.astype(np.int32)))
         if not found:
             continue
-        gram, kind, doc, low, span, lead = (np.concatenate(c) for c in zip(*found, strict=True))
-        by = np.lexsort((low, doc, kind, gram))  # what is not first in its own batch need not meet the others
-        same = np.r_[False, (gram[by][1:] == gram[by][:-1]) & (kind[by][1:] == kind[by][:-1])] if len(by) else np.zeros(0, bool)
-        late = np.zeros(len(by), np.int32)
-        late[by] = same
-        again = np.zeros(len(by), bool)  # a row that repeats the very position is the same anchor
-        again[by] = same & np.r_[False, (doc[by][1:] == doc[by][:-1]) & (low[by][1:] == low[by][:-1])][: len(by)]
-        deal = np.where(late, (doc * 1_000_003 + low), gram)
-        columns = {"deal": deal, "late": late, "gram": gram, "kind": kind, "doc": doc, "low": low, "span": span, "lead": lead}
-        yield _batch({k: v[~again] for k, v in columns.items()})
+        yield _settled(found)
+
+
+def _settled(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (gram, kind, doc, low, span, lead) of one batch with what they are dealt by. Those not first of their class in the batch
+    need not meet the others: only where they start matters, and they are dealt by that. A row of the very same place counts once."""
+    gram, kind, doc, low, span, lead = (np.concatenate(c) for c in zip(*found, strict=True))
+    by = np.lexsort((low, doc, kind, gram))
+    gram, kind, doc, low, span, lead = (c[by] for c in (gram, kind, doc, low, span, lead))
+    same = np.r_[False, (gram[1:] == gram[:-1]) & (kind[1:] == kind[:-1])][: len(by)]
+    again = same & np.r_[False, (doc[1:] == doc[:-1]) & (low[1:] == low[:-1])][: len(by)]
+    deal = np.where(same, doc * 1_000_003 + low, gram)
+    gram, kind, lead = (np.where(same, 0, c).astype(c.dtype) for c in (gram, kind, lead))
+    columns = {"deal": deal, "late": same.astype(np.int32), "gram": gram, "kind": kind, "doc": doc, "low": low, "span": span.astype(np.int32), "lead": lead.astype(np.int32)}
+    return _batch({k: v[~again] for k, v in columns.items()})
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +223,10 @@ def _hashed(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of first anchors, runs of BLOCK windows at the same places before the anchor: core is the rank of the text that all windows of the
-    place share, full the class of the text of the windows there are."""
+    """Of first anchors, runs of BLOCK windows at the same places before the anchor: gram is the rank of the text that all windows of the
+    place share, kind the class of the text of the windows there are."""
     for batch in batches:
+        found = []
         for doc, tie, text, low, span, lead, gram in _of_text(batch):
             b0, b1 = (lead - span) // BLOCK, lead // BLOCK
             n = b1 - b0 + 1
@@ -228,19 +235,26 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor = (low + lead)[at]
             start = anchor - np.minimum(lead[at], BLOCK * b + BLOCK - 1)
             stop = anchor - np.maximum((lead - span)[at], BLOCK * b)
-            core = _hashed(text, anchor - BLOCK * b, np.full(len(b), LENGTH - BLOCK + 1)) + _mix(gram[at].view(np.uint64) + b.astype(np.uint64))
+            core = _mix(_hashed(text, anchor - BLOCK * b, np.full(len(b), LENGTH - BLOCK + 1)) + _mix(gram[at].view(np.uint64) + b.astype(np.uint64)))
             full = _hashed(text, start, stop - start + LENGTH) + _mix((anchor - start).astype(np.uint64))
-            yield _batch({"core": _mix(core).view(np.int64), "full": full.view(np.int64), "doc": np.full(len(b), doc, np.int64), "low": start + tie, "span": (stop - start).astype(np.int32)})
+            found.append((core.view(np.int64), full.view(np.int64), np.full(len(b), doc, np.int64), start + tie, stop - start, np.zeros(len(b), np.int64)))
+        if found:
+            yield _settled(found)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the runs left, each window: its rank and where it starts. gram holds the run's core."""
+    """Of the runs left, each window. Its rank is made of the run's and of its own text, so that a rank has one class."""
     for batch in batches:
+        found = []
         for doc, tie, text, low, span, _, core in _of_text(batch):
             at = np.repeat(np.arange(len(low)), span + 1)
             p = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
             own = _hashed(text, p, np.full(len(p), LENGTH))
-            yield _batch({"core": core[at], "full": own.view(np.int64), "doc": np.full(len(p), doc, np.int64), "low": p + tie, "span": np.zeros(len(p), np.int32)})
+            rank = _mix(own + _mix(core[at].view(np.uint64)))
+            zero = np.zeros(len(p), np.int64)
+            found.append((rank.view(np.int64), own.view(np.int64), np.full(len(p), doc, np.int64), p + tie, zero, zero))
+        if found:
+            yield _settled(found)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -286,35 +300,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(doc_id)).alias("doc"), _tie(body).alias("tie"), body.alias("text"))
-    anchors = rows.select("doc", "tie", "text").mapInArrow(_anchor_rows, ANCHOR)
-    ranked = anchors.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low")
-    table = f"{checkpoint_dir(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    ranked.mapInArrow(_mark_rows, MARK).write.parquet(table)
-    marks = docs.sparkSession.read.schema(MARK).parquet(table)
+    spark, tie, name = docs.sparkSession, F.shiftright("low", 32), uuid.uuid4().hex
 
-    tie = F.shiftright("low", 32)
+    def ranked(found: DataFrame, step: str) -> DataFrame:
+        """The marked rows of one round, as a table in the shared folder; the shuffle that sorted them can go then."""
+        table = f"{checkpoint_dir(spark)}/repeats-{name}/{step}"
+        found.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low").mapInArrow(_mark_rows, MARK).write.parquet(table)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return spark.read.schema(MARK).parquet(table)
 
     def with_text(parts: DataFrame) -> DataFrame:
-        """(doc_id, doc, tie, text, parts): all joins read one exchange of the texts."""
+        """(doc_id, doc, tie, text, parts) of the texts that have parts."""
         lists = parts.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span", "lead", "gram")).alias("parts"))  # of one text
         return rows.join(lists, ["doc", "tie"]).select("doc_id", "doc", "tie", "text", "parts")
 
-    runs = "core long, full long, doc long, low long, span int"
-    place = F.struct("doc", "low", "span")
-
-    def ranks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Later members of the classes, and the classes."""
-        classes = found.groupBy("core", "full").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        several = classes.where(F.col("first") != F.col("last")).select("core", "full", "first")
-        return found.join(several, ["core", "full"]).where(place != F.col("first")).select("doc", "low", "span"), classes
-
-    blocks = with_text(marks.where("part")).mapInArrow(_block_rows, runs)
-    later_blocks, classes = ranks(blocks)
-    mixed = classes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    mixed = classes.join(mixed, "core").select("first.doc", "first.low", "first.span", F.lit(0).alias("lead"), F.col("core").alias("gram"))
-    later_windows, _ = ranks(with_text(mixed).mapInArrow(_window_rows, runs))
+    marks = [ranked(rows.select("doc", "tie", "text").mapInArrow(_anchor_rows, ANCHOR), "anchors")]
+    marks.append(ranked(with_text(marks[0].where("part")).mapInArrow(_block_rows, ANCHOR), "blocks"))
+    marks.append(ranked(with_text(marks[1].where("part")).mapInArrow(_window_rows, ANCHOR), "windows"))
 
-    cover = marks.where("not part").select("doc", "low", "span").unionByName(later_blocks).unionByName(later_windows)
+    cover = marks[0].unionByName(marks[1]).unionByName(marks[2]).where("not part").select("doc", "low", "span")
     cover = cover.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span")).alias("cover"))  # of one text
     whole = rows.join(cover, ["doc", "tie"], "left").select("doc_id", "tie", "text", "cover")
     return whole.mapInArrow(_finish, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {RESULT}, kept binary")
