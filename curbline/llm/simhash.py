@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from curbline.operators.components import connected_components
 from curbline.plans.session import cut
@@ -52,16 +53,17 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id long, fp long): fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", other: str | None = None) -> DataFrame:
+    """(doc_id long, fp long): fp is the fingerprint as a signed 64-bit integer. A further long column can come along as other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    more = [F.col(other).cast("long").alias("other")] if other else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", other long" * bool(other))
 
 
 # ------------------------------------------------------------------------------------------------- bit-sliced core
@@ -233,6 +235,16 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile:
     return dealt.mapInArrow(_compare_sorted(radius), "a long, b long")
 
 
+def _classes(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of own (doc_id, fp)."""
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    parts = connected_components(links(distinct.select("fp"), radius))
+    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    named = named.withColumn("root", F.coalesce("component", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -241,11 +253,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result; further columns are not looked at.
     """
     own = cut(fingerprints(docs, doc_id, text))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(distinct.select("fp"), radius)
-    parts = connected_components(edges)
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
+    classes = _classes(own, radius).select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, null ids last. Of rows that repeat the id the one
+    with the least text hash stays, of equal rows one. All columns stay."""
+    hashed = docs.withColumn("_hash", F.coalesce(F.xxhash64(F.col(text)), F.lit(0)))
+    own = cut(fingerprints(hashed, doc_id, text, "_hash"))
+    rows = own.join(_classes(own, radius).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other")).alias("first")
+    winners = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.other").alias("_other"))
+    kept = hashed.join(winners, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other"))).drop("_id", "_other")
+    same = Window.partitionBy(doc_id, "_hash").orderBy("_hash")
+    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy", "_hash")
