@@ -83,16 +83,16 @@ def aggregate_clusters(members: DataFrame, group: str, order: str = "det_idx", t
     reason = F.concat_ws(
         "; ",
         F.when(F.col("sighting_count") == 1, "Single sighting"),
-        F.when(F.col("confidence") < LOW_CONFIDENCE, F.format_string("Low confidence (%.2f)", "confidence")),
+        F.when(F.col("confidence") < LOW_CONFIDENCE, F.format_string("Low confidence (%.2f)", F.round("confidence", 9))),
         F.when(
             (F.col("class_vote_pct") < SPLIT_VOTE) & F.col("second_class").isNotNull(),
-            F.format_string("Split class vote (%s %.0f%% / %s %.0f%%)", "top_class", F.col("class_vote_pct") * 100, "second_class", F.col("second_n") / F.col("total") * 100),
+            F.format_string("Split class vote (%s %.0f%% / %s %.0f%%)", "top_class", F.round(F.col("class_vote_pct") * 100, 9), "second_class", F.round(F.col("second_n") / F.col("total") * 100, 9)),
         ),
     )
     out = out.withColumn("review_reason", F.nullif(reason, F.lit(""))).withColumn("needs_review", F.col("review_reason").isNotNull())
     return out.select(
-        group, F.col("top_class").alias("sign_class"), F.round("confidence", 4).alias("confidence"), "sighting_count", "needs_review", "review_reason",
-        F.round("class_vote_pct", 4).alias("class_vote_pct"), "first_seen_ts", "best_frame_ts", "best_det", F.round("lat_median", 8).alias("lat_median"),
+        group, F.col("top_class").alias("sign_class"), F.round("confidence", 6).alias("confidence"), "sighting_count", "needs_review", "review_reason",
+        F.round("class_vote_pct", 6).alias("class_vote_pct"), "first_seen_ts", "best_frame_ts", "best_det", F.round("lat_median", 8).alias("lat_median"),
         F.round("lon_median", 8).alias("lon_median"), F.round("lat_std", 8).alias("lat_std"), F.round("lon_std", 8).alias("lon_std"),
     )
 
