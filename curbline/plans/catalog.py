@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.plans import tracks
+from curbline.plans import curation, tracks
 
-_MODULES = (tracks,)
+_MODULES = (tracks, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
