@@ -41,7 +41,7 @@ def best_hits(hits: DataFrame, frame: str = "frame", bucket: str = "bucket") ->
 def dominant_class(boxes: DataFrame, stems: DataFrame, stem: str = "stem", cls: str = "class_idx", order: str = "line_no") -> DataFrame:
     """The most frequent class of each stem, the first seen of equal ones; -1 without boxes."""
     votes = boxes.groupBy(stem, cls).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    top = votes.groupBy(stem).agg(F.max_by(cls, F.struct("n", (-F.col("first")).alias("f"))).alias("dominant"))
+    top = votes.groupBy(stem).agg(F.min_by(cls, F.struct((-F.col("n")).alias("m"), "first", cls)).alias("dominant"))
     return stems.select(stem).distinct().join(top, stem, "left").withColumn("dominant", F.coalesce("dominant", F.lit(-1)))
 
 

@@ -26,7 +26,7 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, share: float = 0.8
     """Each stratum's first max(1, floor(share * n)) rows are train; the stratum of empties may have none."""
     n = F.count("*").over(Window.partitionBy(stratum))
     cut = F.floor(n * share)
-    cut = F.when(F.col(stratum) == empty, cut).otherwise(F.greatest(F.lit(1), cut))
+    cut = F.when(F.col(stratum).cast("string") == str(empty), cut).otherwise(F.greatest(F.lit(1), cut))
     return rows.withColumn("split", F.when(_rank(seed, key, (stratum,)) <= cut, "train").otherwise("val"))
 
 
@@ -147,10 +147,11 @@ def select_for_classes(rows: DataFrame, scores: dict[str, Column], budgets: dict
     """county_capped for each class in order, counties and rows used by earlier classes counting. The loop is over classes, a handful; picks are bounded
     by the budgets."""
     spark, picked = rows.sparkSession, None
+    columns = [*rows.columns, "score", "target_class"]
     for cls, score in scores.items():
         left = rows if picked is None else rows.join(picked.select(key), key, "left_anti")
         used = None if picked is None else picked.groupBy(county).agg(F.count("*").alias("n"))
-        got = county_capped(left, score, key, county, budgets[cls], cap, used).withColumn("target_class", F.lit(cls)).collect()  # at most the budget
-        frame = spark.createDataFrame(got, schema=picked.schema if picked is not None else None) if got else None
-        picked = frame if picked is None else picked if frame is None else picked.unionByName(frame)
-    return picked if picked is not None else rows.limit(0)
+        chosen = county_capped(left, score.cast("double"), key, county, budgets[cls], cap, used).withColumn("target_class", F.lit(cls)).select(*columns)
+        frame = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most the budget
+        picked = frame if picked is None else picked.unionByName(frame)
+    return picked

@@ -315,7 +315,7 @@ ORACLES = {
     "first_wins_dedupe": f"WITH {LL}, k AS (SELECT stem_no % 1000 AS key, stem_no % 5 AS round, stem, line_no, row_number() OVER (PARTITION BY stem_no % 1000 ORDER BY stem_no % 5, stem, line_no) AS n FROM ll) SELECT key, round, stem, line_no FROM k WHERE n = 1",
     "topk_per_bucket": f"WITH {BX}, k AS (SELECT cls, idx, CAST(row_number() OVER (PARTITION BY cls ORDER BY conf DESC, idx) AS INTEGER) AS rank FROM bx) SELECT * FROM k WHERE rank <= 10",
     "best_hit_per_frame": f"WITH {BX}, k AS (SELECT image AS frame, cls AS bucket, round(conf, 1) AS score, cls AS predicted_class, CASE WHEN pred THEN 'model' ELSE 'heuristic' END AS method, row_number() OVER (PARTITION BY image, cls ORDER BY round(conf, 1) DESC, pred DESC, idx) AS n FROM bx) SELECT frame, bucket, score, predicted_class, method FROM k WHERE n = 1",
-    "dominant_class": f"WITH {LL}, v AS (SELECT stem, class_idx, count(*) AS n, min(line_no) AS f FROM ll WHERE line_no > 1 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, f) AS r FROM v) SELECT s.stem, coalesce(class_idx, -1) AS dominant FROM (SELECT DISTINCT stem FROM ll) s LEFT JOIN k ON s.stem = k.stem AND r = 1",
+    "dominant_class": f"WITH {LL}, v AS (SELECT stem, class_idx, count(*) AS n, min(line_no) AS f FROM ll WHERE line_no > 1 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, f, class_idx) AS r FROM v) SELECT s.stem, coalesce(class_idx, -1) AS dominant FROM (SELECT DISTINCT stem FROM ll) s LEFT JOIN (SELECT stem, class_idx FROM k WHERE r = 1) t ON s.stem = t.stem",
     "frame_targets": f"WITH {LL} SELECT stem, coalesce(array_to_string(list_sort(list_distinct(list(class_idx) FILTER (class_idx IN (1, 3, 10, 11)))), '|'), '') AS targeted_classes, round(coalesce(max(w * h) FILTER (class_idx IN (1, 3, 10, 11)), 0), 6) AS max_area FROM ll GROUP BY 1",
     "class_support": f"WITH {LL} SELECT c.cls, count(class_idx) AS n, count(class_idx) < 2500 AS few FROM (SELECT CAST(range AS INTEGER) AS cls FROM range(30)) c LEFT JOIN ll ON cls = class_idx GROUP BY 1",
     "close_range": f"WITH {LL} SELECT stem, line_no, class_idx FROM ll WHERE class_idx IN (3, 4, 5, 6) AND (w > 0.08 OR h > 0.08)",
