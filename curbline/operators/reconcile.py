@@ -36,8 +36,9 @@ def missing(clusters: DataFrame, inventory: DataFrame, matched: DataFrame, radiu
     """Inventory signs in reach of a cluster that no cluster matched, but for classes the inventory does not cover. Without any located cluster
     every such sign is missing."""
     asked = inventory.where(~F.col("inv_class").isin(*NOT_INVENTORIED)).join(matched.select("inv_ord").distinct(), "inv_ord", "left_anti")
-    points = clusters.where("lat_median is not null and lon_median is not null").select(F.col("lat_median").alias("r_lat"), F.col("lon_median").alias("r_lon"))
-    reached = within(asked.select("inv_ord", "inv_lat", "inv_lon"), points, radius_m, (), ("inv_lat", "inv_lon")).select("inv_ord").distinct()
+    points = clusters.where("lat_median is not null and lon_median is not null").select(F.col("lat_median").alias("r_lat"), F.col("lon_median").alias("r_lon")).distinct()
+    places = within(asked.select("inv_lat", "inv_lon").distinct(), points, radius_m, (), ("inv_lat", "inv_lon")).select("inv_lat", "inv_lon").distinct()
+    reached = asked.join(places, ["inv_lat", "inv_lon"]).select("inv_ord")
     located = points.agg((F.count("*") > 0).alias("any"))
     out = asked.join(reached.withColumn("reached", F.lit(True)), "inv_ord", "left").join(F.broadcast(located), F.lit(True))
     return out.where("reached or not any").drop("reached", "any")

@@ -45,7 +45,12 @@ def within(left: DataFrame, right: DataFrame, radius_m: float, by: tuple[str, ..
 def nearest(left: DataFrame, right: DataFrame, radius_m: float, key: str, order: str, left_at: tuple[str, str] = ("lat", "lon"),
             right_at: tuple[str, str] = ("r_lat", "r_lon"), keep: tuple[str, ...] = ()) -> DataFrame:
     """For each left key the nearest right row within the radius: key, dist_m, order and the kept columns. Equal distances go to the lower order.
-    The minimum is aggregated map-side; no row is sorted."""
-    pairs = within(left.select(key, *left_at), right.select(order, *keep, *right_at), radius_m, (), left_at, right_at)
-    best = pairs.groupBy(key).agg(F.min(F.struct("dist_m", order, *keep)).alias("b"))
-    return best.select(key, "b.*")
+
+    Rows at the very same place are one point of the join, on either side: a standing vehicle or a pole with many signs costs no pairs. The minimum
+    is aggregated map-side; no row is sorted.
+    """
+    places = right.groupBy(*right_at).agg(F.min(F.struct(order, *keep)).alias("_r"))
+    pairs = within(left.select(*left_at).distinct(), places, radius_m, (), left_at, right_at)
+    best = pairs.groupBy(*left_at).agg(F.min(F.struct("dist_m", "_r")).alias("b"))
+    found = left.select(key, *left_at).join(best, list(left_at))
+    return found.select(key, F.col("b.dist_m").alias("dist_m"), F.col("b._r").getField(order).alias(order), *(F.col("b._r").getField(k).alias(k) for k in keep))
