@@ -206,18 +206,19 @@ class Field:
 
 
 # ------------------------------------------------------------------------------------------------------ training
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 300, rate: float = 0.3, ridge: float = 2e-4) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 160, rate: float = 0.4, ridge: float = 2e-4) -> Field:
     """Maximises the penalised log-likelihood; forward and backward sums run over all pages at once."""
     pages = [p for p in pages if p[0]]
     index: dict[str, int] = {}
     rows = [[[index.setdefault(f, len(index)) for g in features(b) for f in g] for b in bs] for bs, _ in pages]
     n, steps = len(pages), max(len(r) for r in rows)
-    x = np.zeros((n, steps, len(index)), np.float32)
     y, mask = np.zeros((n, steps), int), np.zeros((n, steps), bool)
     for p, (row, (_, labels)) in enumerate(zip(rows, pages, strict=True)):
-        for i, found in enumerate(row):
-            x[p, i, found] = 1
-            y[p, i], mask[p, i] = labels[i], True
+        y[p, : len(row)], mask[p, : len(row)] = labels, True
+    flat = [found for row in rows for found in row]
+    x = np.zeros((len(flat), len(index)), np.float32)  # the blocks of all pages, in the order of mask
+    for i, found in enumerate(flat):
+        x[i, found] = 1
     w, move = np.zeros(len(index)), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
     lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
@@ -225,8 +226,8 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 300, rate: f
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
     for k in range(1, rounds + 1):
-        s = x @ w.astype(np.float32)
-        unary = np.stack([np.zeros_like(s), s], axis=2).astype(float)
+        unary = np.zeros((n, steps, 2))
+        unary[mask, 1] = x @ w.astype(np.float32)
         ahead, behind = np.zeros_like(unary), np.zeros_like(unary)
         ahead[:, 0] = unary[:, 0]
         for t in range(1, steps):
@@ -238,7 +239,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 300, rate: f
         z = lse(ahead[:, -1], 1)
         p = np.exp(ahead + behind - z[:, None, None])
         pair = np.exp(ahead[:, :-1, :, None] + move + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        g = np.tensordot((y - p[:, :, 1]) * mask, x, axes=([0, 1], [0, 1])) / n - ridge * w
+        g = (y - p[:, :, 1])[mask].astype(np.float32) @ x / n - ridge * w
         gm = (seen - (pair * both[:, :, None, None]).sum(axis=(0, 1))) / n - 0.05 * move
         for v, grad, m, q in ((w, g, state[0], state[1]), (move, gm, state[2], state[3])):
             m += 0.1 * (grad - m)
