@@ -88,3 +88,38 @@ def class_support(boxes: DataFrame, classes: DataFrame, cls: str = "cls", few: i
     """Boxes of every class, those without included, and whether they are too few."""
     counts = boxes.groupBy(cls).agg(F.count("*").alias("n"))
     return classes.select(cls).join(counts, cls, "left").select(cls, F.coalesce("n", F.lit(0)).alias("n")).withColumn("few", F.col("n") < few)
+
+
+# 0 leaves a road type out, others are ranks of preference; unknown types come last.
+ROAD_PRIORITY = {"Interstate": 0, "US Route": 1, "WV Route": 1, "Municipal Non-State": 1, "County Route": 2, "Federal Aid Non-State": 2}
+UNKNOWN_PRIORITY = 3
+
+
+def by_road_priority(rows: DataFrame, road: str, priorities: dict[str, int] | None = None) -> DataFrame:
+    """rows with priority; those of priority 0 go."""
+    mapping = F.create_map(*(F.lit(x) for kv in (priorities or ROAD_PRIORITY).items() for x in kv))
+    return rows.withColumn("priority", F.coalesce(F.try_element_at(mapping, F.col(road)), F.lit(UNKNOWN_PRIORITY))).where("priority > 0")
+
+
+def drop_unlocated(frames: DataFrame, name: str = "location") -> DataFrame:
+    """Frames that have a position; kept and skipped are counted on the way, as observed metrics."""
+    seen = frames.observe(name, F.count("lat").alias("kept"), (F.count(F.lit(1)) - F.count("lat")).alias("skipped"))
+    return seen.where("lat is not null and lon is not null")
+
+
+def candidate_counts(rows: DataFrame, video: str, cls: str, classes: list[str]) -> DataFrame:
+    """One row a video with a column a class: the classes are given, so that there is one pass."""
+    return rows.groupBy(video).pivot(cls, classes).agg(F.count(F.lit(1))).na.fill(0, classes)
+
+
+def recover_ids(rows: DataFrame, found: Column, order: str) -> DataFrame:
+    """rows with cluster_id: the found one, or numbers above the largest found in the order of the rows that have none."""
+    top = rows.agg(F.coalesce(F.max(found), F.lit(0)).alias("_top"))
+    known = rows.where(found.isNotNull()).withColumn("cluster_id", found)
+    rest = rows.where(found.isNull()).join(F.broadcast(top), F.lit(True)).withColumn("cluster_id", F.col("_top") + F.row_number().over(Window.orderBy(order))).drop("_top")
+    return known.unionByName(rest)
+
+
+def pending(items: DataFrame) -> DataFrame:
+    """QA items still to be resolved, the least confident first; those without a confidence come last."""
+    return items.where("resolution is null and coalesce(status, 'pending') = 'pending'").orderBy(F.coalesce("confidence", F.lit(1.0)), "id")

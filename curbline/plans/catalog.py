@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.plans import curation, tracks
+from curbline.plans import curation, extras, tracks
 
-_MODULES = (tracks, curation)
+_MODULES = (tracks, curation, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

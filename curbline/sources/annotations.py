@@ -150,3 +150,17 @@ def dataset_config(path: str) -> dict:
             head, _, tail = images.rpartition("images")
             splits[split] = {"images": images, "labels": f"{head}labels{tail}" if "images" in images else images}
     return {"names": names, "nc": len(names), "splits": splits}
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """Frame clusters (frame_stem, cluster_id, split, keep, targeted_classes) with keep as a boolean and the classes as an array."""
+    rows = spark.read.csv(path, header=True)
+    return rows.withColumn("keep", F.lower("keep") == "true").withColumn("targeted_classes", F.filter(F.split(F.coalesce("targeted_classes", F.lit("")), r"\|"), lambda c: c != ""))
+
+
+def prefix_rules(path: str) -> list[tuple[str, int]]:
+    """Ordered (prefix, class) rules of a YAML file."""
+    import yaml
+
+    with open(path) as f:
+        return [(r["prefix"], r["class"]) for r in yaml.safe_load(f)["rules"]]

@@ -119,3 +119,18 @@ def test_sinks(spark, tmp_path):
     remote = local.limit(2).where("key = 'k'").select("key", F.md5("content").alias("md5"))
     assert [r.key for r in sinks.to_upload(local, remote).collect()] == ["m"]
     assert "curl" in sinks.download_script(spark.createDataFrame([("https://example.com/o/it's", "it's")], "url string, filename string")).first().value
+
+
+def test_clusters_rules_and_routes(spark, tmp_path):
+    from curbline.sources import synthetic
+
+    (tmp_path / "w.csv").write_text("frame_stem,cluster_id,split,keep,targeted_classes\na_1,v_c0,train,True,1|3\nb_2,v_c1,val,False,\n")
+    got = {r.frame_stem: (r.keep, r.targeted_classes) for r in annotations.read_clusters(spark, str(tmp_path / "w.csv")).collect()}
+    assert got == {"a_1": (True, ["1", "3"]), "b_2": (False, [])}
+    (tmp_path / "p.yaml").write_text('rules:\n  - {prefix: "a--", class: 0}\n  - {prefix: "b--", class: 1}\n')
+    assert annotations.prefix_rules(str(tmp_path / "p.yaml")) == [("a--", 0), ("b--", 1)]
+    line = spark.createDataFrame([(1, 0, 38.0, -81.0), (1, 1, 38.0, -80.9)], "line_id int, ord int, lat double, lon double")
+    rows = synthetic.route(line, 50, ["A", "B"]).collect()
+    assert len(rows) == 50 and {r.class_name for r in rows} == {"A", "B"} and all(-81.001 < r.lon < -80.899 for r in rows)
+    again = synthetic.route(line.repartition(5), 50, ["A", "B"]).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
