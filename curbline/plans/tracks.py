@@ -137,9 +137,9 @@ rc AS (SELECT cluster_id, sign_class, CAST(inv_id AS VARCHAR) AS inventory_match
 
 
 def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = views.detections(spark, d).where("det_idx % 5 = 0").select(F.col("det_idx").alias("a"), "video_id", "lat", "lon")
-    b = views.detections(spark, d).where("det_idx % 5 = 1").select(F.col("det_idx").alias("b"), "video_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return spatial.within(a, b, 60.0, ("video_id",)).select("a", "b", F.round("dist_m", 4).alias("dist_m"))
+    a = views.detections(spark, d).select(F.col("det_idx").alias("a"), "video_id", "lat", "lon")
+    b = views.detections(spark, d).select(F.col("det_idx").alias("b"), "video_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return spatial.within(a, b, 60.0, ("video_id",)).where("a < b").select("a", "b", F.round("dist_m", 4).alias("dist_m"))
 
 
 def _tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +228,7 @@ ORACLES = {
     "nearest_inventory": f"WITH {DET}, {INV}, p AS (SELECT det_idx, inv_ord, {_hav('lat', 'lon', 'inv_lat', 'inv_lon')} AS dist FROM d JOIN inv ON abs(lat - inv_lat) < 0.0004), k AS (SELECT *, row_number() OVER (PARTITION BY det_idx ORDER BY dist, inv_ord) AS n FROM p WHERE dist <= 25) SELECT det_idx, inv_ord, round(dist, 4) AS dist_m FROM k WHERE n = 1",
     "missing_inventory": f"{CLUSTERS}, {INV}, {_NEAR} SELECT inv_id, inv_class FROM gone",
     "reconcile": f"{_RECONCILED} SELECT * FROM rc",
-    "haversine_pairs": f"WITH {DET}, p AS (SELECT a.det_idx AS a, b.det_idx AS b, {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist FROM d a JOIN d b ON a.video_id = b.video_id AND a.det_idx % 5 = 0 AND b.det_idx % 5 = 1) SELECT a, b, round(dist, 4) AS dist_m FROM p WHERE dist <= 60",
+    "haversine_pairs": f"WITH {DET}, p AS (SELECT a.det_idx AS a, b.det_idx AS b, {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist FROM d a JOIN d b ON a.video_id = b.video_id AND a.det_idx < b.det_idx) SELECT a, b, round(dist, 4) AS dist_m FROM p WHERE dist <= 60",
     "asof_interpolate": f"""WITH {DET}, f AS (SELECT video_id, frame_ts AS t, min(lat) AS lat, min(lon) AS lon, min(confidence) AS alt FROM d WHERE det_idx % 3 = 0 GROUP BY 1, 2), q AS (SELECT det_idx, video_id, frame_ts AS t FROM d WHERE det_idx % 3 <> 0),
 lo AS (SELECT q.det_idx, q.video_id, q.t, f.t AS t0, f.lat AS a0, f.lon AS o0, f.alt AS z0 FROM q ASOF LEFT JOIN f ON q.video_id = f.video_id AND q.t >= f.t),
 hi AS (SELECT lo.*, f.t AS t1, f.lat AS a1, f.lon AS o1, f.alt AS z1 FROM lo ASOF LEFT JOIN f ON lo.video_id = f.video_id AND lo.t < f.t)
