@@ -30,14 +30,11 @@ def within(left: DataFrame, right: DataFrame, radius_m: float, by: tuple[str, ..
     around = F.array(*(F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_cell", F.explode(around))
     y, x = _cells(F.col(ra), F.col(ro), radius_m, max_abs_lat)
-    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumn("_rcell", F.struct(y.alias("y"), x.alias("x")))
-    same = [a[c].eqNullSafe(b[c]) for c in by]
-    on = (a["_cell.y"] == b["_rcell.y"]) & (a["_cell.x"] == b["_rcell.x"])
-    for s in same:
-        on &= s
-    joined = a.join(b, on)
+    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumn("_rcell", F.struct(y.alias("y"), x.alias("x")))
+    on = (F.col("_cell.y") == F.col("_rcell.y")) & (F.col("_cell.x") == F.col("_rcell.x"))
     for c in by:
-        joined = joined.drop(b[c])
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = a.join(b, on).drop(*(f"_by_{c}" for c in by))
     d = haversine_m(F.col(la), F.col(lo), F.col(ra), F.col(ro))
     return joined.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).drop("_cell", "_rcell")
 
