@@ -14,10 +14,10 @@ TOP_CONFIDENCES, TOP_PLACES = 3, 5
 LOW_CONFIDENCE, SPLIT_VOTE = 0.5, 0.70
 
 
-def near_pairs(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx") -> DataFrame:
-    """(a, b), a < b: detections of one video at most eps_m apart in the plane through the video's mean latitude."""
-    mean = F.avg("lat").over(Window.partitionBy(by))
-    flat = dets.where("lat is not null and lon is not null").select(by, F.col(idx).alias("idx"), plane_x(F.col("lon"), mean).alias("x"), plane_y(F.col("lat")).alias("y"))
+def near_pairs(points: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx", mean_lat: str | None = None) -> DataFrame:
+    """(a, b), a < b: points of one video at most eps_m apart in the plane through the video's mean latitude (a column, or that of the points)."""
+    mean = F.col(mean_lat) if mean_lat else F.avg("lat").over(Window.partitionBy(by))
+    flat = points.where("lat is not null and lon is not null").select(by, F.col(idx).alias("idx"), plane_x(F.col("lon"), mean).alias("x"), plane_y(F.col("lat")).alias("y"))
     cell = lambda c: F.floor(F.col(c) / eps_m)
     around = F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = flat.select(by, F.col("idx").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("c")).select(by, "a", "ax", "ay", "c.cx", "c.cy")
@@ -29,10 +29,16 @@ def near_pairs(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx:
 
 def dbscan(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx") -> DataFrame:
     """dets with component, the smallest detection reachable in steps of at most eps_m: with one sample enough to be a core point, density
-    clusters are the components of that graph, and nothing is noise. Detections without a place are left out."""
-    parts = connected_components(near_pairs(dets, eps_m, by, idx)).withColumnRenamed("node", idx)
+    clusters are the components of that graph, and nothing is noise. Detections without a place are left out.
+
+    Detections at the very same place are one point, so that a standing vehicle makes no pairs.
+    """
     placed = dets.where("lat is not null and lon is not null")
-    return placed.join(parts, idx, "left").withColumn("component", F.coalesce("component", F.col(idx).cast("long")))
+    means = placed.groupBy(by).agg(F.avg("lat").alias("_mean"))
+    spots = placed.groupBy(by, "lat", "lon").agg(F.min(idx).alias("_spot"))
+    parts = connected_components(near_pairs(spots.join(means, by), eps_m, by, "_spot", "_mean")).withColumnRenamed("node", "_spot")
+    spots = spots.join(parts, "_spot", "left").select(by, "lat", "lon", F.coalesce("component", F.col("_spot").cast("long")).alias("component"))
+    return placed.join(spots, [by, "lat", "lon"]).select(*dets.columns, "component")
 
 
 def class_votes(members: DataFrame, group: str, order: str) -> DataFrame:
