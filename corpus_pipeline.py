@@ -19,29 +19,43 @@ from curbline.plans.session import checkpoint_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Texts are long rows: batches of the default 10 000 of them would fill an executor outside its heap.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds what a stage hands to Python at a time. The plan runs after the stage has returned, so the setting stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a determinable language."""
+    _small_batches(spark)
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    _small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    _small_batches(spark)
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; n_chars, where there is one, counts what is left."""
+    _small_batches(spark)
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    _small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
