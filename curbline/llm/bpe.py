@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 CHUNK = 32_768
 OVERLAP = 2_048
 #: Entries of a worker's table from pre-token to ids; a full table starts anew.
-MEMO = 200_000
+MEMO = 100_000
 
 
 class Codec:

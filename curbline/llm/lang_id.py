@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 HIDDEN = 10
 CORE, CONTEXT = 464, 24
 #: Segments computed together; positions of a batch of segments bound the memory.
-BATCH = 1024
+BATCH = 512
 #: Labelled rows learnt from, at most about this many, and the bytes and windows taken of each.
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 2_000
 STEPS, TRAIN_BATCH, TRAIN_LENGTH, RATE = 700, 128, 72, 0.01
@@ -238,8 +238,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 found = model.documents(part.column(1).to_pylist())
                 columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "lang_pred", "score"])
@@ -260,8 +260,8 @@ def keep_identified(docs: DataFrame, model: Model, accept: float = ACCEPT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 found = model.documents(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= accept for lang, score in found], pa.bool_()))
 
