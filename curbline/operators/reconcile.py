@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbline.functions.classify import NOT_INVENTORIED, collapse
 from curbline.functions.geo import CORRIDOR_M_PER_DEG, valid_fix
 from curbline.operators.spatial import nearest, within
+from curbline.plans.session import cut
 
 MATCH_M, MISSING_M, CORRIDOR_M = 25.0, 60.0, 60.0
 
@@ -50,8 +51,9 @@ def reconcile(clusters: DataFrame, inventory: DataFrame, radius_m: float = MATCH
     A matched cluster of another class is a class_mismatch, an unmatched one detected_not_in_inventory, a missing sign
     in_inventory_not_detected; each asks for review and says why.
     """
+    clusters = cut(clusters)  # used many times below
     nearby = in_corridor(inventory.where(valid_fix(F.col("inv_lat"), F.col("inv_lon"))), clusters, corridor_m)
-    matched = match(clusters, nearby, radius_m)
+    matched = cut(match(clusters, nearby, radius_m))
     both = clusters.join(matched, "cluster_id", "left")
     differs = collapse(F.col("sign_class")) != collapse(F.col("inv_class"))
     kind = F.when(F.col("inv_id").isNull(), "detected_not_in_inventory").when(differs, "class_mismatch")
