@@ -62,18 +62,14 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return m.select("idx", "image", "cls", "gt_idx")
 
 
-def ap50(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision of the predictions against rank-one overlaps, which SQL can state: a prediction is true if it has the best overlap of
-    some truth of its class."""
-    scored, g = _true_by_overlap(spark, d)
-    return evaluate.average_precision(scored, g.groupBy("cls").agg(F.count("*").alias("n_gt"))).select("cls", "n_gt", F.round("ap50", 6).alias("ap50"))
+def _average_precision(spark: SparkSession, d: str) -> DataFrame:
+    m, g = _matched(spark, d)
+    return evaluate.average_precision(m.withColumn("is_tp", F.col("gt_idx").isNotNull()), g.groupBy("cls").agg(F.count("*").alias("n_gt")))
 
 
-def _true_by_overlap(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p, g = _sides(spark, d)
-    best = evaluate.best_overlap(g.select("image", "cls", F.col("idx").alias("gt"), "box"), p.select("image", F.col("idx").alias("other_idx"), F.col("cls").alias("pcls"), F.col("box").alias("other_box")), "image", keep=("pcls",))
-    hits = best.where("iou > 0.3 and pcls = cls").select(F.col("other_idx").alias("idx")).distinct().withColumn("hit", F.lit(True))
-    return p.join(hits, "idx", "left").withColumn("is_tp", F.coalesce("hit", F.lit(False))), g
+def ap50(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision a class: a prediction is true if greedy_match gives it a truth. The SQL counts best overlaps over 0.3 of any class instead."""
+    return _average_precision(spark, d).select("cls", "n_gt", F.round("ap50", 6).alias("ap50"))
 
 
 TRUE = f"""{BX}, pr AS (SELECT g.idx AS gt, g.cls, p.idx, p.cls AS pcls, {IOU} AS iou FROM bx g JOIN bx p ON g.image = p.image AND NOT g.pred AND p.pred),
@@ -104,9 +100,7 @@ def recall_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def coarse_mean_ap(spark: SparkSession, d: str) -> DataFrame:
     mapping = spark.createDataFrame([("view", "seen"), ("click", "seen"), ("signup", "done"), ("purchase", "done"), ("error", None)], "cls string, coarse string")
-    scored, g = _true_by_overlap(spark, d)
-    ap = evaluate.average_precision(scored, g.groupBy("cls").agg(F.count("*").alias("n_gt")))
-    return evaluate.coarse_mean(ap, mapping).select("coarse", F.round("mean_ap50", 6).alias("mean_ap50"), "n_classes")
+    return evaluate.coarse_mean(_average_precision(spark, d), mapping).select("coarse", F.round("mean_ap50", 6).alias("mean_ap50"), "n_classes")
 
 
 def confidence_report(spark: SparkSession, d: str) -> DataFrame:
