@@ -78,9 +78,11 @@ sc AS (SELECT idx, cls, conf, idx IN (SELECT idx FROM bo WHERE k = 1 AND iou > 0
 
 
 def recall_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    p, g = _sides(spark, d)
-    best = evaluate.best_overlap(g.withColumn("bucket", B.size_bucket(B.area(F.col("box")) / 4)).select("image", "cls", "bucket", F.col("idx").alias("gt"), "box"), p.select("image", "cls", F.col("idx").alias("other_idx"), F.col("box").alias("other_box")).drop("cls"), "image")
-    out = evaluate.recall_matrix(best.withColumn("matched", F.col("iou") > 0.5))
+    """Recall by class and size of the truth boxes that greedy_match gives to a prediction, over all truth. The SQL counts any overlap over 0.5 instead."""
+    m, g = _matched(spark, d)
+    held = m.where("gt_idx is not null").select(F.col("gt_idx").alias("idx"), F.lit(True).alias("held"))
+    truth = g.withColumn("bucket", B.size_bucket(B.area(F.col("box")) / 4)).join(held, "idx", "left")
+    out = evaluate.recall_matrix(truth.withColumn("matched", F.coalesce("held", F.lit(False))))
     return out.select("cls", "n_gt", *(F.round(c, 6).alias(c) for c in out.columns if c.startswith("recall")))
 
 

@@ -55,3 +55,20 @@ def test_ap50_is_of_greedy_matches(spark, events):
     assert set(got) == set(want) and all(got[c].n_gt == n_gt[c] and math.isclose(got[c].ap50, want[c], abs_tol=1e-6) for c in want)
     coarse = {r.coarse: r for r in curation.coarse_mean_ap(spark, d).collect()}
     assert math.isclose(coarse["seen"].mean_ap50, (want["view"] + want["click"]) / 2, abs_tol=1e-6) and coarse["seen"].n_classes == 2
+
+
+def test_recall_is_of_greedy_matches_and_all_truth(spark, events):
+    d, rows = events
+    n_gt, held = defaultdict(int), defaultdict(int)
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1]) / 4
+    large = lambda b: size(b) >= 0.02
+    n_large = defaultdict(int)
+    for (_, cls), (preds, truth) in boxes_of(rows).items():
+        taken = set(plain_greedy(preds, truth).values())
+        n_gt[cls] += len(truth)
+        n_large[cls] += sum(large(b) for _, b in truth)
+        held[cls] += sum(large(b) for j, b in truth if j in taken)
+    got = {r.cls: r for r in curation.recall_by_bucket(spark, d).collect()}
+    assert {c: r.n_gt for c, r in got.items()} == dict(n_gt)
+    for c, r in got.items():
+        assert math.isclose(r.recall_large, held[c] / n_large[c], abs_tol=1e-6)
