@@ -11,8 +11,12 @@ from curbline.functions.box import iou
 
 
 def best_overlap(asked: DataFrame, others: DataFrame, by: str, box: str = "box", other_box: str = "other_box", keep: tuple[str, ...] = (), order: str = "other_idx", eps: float = 0.0) -> DataFrame:
-    """asked with iou, order and the kept columns of the best overlapping other of the same group; equal overlaps go to the lower order."""
-    pairs = asked.join(others.select(by, order, *keep, other_box), by).withColumn("iou", iou(F.col(box), F.col(other_box), eps))
+    """asked with iou, order and the kept columns of the best overlapping other of the same group; equal overlaps go to the lower order.
+
+    A row whose group has no other stays, with iou 0 and nulls.
+    """
+    pairs = asked.join(others.select(by, order, *keep, other_box), by, "left")
+    pairs = pairs.withColumn("iou", F.when(F.col(other_box).isNull(), 0.0).otherwise(iou(F.col(box), F.col(other_box), eps)))
     rank = F.struct("iou", (-F.col(order)).alias("o"), *keep)
     return pairs.groupBy(*[c for c in asked.columns if c != box]).agg(F.max(rank).alias("b")).select(*[c for c in asked.columns if c != box], F.col("b.iou").alias("iou"), (-F.col("b.o")).alias(order), *(F.col(f"b.{k}").alias(k) for k in keep))
 

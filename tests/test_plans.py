@@ -72,3 +72,11 @@ def test_recall_is_of_greedy_matches_and_all_truth(spark, events):
     assert {c: r.n_gt for c, r in got.items()} == dict(n_gt)
     for c, r in got.items():
         assert math.isclose(r.recall_large, held[c] / n_large[c], abs_tol=1e-6)
+
+
+def test_truth_of_images_without_predictions_is_uncovered(spark, events):
+    d, rows = events
+    got = {r.gt: r.iou for r in curation.uncovered_truth(spark, d).collect()}
+    alone = {i for i, user, _, _ in rows if user == 9}
+    assert alone <= set(got) and all(got[i] == 0 for i in alone)
+    assert not alone & {r.gt for r in curation.best_iou_mismatch(spark, d).collect()}
