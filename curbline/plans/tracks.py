@@ -202,8 +202,8 @@ def report_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    q = V.queue(_reconciled(spark, d)).limit(50)
-    return q.select("cluster_id", "discrepancy_type")
+    """All that is to be reviewed. The SQL shows the first 50."""
+    return V.queue(_reconciled(spark, d)).select("cluster_id", "discrepancy_type")
 
 
 def next_nearest(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from curbline.plans import curation
+from curbline.plans import curation, tracks
 from tests.test_operators import plain_greedy
 
 CLASSES = ("view", "click", "signup", "purchase", "error")
@@ -80,3 +80,11 @@ def test_truth_of_images_without_predictions_is_uncovered(spark, events):
     alone = {i for i, user, _, _ in rows if user == 9}
     assert alone <= set(got) and all(got[i] == 0 for i in alone)
     assert not alone & {r.gt for r in curation.best_iou_mismatch(spark, d).collect()}
+
+
+def test_review_queue_is_whole(spark, monkeypatch):
+    rows = [(i, "class_mismatch" if i % 3 == 0 else None, i % 7 / 10, i % 5 > 0) for i in range(100)]
+    found = spark.createDataFrame(rows, "cluster_id long, discrepancy_type string, confidence double, needs_review boolean")
+    monkeypatch.setattr(tracks, "_reconciled", lambda spark, d: found)
+    want = sorted((r for r in rows if r[3]), key=lambda r: (r[1] is None, r[2], r[0]))
+    assert [tuple(r) for r in tracks.review_queue(spark, "").collect()] == [r[:2] for r in want]
