@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+_IN_TAG = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+#: Comments and raw text run to the end of the page when they are not closed.
+_RAW = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+_HIDDEN = rf"<(?:svg|template|noscript)(?=[\s/>])(?:{_IN_TAG}|[^>]*)>"
+MARKUP = re.compile(rf"{_RAW}|({_HIDDEN})|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_IN_TAG})>", re.DOTALL | re.IGNORECASE)
+#: Tags of elements whose inside is no text of the page.
+HIDDEN = re.compile(rf"{_RAW}|({_HIDDEN})|</(svg|template|noscript)\s*>", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
@@ -44,6 +47,18 @@ class Block:
     linked: int  # characters inside links
 
 
+def _hidden_ends(html: str) -> dict[int, int]:
+    """Where the svg, template and noscript elements that are closed begin and end. A self-closed or unclosed tag holds nothing."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {"svg": [], "template": [], "noscript": []}
+    for m in HIDDEN.finditer(html):
+        if m[2] and not m[2].endswith("/>"):
+            open_at[re.match(r"<(\w+)", m[2])[1].lower()].append(m.start())
+        elif m[3] and open_at[m[3].lower()]:
+            ends[open_at[m[3].lower()].pop()] = m.end()
+    return ends
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """The non-empty leaf blocks in page order. Malformed markup is read as far as it goes; nothing is cut."""
     out: list[Block] = []
@@ -69,15 +84,20 @@ def leaf_blocks(html: str | None) -> list[Block]:
         if in_link:
             linked += len(text.strip())
 
-    for m in MARKUP.finditer(html):
+    ends: dict[int, int] | None = None
+    while m := MARKUP.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
-        tag = m[3]
+        if m[2]:
+            ends = _hidden_ends(html) if ends is None else ends
+            at = ends.get(m.start(), at)
+            continue
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[3]:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCK_TAGS:
@@ -94,8 +114,8 @@ def leaf_blocks(html: str | None) -> list[Block]:
             end_block()
             in_link = 0
             _imply_ends(stack, tag)
-            if tag not in VOID_TAGS and not m[4].endswith("/"):
-                words = WORD.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[4])).lower()) if "=" in m[4] else ()
+            if tag not in VOID_TAGS and not m[5].endswith("/"):
+                words = WORD.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[5])).lower()) if "=" in m[5] else ()
                 stack.append((tag, (tag, *words)))
     if at < len(html):
         add(html[at:])

@@ -31,6 +31,15 @@ def test_blocks(html, texts):
     assert [b.text for b in leaf_blocks(html)] == texts
 
 
+@pytest.mark.parametrize("html,texts", [
+    ('<p>one</p><svg class="i"/><p>two two</p>', ["one", "two two"]), ("<p>one</p><svg><p>two</p>", ["one", "two"]), ("<p>a</p><svg/><p>b</p><svg><g/></svg><p>c</p>", ["a", "b", "c"]),
+    ("<svg><p>a</p><svg>x</svg><p>b</p>", ["a", "b"]), ("<svg>x<svg>y</svg>z</svg>q", ["q"]), ("<svg>x<!-- </svg> -->y</svg>q", ["q"]), ("<template/>a<noscript>b", ["ab"]), ('<svg title="a>b"/>q', ["q"]),
+    ("<noscript><p>x</p></noscript><p>y</p>", ["y"]), ("<SVG>x</Svg>y", ["y"]), ("<title-bar>a</title-bar>b", ["ab"]), ("<svg-icon>a</svg-icon>b", ["ab"]), ("<style>x", []),
+])
+def test_hidden_elements_end(html, texts):
+    assert [b.text for b in leaf_blocks(html)] == texts
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, 3), (2, None, None, 1), (None, "v", "", 1), (4, "w", "<nav><a>x</a></nav>", 0), (1, "u", PAGE, 3), (5, "é", f"<article><p>{'é word. ' * 30_000}</p></article>", 0)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
