@@ -2,9 +2,12 @@
 
 The rules' matches are labelled credentials. For each kind of value a prefix tree is built over character classes and
 its statistically compatible states are merged (ALERGIA: Carrasco and Oncina, 1994), which gives a deterministic
-probabilistic automaton of the format; the same is done for ordinary long tokens. Every candidate token outside the
-rules' spans is scored by the log-likelihood ratio of its best format against ordinary tokens, and becomes a span of
+probabilistic automaton of the format; the same is done for ordinary long tokens. Every token outside the rules' spans,
+of the labelled values' alphabet and least length, is scored by the log-likelihood ratio of its best format against ordinary tokens, and becomes a span of
 kind "format" beyond a threshold. The rules' spans always stay.
+
+Learning is bounded: by TRAIN_DOCS, TRAIN_VALUES and VALUE_CHARS, and prefix trees by Automaton.DEPTH. Scoring is not: it
+sees whole texts and whole tokens.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # [0-9a-f]+ of 32 or more: a run's only matc
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "format")
 
-#: A candidate: a whole run of credential characters, this long, with a digit in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: A candidate: what the rules leave of a run of credential characters, this long.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 
 #: Documents the automata learn from, at most about this many, and values of each kind kept of them, at most.
 TRAIN_DOCS = 20_000
 TRAIN_VALUES = 2_000
+#: Characters of a value that are learnt from, at most.
+VALUE_CHARS = 256
 #: ALERGIA's confidence, and the log-likelihood ratio beyond which a candidate is reported.
 ALPHA = 0.05
 THRESHOLD = 12.0
@@ -51,10 +55,21 @@ def rule_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Candidate tokens outside the taken spans."""
+    """Candidate tokens outside the taken spans, which come by their starts."""
+    k, n = 0, len(taken)
     for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and not any(m.start() < b and a < m.end() for a, b in taken):
-            yield m.start(), m.end(), m[0]
+        at, end = m.span()
+        while k < n and taken[k][1] <= at:
+            k += 1
+        i = k
+        while i < n and taken[i][0] < end:
+            a, b = taken[i]
+            if a - at >= LEAST_ASSIGN:
+                yield at, a, text[at:a]
+            at = max(at, b)
+            i += 1
+        if end - at >= LEAST_ASSIGN:
+            yield at, end, text[at:end]
 
 
 # ------------------------------------------------------------------------------------------------------- automata
@@ -172,11 +187,19 @@ class Scorer:
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]) -> None:
         self.formats = [Automaton(values) for kind, values in sorted(labelled.items()) if values]
         self.ordinary = Automaton(ordinary)
+        self._seen: dict[str, float] = {}
 
     def score(self, value: str) -> float:
         if not self.formats:
             return -math.inf
-        return max(f.log_likelihood(value) for f in self.formats) - self.ordinary.log_likelihood(value)
+        found = self._seen.get(value)
+        if found is None:
+            found = max(f.log_likelihood(value) for f in self.formats) - self.ordinary.log_likelihood(value)
+            if len(value) <= 32:
+                if len(self._seen) > 100_000:
+                    self._seen.clear()
+                self._seen[value] = found
+        return found
 
 
 def spans_of(text: str, scorer: Scorer, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
@@ -199,9 +222,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_doc
             for x in batch.column(0):
                 if x := x.as_py():
                     own = rule_spans(x)
-                    found |= {(kind, value[:256]) for _, kind, _, value in own}
-                    found |= {(3, v[:256]) for _, _, v in candidates(x, [(s[0], s[2]) for s in own])}
-                    found |= {(3, w) for w in x.split()[:64] if len(w) >= 8}
+                    found |= {(kind, value[:VALUE_CHARS]) for _, kind, _, value in own}
+                    found |= {(3, v[:VALUE_CHARS]) for _, _, v in candidates(x, [(s[0], s[2]) for s in own])}
+                    found |= {(3, w[:VALUE_CHARS]) for w in x.split() if len(w) >= LEAST_ASSIGN}
             kinds, strings = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(strings, pa.string())], names=["kind", "value"])
 

@@ -1,9 +1,10 @@
 import hashlib
+import math
 import re
 
 import numpy as np
 
-from curbline.llm.secrets import MASK, Automaton, Scorer, redact, rule_spans, scan
+from curbline.llm.secrets import MASK, Automaton, Scorer, candidates, redact, rule_spans, scan, train
 
 HEX40 = "0123456789abcdef0123456789abcdef01234567"
 
@@ -72,3 +73,15 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_token_of_the_labelled_alphabet_is_a_candidate():
+    text = f"abcdefgh a.b=c/d1 short password=abcdefgh Zq8xKw2p{HEX40}WJ4kT9mRs7 Xy{HEX40}"
+    taken = [(s[0], s[2]) for s in rule_spans(text)]
+    assert [v for _, _, v in candidates(text, taken)] == ["abcdefgh", "a.b=c/d1", "Zq8xKw2p", "WJ4kT9mRs7"]
+    assert all(text[a:b] == v for a, b, v in candidates(text, taken))
+
+
+def test_ordinary_tokens_are_learnt_from_whole_texts(spark):
+    docs = spark.createDataFrame([(1, " ".join(["the"] * 100 + ["ordinary-\u00e9-token"])), (2, f"token={HEX40}")], "doc_id long, text string")
+    assert math.exp(train(docs).ordinary.log_likelihood("ordinary")) > math.exp(Automaton([]).log_likelihood("ordinary"))
