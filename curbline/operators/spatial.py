@@ -12,25 +12,34 @@ from curbline.functions.geo import EARTH_M, haversine_m
 _DEG_M = math.pi * EARTH_M / 180
 
 
-def _cells(lat: Column, lon: Column, radius_m: float, max_abs_lat: float) -> tuple[Column, Column]:
-    """Cells at least radius_m wide and high. max_abs_lat bounds the latitudes; longitudes do not wrap at 180 degrees."""
-    high = radius_m / _DEG_M * 1.0001
-    wide = high / max(math.cos(math.radians(min(max_abs_lat, 89.0))), 1e-3)
-    return F.floor(lat / high), F.floor(lon / wide)
+def _row(lat: Column, radius_m: float) -> Column:
+    """Rows of cells at least radius_m high."""
+    return F.floor(lat / (radius_m / _DEG_M * 1.0001))
+
+
+def _column(y: Column, lon: Column, radius_m: float, step: int = 0) -> Column:
+    """The cell step cells beside lon's in row y. Cells are as wide as radius_m spans at the latitudes of the row and its neighbours, and wrap at 180 degrees."""
+    high, half = radius_m / _DEG_M * 1.0001, math.sin(min(radius_m * 1.0001 / (2 * EARTH_M), math.pi / 2))
+    least = F.cos(F.radians(F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * high, F.lit(90.0))))
+    wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(least, F.lit(1e-12)))))
+    n = F.greatest(F.floor(360 / wide), F.lit(1))
+    at = F.least(F.floor(F.pmod(lon.cast("double"), F.lit(360.0)) / 360 * n), n - 1)
+    return F.pmod(at + step, n)
 
 
 def within(left: DataFrame, right: DataFrame, radius_m: float, by: tuple[str, ...] = (), left_at: tuple[str, str] = ("lat", "lon"),
-           right_at: tuple[str, str] = ("r_lat", "r_lon"), max_abs_lat: float = 75.0) -> DataFrame:
+           right_at: tuple[str, str] = ("r_lat", "r_lon")) -> DataFrame:
     """Inner join of rows at most radius_m apart (and equal in the by columns), with dist_m. Column names of the sides must differ but for by.
 
     The right side is filed once under its cell, the left side under its own and the eight around it.
     """
     (la, lo), (ra, ro) = left_at, right_at
-    y, x = _cells(F.col(la), F.col(lo), radius_m, max_abs_lat)
-    around = F.array(*(F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    y = _row(F.col(la), radius_m)
+    # Near the poles a row has one or two cells, which are their own neighbours.
+    around = F.array_distinct(F.array(*(F.struct((y + i).alias("y"), _column(y + i, F.col(lo), radius_m, j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     a = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_cell", F.explode(around))
-    y, x = _cells(F.col(ra), F.col(ro), radius_m, max_abs_lat)
-    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumn("_rcell", F.struct(y.alias("y"), x.alias("x")))
+    y = _row(F.col(ra), radius_m)
+    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumn("_rcell", F.struct(y.alias("y"), _column(y, F.col(ro), radius_m).alias("x")))
     on = (F.col("_cell.y") == F.col("_rcell.y")) & (F.col("_cell.x") == F.col("_rcell.x"))
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
