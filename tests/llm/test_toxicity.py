@@ -54,7 +54,7 @@ def corpus(spark, n=900, seed=4):
 def test_held_out_accuracy(spark):
     docs, labels, bad = corpus(spark)
     model = train(docs, labels)
-    assert set(bad) <= {w for w, x in model.weights.items() if x > 0}
+    assert {f"={w}" for w in bad} <= {w for w, x in model.weights.items() if x > 0}
     got = score_documents(docs, model).collect()
     assert len(got) == docs.count()
     truth = {r.doc_id: any(w in (r.text or "") for w in bad) for r in docs.collect()}
@@ -65,6 +65,36 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == 0 for r in got if r.doc_id in (900, 901))
 
 
+def test_rare_exclusive_words_of_a_large_vocabulary(spark):
+    """Words that only toxic rows use keep their weight however rare they are, and unseen inflections of a stem count."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = np.array(["".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(20_000)])
+    bad = ["scoundrel", "villain", "wretch", "knave", "cad"]
+    docs, labels = [], []
+    for i in range(1500):
+        own, toxic = list(rng.choice(words, 150)), int(i % 8 == 0)
+        for _ in range(2 * toxic):
+            own.insert(int(rng.integers(len(own))), str(rng.choice(bad)) if i % 16 else "zqxjk" + "".join(rng.choice(letters, 2)))
+        docs.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = train(docs, labels)
+    assert {f"={w}" for w in bad} <= model.weights.keys() and model.weight("zqxjkww") > 1
+    held = [r for r in score_documents(docs, model).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 8 == 0]) >= 0.9
+    assert np.mean([r.predicted for r in held if r.doc_id % 8]) <= 0.02
+
+
+def test_very_long_text_and_clashing_names(spark):
+    """A long text is one row like any other; columns named as results are not looked at."""
+    docs, labels, bad = corpus(spark)
+    model = train(docs, labels)
+    rows = spark.createDataFrame([(1, "wa " * 300_000 + "vile rotten nasty awful", 9.0, 7), (1, "wa " * 300_000, 9.0, 7)], "doc_id long, text string, score double, unit int")
+    got = score_documents(rows, model).orderBy("predicted").collect()
+    assert [r.predicted for r in got] == [0, 1] and got[1].segments[-1].end == 300_004
+
+
 def test_one_label_only_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     none = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
