@@ -1,10 +1,11 @@
 """Secret scans: fixed rules first, then probabilistic automata inferred from what the rules label.
 
-The rules' matches are labelled credentials. For each kind of value a prefix tree is built over character classes and
-its statistically compatible states are merged (ALERGIA: Carrasco and Oncina, 1994), which gives a deterministic
-probabilistic automaton of the format; the same is done for ordinary long tokens. Every token outside the rules' spans,
-of the labelled values' alphabet and least length, is scored by the log-likelihood ratio of its best format against ordinary tokens, and becomes a span of
-kind "format" beyond a threshold. The rules' spans always stay.
+The rules' matches are labelled credentials. For each kind of value a prefix tree is built over symbols learnt from the values
+(classes of characters, and the characters of a fixed head), and its statistically compatible states are merged (ALERGIA: Carrasco
+and Oncina, 1994), which gives a deterministic probabilistic automaton of the format; the same is done for ordinary long tokens. Every
+token outside the rules' spans, of the labelled values' alphabet and least length, is scored: its shape must be as likely under a format as
+the format's own values are, and beyond a threshold of the log-likelihood ratio against ordinary tokens it is a span of kind "format",
+so that a credential without its keyword is found. The rules' spans always stay.
 
 Learning is bounded: by TRAIN_DOCS, TRAIN_VALUES and VALUE_CHARS, and prefix trees by Automaton.DEPTH. Scoring is not: it
 sees whole texts and whole tokens.
@@ -22,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 # The kinds in their order, their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -73,13 +75,64 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, i
 
 
 # ------------------------------------------------------------------------------------------------------- automata
-_CLASSES = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", "=."]
-_CLASS_OF = {c: (i, len(cs)) for i, cs in enumerate(_CLASSES) for c in cs}
-_OTHER = (len(_CLASSES), 100)
+_CHARS = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", "=."]
+_FINE = {c: i for i, cs in enumerate(_CHARS) for c in cs}
 
 
-def classes_of(value: str) -> list[int]:
-    return [_CLASS_OF.get(c, _OTHER)[0] for c in value]
+class Alphabet:
+    """The symbols that values of one kind are read as, learnt from them.
+
+    Characters that the values use about equally often are one class, so that hexadecimal digits, say, are one symbol and
+    values of one format share their paths through the prefix tree. Characters at the start that many values agree on, far
+    more than their class would, are symbols of their own: the format's fixed head.
+    """
+
+    #: A character of the head: this share of the values that agree so far, this many of them, this many times chance.
+    SHARE, LEAST, TIMES, HEAD = 0.1, 5, 3.0, 16
+    #: Character groups whose rates are within this factor are one class.
+    FACTOR = 2.0
+
+    def __init__(self, values: list[str]) -> None:
+        chance = self.TIMES / max(1, len({c for v in values for c in v}))
+        self.heads: dict[str, int] = {}
+        level = {"": values}
+        for k in range(self.HEAD):
+            held: dict[str, list[str]] = {}
+            for head, own in level.items():
+                by: dict[str, list[str]] = {}
+                for v in own:
+                    if len(v) > k:
+                        by.setdefault(head + v[k], []).append(v)
+                held |= {h: vs for h, vs in by.items() if len(vs) >= max(self.LEAST, self.SHARE * len(own), chance * len(own))}
+            self.heads |= {h: len(_CHARS) + 1 + len(self.heads) + i for i, h in enumerate(sorted(held))}
+            level = held
+        seen: list[dict[str, int]] = [{} for _ in _CHARS]
+        for v in values:
+            for c in v[self.head(v) :]:
+                if c in _FINE:
+                    seen[_FINE[c]][c] = seen[_FINE[c]].get(c, 0) + 1
+        counts = [sum(x.values()) for x in seen]
+        rates = sorted((counts[i] / len(x), i) for i, x in enumerate(seen) if x)
+        self.of, self.widths, low = [len(_CHARS)] * len(_CHARS), {len(_CHARS): 100.0 + sum(len(_CHARS[i]) for i, n in enumerate(counts) if not n)}, 0.0
+        for rate, i in rates:
+            if not low or rate > self.FACTOR * low:
+                name, low = i, rate
+            self.of[i] = name
+            self.widths[name] = self.widths.get(name, 0.0) + len(_CHARS[i])
+        self.logs = {k: math.log(w) for k, w in self.widths.items()} | dict.fromkeys(self.heads.values(), 0.0)
+        self.size = len(self.logs)
+
+    def head(self, value: str) -> int:
+        k = 0
+        while value[: k + 1] in self.heads and k < len(value):
+            k += 1
+        return k
+
+    def symbols(self, value: str) -> Iterator[int]:
+        k = self.head(value)
+        yield from (self.heads[value[: i + 1]] for i in range(k))
+        other = len(_CHARS)
+        yield from (self.of[_FINE[c]] if c in _FINE else other for c in value[k:])
 
 
 @dataclass
@@ -91,16 +144,20 @@ class Node:
 
 
 class Automaton:
-    """A deterministic probabilistic automaton over character classes, by merging states of a prefix tree."""
+    """A deterministic probabilistic automaton over an alphabet of its own, by merging states of a prefix tree."""
 
     #: A prefix longer than this shares the states of this depth, which bounds the tree.
     DEPTH = 64
+    #: Added to every count, so that no value is impossible.
+    SMOOTH = 0.05
 
     def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
-        self.nodes, self.alpha = [Node()], alpha
+        self.alphabet, self.nodes, self._bound = Alphabet(values), [Node()], math.sqrt(0.5 * math.log(2 / alpha))
         for value in values:
             at = 0
-            for c in classes_of(value)[: self.DEPTH]:
+            for k, c in enumerate(self.alphabet.symbols(value)):
+                if k == self.DEPTH:
+                    break
                 node = self.nodes[at]
                 node.total += 1
                 node.count[c] = node.count.get(c, 0) + 1
@@ -111,22 +168,28 @@ class Automaton:
             self.nodes[at].total += 1
             self.nodes[at].ends += 1
         self._merge()
+        own = sorted(self.surprise(v) for v in values)
+        #: What the format's own values do not exceed, but for one in a hundred.
+        self.usual = own[int(0.99 * (len(own) - 1))] if own else 0.0
 
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-        return abs(f1 / n1 - f2 / n2) > bound
-
-    def _compatible(self, a: int, b: int, depth: int = 0) -> bool:
-        x, y = self.nodes[a], self.nodes[b]
-        if not x.total or not y.total or a == b:
-            return True
-        if self._differ(x.ends, x.total, y.ends, y.total):
-            return False
-        for c in {*x.count, *y.count}:
-            if self._differ(x.count.get(c, 0), x.total, y.count.get(c, 0), y.total):
-                return False
-            if depth < 8 and c in x.next and c in y.next and not self._compatible(x.next[c], y.next[c], depth + 1):
+    def _compatible(self, a: int, b: int) -> bool:
+        """Whether no state reached from b by any string differs from the one reached from a: in ends or in any symbol."""
+        todo, seen = [(a, b)], {(a, b)}
+        while todo:
+            x, y = (self.nodes[i] for i in todo.pop())
+            if not x.total or not y.total:
+                continue
+            bound = self._bound * (1 / math.sqrt(x.total) + 1 / math.sqrt(y.total))
+            if bound >= 1:  # too few to differ, and so is all below
+                continue
+            if abs(x.ends / x.total - y.ends / y.total) > bound:
                 return False
+            for c in {*x.count, *y.count}:
+                if abs(x.count.get(c, 0) / x.total - y.count.get(c, 0) / y.total) > bound:
+                    return False
+                if c in x.next and c in y.next and (pair := (x.next[c], y.next[c])) not in seen and pair[0] != pair[1]:
+                    seen.add(pair)
+                    todo.append(pair)
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -161,51 +224,119 @@ class Automaton:
                 seen.add(blue)
         place = {r: i for i, r in enumerate(red)}
         self.size = len(red)
-        # (state, class) -> (state, log-probability); smoothed, so that no format is impossible
-        k = len(_CLASSES) + 2
-        self.step, self.end = {}, []
+        # (state, symbol) -> (state, surprise); symbols never seen in a state stay in it
+        self.step, self.end = [], []
         for r in red:
             node = self.nodes[r]
-            self.end.append(math.log((node.ends + 0.5) / (node.total + 0.5 * k)))
-            for c in range(k - 1):
-                target = place.get(node.next.get(c, r), place[r])
-                self.step[place[r], c] = (target, math.log((node.count.get(c, 0) + 0.5) / (node.total + 0.5 * k)))
+            whole = node.total + self.SMOOTH * (self.alphabet.size + 1)
+            self.end.append(-math.log((node.ends + self.SMOOTH) / whole))
+            rare = (place[r], -math.log(self.SMOOTH / whole))
+            self.step.append(({c: (place[node.next[c]], -math.log((n + self.SMOOTH) / whole)) for c, n in node.count.items()}, rare))
         del self.nodes
 
-    def log_likelihood(self, value: str) -> float:
+    def surprise(self, value: str, limit: float = math.inf) -> float:
+        """-log of the probability of the value's shape, its path and end; any number over limit once that is exceeded."""
         at, total = 0, 0.0
-        for ch in value:
-            c, width = _CLASS_OF.get(ch, _OTHER)
-            at, p = self.step[at, c]
-            total += p - math.log(width)
+        for c in self.alphabet.symbols(value):
+            known, rare = self.step[at]
+            at, p = known.get(c, rare)
+            total += p
+            if total > limit:
+                return total
         return total + self.end[at]
 
+    def log_likelihood(self, value: str) -> float:
+        """Of the value itself: of its shape, and of its characters, all of a class being equally likely."""
+        return -self.surprise(value) - sum(map(self.alphabet.logs.__getitem__, self.alphabet.symbols(value)))
+
+
+#: From narrow to broad: values of a kind that use only these characters after their head are read as one format.
+_FAMILIES = [set("".join(_CHARS[i] for i in own)) for own in ((0,), (0, 1), (0, 3), (0, 1, 2), (0, 3, 4), (0, 1, 2, 3, 4))]
+
+
+def formats(values: list[str], least: int) -> list[list[str]]:
+    """The values of one kind by format: by their fixed head, and by the narrowest family of characters after it. Fewer than least values
+    of a head count as without one, fewer of a family go to the next broader one."""
+    alphabet = Alphabet(values)
+    by_head: dict[str, list[str]] = {}
+    for v in values:
+        by_head.setdefault(v[: alphabet.head(v)], []).append(v)
+    for head in [h for h, own in by_head.items() if h and len(own) < least]:
+        by_head.setdefault("", []).extend(by_head.pop(head))
+    out = []
+    for head, own in sorted(by_head.items()):
+        rest = own
+        for family in [*_FAMILIES, None]:
+            fits = rest if family is None else [v for v in rest if family.issuperset(v[len(head) :])]
+            if len(fits) >= least:
+                out.append(fits)
+                gone = set(fits)
+                rest = [v for v in rest if v not in gone]
+    return out
+
 
 class Scorer:
-    """Formats against ordinary tokens. Without a labelled credential nothing scores."""
+    """Formats against ordinary tokens. A format needs LEAST_VALUES labelled credentials.
+
+    A token scores if its shape is as likely under a format as the format's own values are, within MARGIN nats; its score is then the
+    log-likelihood ratio of that format against ordinary tokens.
+    """
+
+    LEAST_VALUES, MARGIN = 10, 2.0
 
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]) -> None:
-        self.formats = [Automaton(values) for kind, values in sorted(labelled.items()) if values]
+        self.formats = [Automaton(own) for _, values in sorted(labelled.items()) for own in formats(values, self.LEAST_VALUES)]
         self.ordinary = Automaton(ordinary)
         self._seen: dict[str, float] = {}
 
     def score(self, value: str) -> float:
-        if not self.formats:
-            return -math.inf
         found = self._seen.get(value)
         if found is None:
-            found = max(f.log_likelihood(value) for f in self.formats) - self.ordinary.log_likelihood(value)
+            own = [f for f in self.formats if f.surprise(value, f.usual + self.MARGIN) <= f.usual + self.MARGIN]
+            found = max(f.log_likelihood(value) for f in own) - self.ordinary.log_likelihood(value) if own else -math.inf
             if len(value) <= 32:
                 if len(self._seen) > 100_000:
                     self._seen.clear()
                 self._seen[value] = found
         return found
 
+    def best(self, value: str, threshold: float) -> tuple[int, int] | None:
+        """The part of a token that scores highest beyond the threshold: the whole, without marks at its ends, or a side of a '='."""
+        top, found = threshold, None
+        for a, b in parts(value):
+            if (x := self.score(value[a:b])) > top:
+                top, found = x, (a, b)
+        return found
+
+
+_MARKS = "+/_.=-"
+
+
+def parts(value: str) -> list[tuple[int, int]]:
+    """A token's readings as (start, end), each of LEAST_ASSIGN characters or more."""
+    out = [(0, len(value))]
+    if value[0] in _MARKS or value[-1] in _MARKS or "=" in value:
+        at = 0
+        sides = [(0, value)]
+        if "=" in value:
+            for side in value.split("="):
+                sides.append((at, side))
+                at += len(side) + 1
+        for at, side in sides:
+            own = side.strip(_MARKS)
+            a = at + len(side) - len(side.lstrip(_MARKS))
+            out.append((a, a + len(own)))
+    return list(dict.fromkeys((a, b) for a, b in out if b - a >= LEAST_ASSIGN))
+
 
 def spans_of(text: str, scorer: Scorer, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """(rules' spans, all spans), each (start, kind number, end) in order."""
     base = [s[:3] for s in rule_spans(text)]
-    more = [(a, 3, b) for a, b, value in candidates(text, [(s[0], s[2]) for s in base]) if scorer.score(value) > threshold]
+    more = []
+    if scorer.formats:
+        for at, _, value in candidates(text, [(s[0], s[2]) for s in base]):
+            if own := scorer.best(value, threshold):
+                more.append((at + own[0], 3, at + own[1]))
     return base, sorted(base + more)
 
 
@@ -224,15 +355,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_doc
                     own = rule_spans(x)
                     found |= {(kind, value[:VALUE_CHARS]) for _, kind, _, value in own}
                     found |= {(3, v[:VALUE_CHARS]) for _, _, v in candidates(x, [(s[0], s[2]) for s in own])}
-                    found |= {(3, w[:VALUE_CHARS]) for w in x.split() if len(w) >= LEAST_ASSIGN}
             kinds, strings = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(strings, pa.string())], names=["kind", "value"])
 
     distinct = rows.select("text").mapInArrow(values, "kind int, value string").distinct()
-    kept: dict[int, list[str]] = {}
-    for kind in range(4):
-        own = distinct.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(train_values)
-        kept[kind] = [r.value for r in own.collect()]
+    # each task keeps its own train_values a kind before they meet
+    by = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    kept: dict[int, list[str]] = {k: [] for k in range(4)}
+    for r in distinct.withColumn("n", F.row_number().over(by)).where(F.col("n") <= train_values).collect():
+        kept[r.kind].append(r.value)
     return Scorer({k: kept[k] for k in range(3)}, kept[3])
 
 
@@ -247,7 +378,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer: Sc
     """doc_id with the number of spans of each kind, the digest of the rules' spans, and all spans.
 
     Offsets count code points, ends are exclusive. Null and empty texts have no spans: zeros, the digest of nothing and an
-    empty string. Each row is scanned by itself, so repeated rows and null ids stay; an empty table gives an empty result.
+    empty string. Each row is scanned by itself, so repeated rows and null ids stay; an empty table gives an empty result; other columns,
+    whatever their names, are not looked at.
     """
     scorer = scorer or train(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
