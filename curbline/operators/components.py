@@ -1,8 +1,8 @@
 """Connected components of an undirected graph given as edges.
 
 Two star operations alternate (Kiveris et al., 2014) until the edge set stops changing. Each step is an
-aggregate and an equi-join on the vertex, so a vertex with very many edges is pre-aggregated map-side and its
-join side can be split by AQE. Before the first round every partition replaces its own edges by a spanning
+aggregate and an equi-join on the vertex: a vertex with very many edges is pre-aggregated map-side, and its edges
+meet its label by broadcast, since few vertices can have a large share of all edges. Before the first round every partition replaces its own edges by a spanning
 star forest, which is what keeps the rounds few.
 """
 
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbline.operators.skew import join_uneven
 from curbline.plans.session import cut
 
 MAX_ROUNDS = 50
@@ -60,10 +61,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not seen[0]:
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_uneven(both, low, "u", "n", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large)  # read by the aggregate and by both joins
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_uneven(large, low, "u", "n", 2 * seen[0])
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         stars = cut(small.where("u <> v").distinct())
         now = _state(stars)
