@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from curbline.operators.components import connected_components
+from curbline.operators.skew import join_uneven
 from curbline.plans.session import cut
 
 SEED = 42
@@ -35,9 +37,24 @@ TILE = 1024
 # --------------------------------------------------------------------------------------------------- fingerprints
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint; 0 for null and for texts without words. Only A-Z are lower-cased."""
+    return int(_fingerprints(text, words, 1)[0])
+
+
+def _remixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes independent of the given ones: a bijection of 64-bit words (SplitMix64's finisher) keyed by the seed; seed 0 changes nothing."""
+    if not seed:
+        return hashes
+    x = hashes + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _fingerprints(text: str | None, words: int, seeds: int) -> np.ndarray:
+    """The fingerprint and those of seeds - 1 remixed hashes."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
-        return 0
+        return np.zeros(seeds, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
@@ -46,24 +63,33 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[: -words] + 1)).tolist()
         slices = map(joined.__getitem__, map(slice, starts, ends[words - 1 :].tolist()))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(SEED)), np.uint64, len(starts))
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    total = np.zeros((seeds, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 14)]).astype("<u8")
+        for k in range(seeds):
+            total[k] += np.unpackbits(_remixed(part, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", other: str | None = None) -> DataFrame:
-    """(doc_id long, fp long): fp is the fingerprint as a signed 64-bit integer. A further long column can come along as other."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", other: Column | None = None, seeds: int = 1) -> DataFrame:
+    """(doc_id long, fp long), fp being the fingerprint as a signed 64-bit integer; fp1, fp2, ... those of remixed hashes, if there are
+    to be more. A further long column can come along as other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+            fps = np.zeros((batch.num_rows, seeds), np.uint64)
+            for i, x in enumerate(batch.column(1)):
+                fps[i] = _fingerprints(x.as_py(), SHINGLE, seeds)
+            columns = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(seeds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=["doc_id", *_names(seeds), *batch.schema.names[2:]])
 
-    more = [F.col(other).cast("long").alias("other")] if other else []
+    more = [other.cast("long").alias("other")] if other is not None else []
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", other long" * bool(other))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *_names(seeds), *["other"] * bool(more))))
+
+
+def _names(seeds: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, seeds))]
 
 
 # ------------------------------------------------------------------------------------------------- bit-sliced core
@@ -127,17 +153,17 @@ def pair_links(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tup
 
 
 def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (member, smallest member) of the links between the positions left and right of values."""
+    """Edges (member, first member), as positions, of the links between the positions left and right of values."""
     label = np.arange(len(values))
     for k, found in pair_links(values[left], values[right], radius):
         held = np.unique(label[np.append(right[found], left[k])])
         if len(held) > 1:
             label[np.isin(label, held)] = held[0]
-    return [(int(values[i]), int(values[label[i]])) for i in np.flatnonzero(label != np.arange(len(values)))]
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(values)))]
 
 
 def _small_links(values: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside many small groups at once: lane k compares the k-th value with the one s places on."""
+    """Links, as positions, inside many small groups at once: lane k compares the k-th value with the one s places on."""
     for s in range(1, int(size.max(initial=1))):
         at = np.flatnonzero(size > s)
         at = at[at + s < len(values)]
@@ -146,31 +172,31 @@ def _small_links(values: np.ndarray, group: np.ndarray, size: np.ndarray, radius
             part = at[i : i + (1 << 16)]
             planes = bit_planes(values[part] ^ values[part + s])
             near = _lanes(within_radius(iter(planes), planes.shape[1:], radius), len(part))
-            yield values[part[near]], values[part[near] + s]
+            yield part[near], part[near] + s
 
 
 SMALL = 48
 
 
 def _compare_sorted(radius: int):
-    def flush(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(keys)])
         group, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
         values, pairs = fps.view(np.uint64), []
-        plain = (size <= SMALL) & (keys[:, 1] == keys[:, 2])
-        if plain.any():
-            pairs += [np.stack(x) for x in _small_links(values[plain], group[plain], size[plain], radius)]
+        plain = np.flatnonzero((size <= SMALL) & (keys[:, 1] == keys[:, 2]))
+        if len(plain):
+            pairs += [plain[np.stack(x)] for x in _small_links(values[plain], group[plain], size[plain], radius)]
         for at, n in zip(starts, sizes, strict=True):
-            if not plain[at]:
+            same = keys[at, 1] == keys[at, 2]
+            if n > SMALL or not same:
                 own, own_side = values[at : at + n], sides[at : at + n]
-                same = keys[at, 1] == keys[at, 2]
                 left = np.arange(n) if same else np.flatnonzero(own_side == 0)
                 right = np.arange(n) if same else np.flatnonzero(own_side == 1)
                 if len(left) and len(right) and (edges := forest(own, left, right, radius)):
-                    pairs.append(np.array(edges, np.uint64).T)
+                    pairs.append(at + np.array(edges).T)
         if pairs:
-            a, b = np.concatenate(pairs, axis=1).view(np.int64)
+            a, b = nodes[np.concatenate(pairs, axis=1)]
             keep = a != b
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
@@ -178,7 +204,7 @@ def _compare_sorted(radius: int):
         held: list[np.ndarray] = []
 
         def parts(data: np.ndarray) -> Iterator[pa.RecordBatch]:
-            return flush(data[:, :3], np.ascontiguousarray(data[:, 3]), data[:, 4])
+            return flush(data[:, :3], np.ascontiguousarray(data[:, 3]), data[:, 4], np.ascontiguousarray(data[:, 5]))
 
         for batch in batches:
             data = np.stack([np.asarray(c) for c in batch.columns], axis=1)
@@ -209,40 +235,49 @@ def block_count(n: int, radius: int = RADIUS) -> int:
     return m
 
 
-def _keys(fp: Column, m: int, radius: int) -> Column:
-    """One key a choice of agreeing blocks: the bits kept, mixed with the number of the choice."""
+def _keys(fp: Column, m: int, radius: int, seed: int) -> Column:
+    """(key, value) for each choice of agreeing blocks: the bits kept, mixed with the number of the choice and of the fingerprint."""
     out = []
     for t, chosen in enumerate(combinations(_blocks(m), m - radius)):
         mask = sum(((1 << w) - 1) << at for at, w in chosen)
         mask -= (mask >> 63) << 64
-        out.append(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(mask).cast("long"))))
+        key = F.xxhash64(F.lit(t + (seed << 20)), fp.bitwiseAND(F.lit(mask).cast("long")))
+        out.append(F.struct(key.alias("key"), fp.alias("value")))
     return F.array(*out)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that span every link within the radius."""
-    m = blocks or block_count(fps.count(), radius)
-    filed = fps.select("fp", F.explode(_keys(F.col("fp"), m, radius)).alias("key"))
+    """Edges (a, b) between the values of fp that span every link within the radius: of fp, or of any of the further columns fp1, fp2, ...
+
+    Rows of fps are distinct. A key that many rows share meets its size by broadcast before it is tiled.
+    """
+    seeds, n = [c for c in fps.columns if c.startswith("fp")], fps.count()
+    m = blocks or block_count(n, radius)
+    keys = [_keys(F.col(c), m, radius, k) for k, c in enumerate(seeds)]
+    filed = fps.select(F.col("fp").alias("node"), F.explode(F.concat(*keys)).alias("x")).select("node", "x.key", "x.value")
     sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    known = join_uneven(filed, sizes, "key", "n", max(1, n * len(seeds) * comb(m, radius)))
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("long")
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), tiles)
-    dealt = filed.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    own = F.pmod(F.xxhash64("value", "node", F.lit(7)), tiles)
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp",
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"),
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "value",
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "node",
     )
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_compare_sorted(radius), "a long, b long")
 
 
 def _classes(own: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of the distinct fingerprints of own (doc_id, fp)."""
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(distinct.select("fp"), radius))
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    """(fp, n, root, component_id) of the distinct fingerprints of own (doc_id, fp, ...): n is the number of rows of the fingerprint."""
+    seeds = [c for c in own.columns if c.startswith("fp")]
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = cut(connected_components(links(own.select(*seeds).distinct(), radius)).withColumnRenamed("node", "fp"))
+    linked = cut(distinct.join(parts, "fp"))
+    sizes = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_uneven(linked, sizes, "component", "members", max(1, linked.count()))
+    alone = distinct.join(parts, "fp", "left_anti").withColumn("root", F.col("fp")).withColumn("component_id", F.col("least"))
+    return named.withColumnRenamed("component", "root").select("fp", "n", "root", "component_id").unionByName(alone.select("fp", "n", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -253,18 +288,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result; further columns are not looked at.
     """
     own = cut(fingerprints(docs, doc_id, text))
-    classes = _classes(own, radius).select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(_classes(own, radius).select("fp", "n", "component_id"))
+    named = join_uneven(own, classes, "fp", "n", max(1, own.count()))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, seeds: int = 1) -> DataFrame:
     """docs with one row of each component: that of the smallest id, null ids last. Of rows that repeat the id the one
-    with the least text hash stays, of equal rows one. All columns stay."""
-    hashed = docs.withColumn("_hash", F.coalesce(F.xxhash64(F.col(text)), F.lit(0)))
-    own = cut(fingerprints(hashed, doc_id, text, "_hash"))
-    rows = own.join(_classes(own, radius).select("fp", "root"), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other")).alias("first")
-    winners = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.other").alias("_other"))
-    kept = hashed.join(winners, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other"))).drop("_id", "_other")
-    same = Window.partitionBy(doc_id, "_hash").orderBy("_hash")
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy", "_hash")
+    with the least text hash stays, of equal rows one. All columns stay, whatever their names.
+
+    With more seeds there are that many independent fingerprints of a text, and texts are linked if those of any one seed are within
+    the radius: near copies whose distance under one hash is unlucky are linked under another. An empty table stays empty.
+    """
+    hash_of = F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0).cast("long"))
+    own = cut(fingerprints(docs, doc_id, text, hash_of, seeds))
+    # one winner a fingerprint, then one a component: the rows of a common text never meet in one task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other"))
+    firsts = own.groupBy("fp").agg(first.alias("first")).join(_classes(own, radius).select("fp", "root"), "fp")
+    winners = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.other")
+    where = lambda i, h: F.xxhash64(i.cast("long"), h)
+    winners = winners.select(F.struct(F.col("doc_id").alias("id"), "other").alias("_won"), where(F.col("doc_id"), F.col("other")).alias("_at"))
+    # the rows go by one key, so that they are dealt once, for the join and for their copies
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.struct(F.col(doc_id).cast("long").alias("id"), hash_of.alias("other")).alias("_own"))
+    rows = rows.withColumn("_at", where(F.col("_own.id"), F.col("_own.other")))
+    met = rows.join(winners, "_at").where(F.col("_own.id").eqNullSafe(F.col("_won.id")) & (F.col("_own.other") == F.col("_won.other")))
+    same = Window.partitionBy("_at", "_own").orderBy("_at")
+    return met.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select("_row.*")

@@ -3,7 +3,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from curbline.llm.simhash import fingerprint, near_duplicates, pair_links
+from curbline.llm.simhash import fingerprint, keep_one, near_duplicates, pair_links
 
 
 def plain_fingerprint(text):
@@ -64,9 +64,8 @@ def test_components_against_all_pairs(spark):
         rows.append((1000 - i, " ".join(own)))
     rows += [(5000, None), (5001, ""), (5002, " \n"), (None, "no id"), (7, "Short"), (8, "sHORT"), (9, "ÉCOLE"), (10, "école"), (8, "sHORT")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
-    for tile in (1024,):
-        got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in near_duplicates(docs).collect())
-        assert got == brute(rows)
+    got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in near_duplicates(docs).collect())
+    assert got == brute(rows)
 
 
 def test_dense_bucket_is_tiled(spark):
@@ -84,3 +83,46 @@ def test_dense_bucket_is_tiled(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert keep_one(spark.createDataFrame([], "doc_id long, text string"), seeds=3).count() == 0
+
+
+def test_keep_one_keeps_all_columns_and_one_row_a_component(spark):
+    """Columns named like those used inside come through; repeated rows and null ids have a defined result."""
+    long = "word " * 300_000
+    rows = [(3, "a b c d e", 1), (2, "A b c d e", 2), (2, "A b c d e", 2), (None, "a b c d e", 3), (None, "alone here now", 4), (None, "alone here now", 4), (9, None, 5), (8, "", 6), (7, long, 7), (6, long, 8)]
+    names = ["_id", "_other", "_hash", "_copy", "_at", "_row", "_own", "_won", "fp", "first"]
+    docs = spark.createDataFrame([(i, t, *[x] * len(names)) for i, t, x in rows], ["doc_id", "text", *names])
+    for seeds in (1, 3):
+        got = keep_one(docs, seeds=seeds)
+        assert got.columns == docs.columns
+        assert sorted((str(r.doc_id), r.fp, r["_copy"]) for r in got.collect()) == [("2", 2, 2), ("6", 8, 8), ("8", 6, 6), ("None", 4, 4)]
+
+
+def test_more_seeds_link_more_near_copies_and_no_others(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(60):
+        base = list(rng.choice(words, 100))
+        rows.append((g, " ".join(base)))
+        for k in range(2):
+            own = list(base)
+            own[int(rng.integers(100))] = "changed"
+            rows.append((1000 + 2 * g + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [{r.doc_id for r in keep_one(docs, radius=5, seeds=n).collect()} for n in (1, 5)]
+    assert all(set(range(60)) <= k for k in kept)
+    assert len(kept[1]) <= len(kept[0]) and len(kept[1]) - 60 <= 6
+
+
+def test_hot_component(spark):
+    """A third of all rows are near copies of one text."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(2000)]
+    base, rows = list(rng.choice(words, 150)), []
+    for i in range(900):
+        own = list(base) if i % 3 == 0 else list(rng.choice(words, 150))
+        own[i % 150] = "x"
+        rows.append((i, " ".join(own)))
+    got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
