@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 500_000
+#: Copies of each sketch row beyond that.
+SALTS = 32
 
 
 def _spaced(text: Column) -> Column:
@@ -26,24 +28,29 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(_spaced(text), " "), "")
 
 
-def shingle_rows(rows: DataFrame, width: int) -> DataFrame:
-    """A row for each place of width neighbouring words: the other columns, w1, w2, ... and h, their hash. The explode is of places
-    only, so the words are read from the row's one array by generated code."""
-    rest = [F.col(c) for c in rows.columns if c != "words"]
-    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width)).otherwise(F.array().cast("array<int>"))
-    placed = rows.select(*rest, "words", F.explode(places).alias("i"))
-    words = [F.get("words", F.col("i") + k) for k in range(width)]
-    return placed.select(*rest, F.xxhash64(*words).alias("h"), *(w.alias(f"w{k}") for k, w in enumerate(words)))
+def _hash(width: int) -> Column:
+    """The hash of the width words from place i on."""
+    return F.xxhash64(F.lit(width), *(F.get("words", F.col("i") + k) for k in range(width)))
 
 
-def item_shingles(items: DataFrame, width: int, item_id: str, text: str) -> DataFrame:
-    """(item_id, shingle, h, n): the distinct shingles of each item of at least this many words; shorter ones if width < SHINGLE
-    are those of exactly that many words."""
+def shingle_rows(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """A row for each place and width of neighbouring words that fit there: the other columns, i, width and h, the words' hash. The explode is of
+    places only, so the words are read from the row's one array by generated code."""
+    rest = [F.col(c) for c in rows.columns]
+    least = min(widths)
+    places = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least)).otherwise(F.array().cast("array<int>"))
+    placed = rows.select(*rest, F.explode(places).alias("i"))
+    if len(widths) == 1:
+        return placed.select(*rest, "i", F.lit(least).alias("width"), _hash(least).alias("h"))
+    fits = [F.when(F.col("i") + w <= F.size("words"), F.struct(F.lit(w).alias("width"), _hash(w).alias("h"))) for w in widths]
+    return placed.select(*rest, "i", F.explode(F.array_compact(F.array(*fits))).alias("x")).select(*rest, "i", "x.width", "x.h")
+
+
+def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, shingle, h, n): the distinct shingles of each item, of SHINGLE words; a shorter item is one shingle of all its words."""
     words = items.select(F.col(item_id).alias("item_id"), _words(F.col(text).cast("string")).alias("words"))
-    size = F.size("words")
-    words = words.where(size >= SHINGLE if width == SHINGLE else size == width)
-    shingle = F.concat_ws(" ", *(f"w{k}" for k in range(width)))
-    rows = shingle_rows(words, width).select("item_id", shingle.alias("shingle"), "h").distinct()
+    rows = shingle_rows(words, list(range(1, SHINGLE + 1))).where(F.col("width") == F.least(F.size("words"), F.lit(SHINGLE)))
+    rows = rows.select("item_id", F.array_join(F.slice("words", F.col("i") + 1, F.col("width")), " ").alias("shingle"), "h").distinct()
     sizes = rows.groupBy("item_id").agg(F.count("*").alias("n"))
     return rows.join(sizes, "item_id")
 
@@ -66,16 +73,16 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     widths = [r.w for r in items.select(F.least(F.size(_words(F.col(item_text).cast("string"))), F.lit(SHINGLE)).alias("w")).where("w > 0").distinct().collect()]  # at most 5
-    pairs, every = None, None
-    for width in sorted(widths) or [SHINGLE]:
-        shingles = item_shingles(items, width, item_id, item_text)
-        sketch = sketches(shingles, threshold)
-        sketch = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
-        hashed = shingle_rows(rows.select("doc_id", F.xxhash64("text").alias("th"), _words(F.col("text")).alias("words")), width)
-        found = hashed.select("doc_id", "th", "h").join(sketch, "h").select("doc_id", "th", "item_id")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        every = shingles if every is None else every.unionByName(shingles)
-    pairs = pairs.distinct()
+    every = item_shingles(items, item_id, item_text)
+    sketch = sketches(every, threshold)
+    hashed = shingle_rows(rows.select("doc_id", F.xxhash64("text").alias("th"), _words(F.col("text")).alias("words")), sorted(widths) or [SHINGLE])
+    hashed = hashed.select("doc_id", "th", "h")
+    if sketch.count() <= BROADCAST_ROWS:
+        found = hashed.join(F.broadcast(sketch), "h")
+    else:  # a shingle that very many documents hold is dealt by document too
+        hashed = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)))
+        found = hashed.join(sketch.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["h", "salt"])
+    pairs = found.select("doc_id", "th", "item_id").distinct()
     whole = every.groupBy("item_id").agg(F.collect_set("shingle").alias("shingles"))  # bounded: one item's shingles
     bodies = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     held = pairs.join(bodies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).join(whole, "item_id")
@@ -89,9 +96,11 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that hold an item; every other row and all columns stay."""
-    bad = contained_items(docs, items, threshold=threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """docs without the rows whose id holds an item; every other row and all columns, whatever their names, stay. Null ids are an id like
+    any other, null and empty texts hold nothing, repeated rows go or stay together; an empty table stays empty."""
+    other = "_" * (1 + max(map(len, docs.columns)))  # a name that docs can't have
+    bad = contained_items(docs, items, threshold=threshold).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[other]), "left_anti")
 
 
 ORACLE = r"""

@@ -41,7 +41,7 @@ def records(pages: DataFrame, record_id: str = "page_id", uri: str = "url", body
 
 
 def tree(leaves: DataFrame, height: int) -> list[DataFrame]:
-    """Levels of (node, bytes, digest) from the records, level 0, to the root, level height."""
+    """Levels of (node, bytes, digest) from the records, level 0, to the root, level height. The record without an id has null nodes."""
     levels = [cut(leaves.select(F.col("id").alias("node"), "bytes", "digest"))]
     for k in range(height):
         up = F.shiftright("node", BITS) if k < height - 1 else F.lit(0).cast("long")
@@ -61,23 +61,28 @@ def audit(primary: DataFrame, replica: DataFrame, record_id: str = "page_id", ur
     """The records that differ: id, status (corrupt, missing or extra), start and end byte in the primary, both digests, and the
     number of tree levels that led to it.
 
-    start and end are null for extra records, which the primary does not have. Equal replicas, empty ones included, give no row.
+    start and end are null for extra records, which the primary does not have. Equal replicas, empty ones included, give no row. Ids may be
+    any longs; null addresses and bodies count as empty; rows that repeat an id are one record, rows without an id are one, which comes last;
+    other columns are not looked at.
     """
     sides = [records(x, record_id, uri, body) for x in (primary, replica)]
     ends = sides[0].select("id").unionByName(sides[1].select("id")).agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
     low = ends.low if ends.low is not None else 0
-    last = (ends.high if ends.high is not None else -1) + 1 - low  # records without an id come last
-    height = _height(last)
-    trees = [tree(side.withColumn("id", F.coalesce(F.col("id") - low, F.lit(last))), height) for side in sides]
+    last = (ends.high if ends.high is not None else -1) + 1 - low
+    if last >= 1 << 63:  # offsets would overflow: the ids themselves, whose sign is part of the highest node
+        low, height = 0, 64 // BITS
+    else:
+        height = _height(last)
+    trees = [tree(side.withColumn("id", F.col("id") - F.lit(low).cast("long")), height) for side in sides]
     # the root's range, then the ranges of its differing descendants
     bad = _differing(trees[0][height], trees[1][height], None)
     for k in range(height - 1, -1, -1):
         up = F.shiftright("node", BITS) if k < height - 1 else F.lit(0).cast("long")
-        parents = bad.select(F.col("node").alias("up"), F.col("start").alias("from"))
-        below = [t[k].withColumn("up", up).join(parents, "up") for t in trees]
+        parents = bad.select(F.col("node").alias("parent"), F.col("start").alias("from"))
+        below = [t[k].withColumn("up", up).join(parents, F.col("up").eqNullSafe(F.col("parent"))).drop("parent") for t in trees]
         bad = cut(_differing(*below, "up"))
     status = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("primary_digest").isNull(), "extra").otherwise("corrupt")
-    own = F.when(F.col("node") != last, F.col("node") + low)
+    own = F.col("node") + F.lit(low).cast("long")
     start = F.when(F.col("primary_digest").isNotNull(), F.col("start"))
     return bad.select(own.alias(record_id), status.alias("status"), start.alias("start"), (start + F.col("bytes")).alias("end"), "primary_digest", "replica_digest", F.lit(height).alias("levels"))
 
@@ -85,12 +90,13 @@ def audit(primary: DataFrame, replica: DataFrame, record_id: str = "page_id", ur
 def _differing(left: DataFrame, right: DataFrame, up: str | None) -> DataFrame:
     """Nodes whose digests differ, with their start in the primary: the parent's and the lengths of earlier siblings."""
     if up:
-        before = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("up").orderBy(F.asc_nulls_last("node")).rowsBetween(Window.unboundedPreceding, -1)
         left = left.withColumn("start", F.col("from") + F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     else:
         left = left.withColumn("start", F.lit(0).cast("long"))
     left = left.select("node", "bytes", "start", F.col("digest").alias("primary_digest"))
-    both = left.join(right.select("node", F.col("digest").alias("replica_digest")), "node", "full_outer")
+    right = right.select(F.col("node").alias("other"), F.lit(True).alias("held"), F.col("digest").alias("replica_digest"))
+    both = left.join(right, F.col("node").eqNullSafe(F.col("other")), "full_outer").withColumn("node", F.when(F.col("held"), F.col("other")).otherwise(F.col("node")))
     both = both.where(~F.col("primary_digest").eqNullSafe(F.col("replica_digest")))
     return both.withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
 

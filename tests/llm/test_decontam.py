@@ -47,12 +47,14 @@ def case(seed=3):
 
 def test_against_brute_force(spark):
     docs, items = case()
-    d = spark.createDataFrame([(*r, "n") for r in docs], "doc_id long, text string, item_id string")
+    d = spark.createDataFrame([(*r, "n", 1, 2) for r in docs], "doc_id long, text string, item_id string, bad_id int, h int")
     i = spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r) for r in contained_items(d, i).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, items) and len(got) > 15
     bad = {r[0] for r in got}
-    kept = [r.doc_id for r in remove_contaminated(d, i).collect()]
+    kept = remove_contaminated(d, i)
+    assert kept.columns == d.columns
+    kept = [r.doc_id for r in kept.collect()]
     assert sorted(map(str, kept)) == sorted(str(k) for k, _ in docs if k not in bad)
 
 
@@ -61,3 +63,17 @@ def test_no_python_in_the_plan_and_empty(spark):
     i = spark.createDataFrame([], "item_id long, text string")
     found = contained_items(d, i)
     assert found.count() == 0 and "Python" not in found._jdf.queryExecution().toString()
+    assert remove_contaminated(d, i).count() == 0
+
+
+def test_sketches_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("curbline.llm.decontam.BROADCAST_ROWS", 0)
+    docs, items = case(4)
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(docs, items)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000 + "a fine small test item of eight words"), (2, "word " * 300_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "A fine small test item of eight words")], "item_id long, text string")
+    assert [tuple(r) for r in contained_items(docs, items).collect()] == [(1, 7, 4, 4, 1.0)]

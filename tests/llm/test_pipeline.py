@@ -27,7 +27,7 @@ def test_against_a_plain_version(spark, tmp_path):
     model = lang_id.train(docs)
     found = dict(zip(rows, model.documents(list(rows.values()))))
     left = {d: t for d, t in rows.items() if found[d][0] != "und" and found[d][1] >= lang_id.ACCEPT}
-    least = {d: c for d, _, c in test_simhash.brute(list(left.items()))}
+    least = {d: c for d, _, c in test_simhash.brute(list(left.items()), corpus_pipeline.RADIUS, corpus_pipeline.SEEDS)}
     left = {d: t for d, t in left.items() if least[str(d)] == d}
     items = [tuple(r) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
     bad = {r[0] for r in test_decontam.brute(list(left.items()), items)}

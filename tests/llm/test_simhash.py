@@ -6,17 +6,30 @@ from hypothesis import strategies as st
 from curbline.llm.simhash import fingerprint, keep_one, near_duplicates, pair_links
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, seed=0):
     words = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
     if not words:
         return 0
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    hashes = [plain_remix(xxhash.xxh64_intdigest(s, seed=42), seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute(rows, radius=4):
+MASK = (1 << 64) - 1
+
+
+def plain_remix(x, seed):
+    if not seed:
+        return x
+    x = (x + seed * 0x9E3779B97F4A7C15) & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def brute(rows, radius=4, seeds=1):
     fps = [plain_fingerprint(t) for _, t in rows]
+    every = [[plain_fingerprint(t, k) for k in range(seeds)] for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +39,7 @@ def brute(rows, radius=4):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+            if any(bin(x ^ y).count("1") <= radius for x, y in zip(every[i], every[j], strict=True)):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}

@@ -36,3 +36,19 @@ def test_nulls_repeats_and_empty(spark):
     assert {(r.page_id, r.status) for r in got} == {(None, "corrupt"), (4, "corrupt")}
     assert audit(one.limit(0), one.limit(0)).count() == 0
     assert audit(one.limit(0), one).count() == 3
+
+
+def test_extreme_ids_and_a_very_long_page(spark):
+    schema = "page_id long, url string, html string, up long"
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "a", "x", 1), (low + 1, "b", None, 1), (-1, "c", "y", 1), (0, "d", "z" * 3_000_000, 1), (high - 1, "e", "", 1), (high, "f", "w", 1), (None, "g", "v", 1)]
+    other = [(*r[:2], (r[2] or "") + "!" * (r[0] in (low, 0, high, None)), 2) for r in rows]
+    got = audit(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)).collect()
+    assert {r.page_id for r in got} == {low, 0, high, None} and {r.status for r in got} == {"corrupt"}
+    at, start = 0, {}
+    for r in rows:
+        start[r[0]], at = (at, at + len(record(*r[1:3]))), at + len(record(*r[1:3]))
+    assert {r.page_id: (r.start, r.end) for r in got} == {k: start[k] for k in (low, 0, high, None)}
+    two = [r for r in rows if r[0] in (high, None)]
+    got = audit(spark.createDataFrame(two, schema), spark.createDataFrame(two[:1], schema)).collect()
+    assert [(r.page_id, r.status) for r in got] == [(None, "missing")]
