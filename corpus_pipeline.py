@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import bpe, decontam, lang_id, secrets, simhash
-from curbline.plans.session import checkpoint_dir
+from curbline.plans.session import checkpoint_dir, remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,9 +23,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BATCH_ROWS = 500
 
 
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    """Bounds what a stage hands to Python at a time. The plan runs after the stage has returned, so the setting stays."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds what a stage hands to Python at a time. The plan runs after the stage has returned, so a stage leaves the setting; run() puts
+    it back."""
+    spark.conf.set(BATCHES, str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +38,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
+#: Near copies differ in more bits than exact ones: this many fingerprints of independent hashes, any of which may link, within this radius.
+SEEDS, RADIUS = 5, 5
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id."""
     _small_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, radius=RADIUS, seeds=SEEDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +80,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Every result lies in the shared folder before the next stage begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents. Every result lies in the shared folder before the next stage begins, and goes once that has ended."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCHES)
+    folder, last = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
+    finally:
+        spark.conf.set(BATCHES, kept)
     return docs

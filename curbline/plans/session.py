@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +20,36 @@ def build_session(app: str = "curbline", master: str = "local[8]", shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all machines share, from spark.checkpoint.dir. Where that is unset a local master, whose only machine this is, gets a
+    temporary one that goes when the program ends; on a cluster it must be set."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return shared or current.get()
-    shared = shared or tempfile.mkdtemp(prefix="curbline-checkpoint-")
+    if not shared:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="curbline-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
     return shared
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared folder: lineage ends here and a lost executor loses nothing."""
+    """The rows of df, kept in the shared folder: lineage ends here and a lost executor loses nothing. Spark's cleaner deletes the files once
+    nothing refers to the result, where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,4 +5,4 @@ from curbline.plans.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("curbline-llm-tests", "local[4]", 4)
+    return build_session("curbline-tests", "local[4]", 4)
