@@ -68,17 +68,22 @@ def _average_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ap50(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision a class: a prediction is true if greedy_match gives it a truth. The SQL counts best overlaps over 0.3 of any class instead."""
+    """Average precision a class: a prediction is true if greedy_match gives it a truth."""
     return _average_precision(spark, d).select("cls", "n_gt", F.round("ap50", 6).alias("ap50"))
 
 
 TRUE = f"""{BX}, pr AS (SELECT g.idx AS gt, g.cls, p.idx, p.cls AS pcls, {IOU} AS iou FROM bx g JOIN bx p ON g.image = p.image AND NOT g.pred AND p.pred),
-bo AS (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY iou DESC, idx) AS k FROM pr),
-sc AS (SELECT idx, cls, conf, idx IN (SELECT idx FROM bo WHERE k = 1 AND iou > 0.3 AND pcls = cls) AS tp FROM bx WHERE pred)"""
+bo AS (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY iou DESC, idx) AS k FROM pr)"""
+# greedy matching: each image and class walks its predictions by falling confidence, taking the best truth that is still free
+GREEDY = f"""{BX}, cd AS (SELECT p.image, p.cls, p.idx, p.conf, list(g.idx ORDER BY {IOU} DESC, g.idx) AS gs FROM bx p JOIN bx g ON p.image = g.image AND p.cls = g.cls AND p.pred AND NOT g.pred WHERE {IOU} > 0.5 GROUP BY ALL),
+kd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, idx) AS r FROM cd),
+wk AS (SELECT image, cls, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS g, CAST([] AS BIGINT[]) AS taken FROM kd WHERE r = 1
+ UNION ALL SELECT image, cls, r, idx, g, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g) END FROM (SELECT kd.image, kd.cls, kd.r, kd.idx, wk.taken, CAST(list_filter(kd.gs, lambda x: NOT list_contains(wk.taken, x))[1] AS BIGINT) AS g FROM wk JOIN kd ON kd.image = wk.image AND kd.cls = wk.cls AND kd.r = wk.r + 1)),
+gm AS MATERIALIZED (SELECT bx.idx, bx.image, bx.cls, bx.conf, wk.g AS gt_idx FROM bx LEFT JOIN wk ON wk.idx = bx.idx WHERE bx.pred)"""
 
 
 def recall_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    """Recall by class and size of the truth boxes that greedy_match gives to a prediction, over all truth. The SQL counts any overlap over 0.5 instead."""
+    """Recall by class and size of the truth boxes that greedy_match gives to a prediction, over all truth."""
     m, g = _matched(spark, d)
     held = m.where("gt_idx is not null").select(F.col("gt_idx").alias("idx"), F.lit(True).alias("held"))
     truth = g.withColumn("bucket", B.size_bucket(B.area(F.col("box")) / 4)).join(held, "idx", "left")
@@ -288,7 +293,7 @@ QUERIES = {f.__name__: f for f in (
     negatives, greedy_county_cap, affinity_score, antijoin_exclusions, weighted_draw, review_fold, review_apply, review_tally, wrong_class_summary, url_filename, parse_stem, set_ops_diag, county_counts, road_type_budget, frames_by_road_type,
 )}
 
-_AP = f"WITH {TRUE}, cu AS (SELECT *, sum(tp::INT) OVER w AS t, count(*) OVER w AS n FROM sc WINDOW w AS (PARTITION BY cls ORDER BY conf DESC, idx ROWS UNBOUNDED PRECEDING)), en AS (SELECT cls, tp, max(t / n) OVER (PARTITION BY cls ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM cu), ng AS (SELECT cls, count(*) AS n_gt FROM bx WHERE NOT pred GROUP BY 1), ap AS (SELECT cls, n_gt, coalesce(sum(e) FILTER (tp), 0) / n_gt AS ap FROM ng LEFT JOIN en USING (cls) GROUP BY 1, 2)"
+_AP = f"WITH RECURSIVE {GREEDY}, cu AS (SELECT *, gt_idx IS NOT NULL AS tp, count(gt_idx) OVER w AS t, count(*) OVER w AS n FROM gm WINDOW w AS (PARTITION BY cls ORDER BY conf DESC, idx ROWS UNBOUNDED PRECEDING)), en AS (SELECT cls, tp, max(t / n) OVER (PARTITION BY cls ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM cu), ng AS (SELECT cls, count(*) AS n_gt FROM bx WHERE NOT pred GROUP BY 1), ap AS (SELECT cls, n_gt, coalesce(sum(e) FILTER (tp), 0) / n_gt AS ap FROM ng LEFT JOIN en USING (cls) GROUP BY 1, 2)"
 _FOLD = f"""{RE}, lc AS (SELECT *, max(seq) FILTER (action = 'clear') OVER (PARTITION BY cluster_id) AS c FROM ev), lv AS (SELECT * FROM lc WHERE (c IS NULL OR seq > c) AND action <> 'clear'),
 fo AS (SELECT cluster_id, arg_max(CASE WHEN action = 'correct' THEN 'wrong_class' ELSE value END, seq) FILTER (action IN ('decide', 'correct')) AS decision, max(seq) FILTER (action = 'correct') AS f, max(seq) FILTER (action = 'decide' AND value <> 'wrong_class') AS u,
  arg_max(value, seq) FILTER (action = 'correct') AS cc, arg_max(CASE WHEN original IN ('Regulatory', 'Informational') THEN 'Informational/Regulatory' ELSE original END, seq) FILTER (action = 'correct') AS oc, arg_max(nullif(value, ''), seq) FILTER (action = 'note') AS note,
@@ -299,9 +304,10 @@ _MAP = ", ".join(f"({k}, {'NULL' if v is None else v})" for k, v in RAW_TO_CLASS
 ORACLES = {
     "iou_pairs": f"WITH {BX} SELECT p.idx AS p, g.idx AS g, round({IOU}, 6) AS iou FROM bx p JOIN bx g ON p.image = g.image AND p.pred AND NOT g.pred WHERE {IOU} > 0.3",
     "best_iou_mismatch": f"WITH {TRUE} SELECT gt, cls AS annotated_class, pcls AS predicted_class, idx AS other_idx, round(iou, 6) AS iou FROM bo WHERE k = 1 AND iou >= 0.5 AND cls <> pcls",
-    "uncovered_truth": f"WITH {TRUE} SELECT gt, round(max({AREA} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - ({AREA}) + 1e-6)), 6) AS iou FROM pr JOIN bx g ON g.idx = gt JOIN bx p ON p.idx = pr.idx GROUP BY gt HAVING max({AREA} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - ({AREA}) + 1e-6)) < 0.5",
+    "uncovered_truth": f"WITH {BX}, o AS (SELECT g.idx AS gt, coalesce(max({AREA} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - ({AREA}) + 1e-6)), 0) AS iou FROM bx g LEFT JOIN bx p ON g.image = p.image AND p.pred WHERE NOT g.pred GROUP BY g.idx) SELECT gt, round(iou, 6) AS iou FROM o WHERE iou < 0.5",
     "ap50": f"{_AP} SELECT cls, n_gt, round(ap, 6) AS ap50 FROM ap",
-    "recall_by_bucket": f"WITH {TRUE}, b1 AS (SELECT gt, bo.cls, iou > 0.5 AS hit, {BUCKET.format(a='((g.x2 - g.x1) * (g.y2 - g.y1) / 4)')} AS bucket FROM bo JOIN bx g ON g.idx = gt WHERE k = 1) SELECT cls, count(*) AS n_gt, {', '.join(f'''round(count(*) FILTER (hit AND bucket = '{b}') / nullif(count(*) FILTER (bucket = '{b}'), 0), 6) AS recall_{b}''' for b in ('tiny', 'small', 'medium', 'large'))}, round(count(*) FILTER (hit AND bucket IN ('medium', 'large')) / nullif(count(*) FILTER (bucket IN ('medium', 'large')), 0), 6) AS recall_medium_large FROM b1 GROUP BY cls",
+    "greedy_match": f"WITH RECURSIVE {GREEDY} SELECT idx, image, cls, gt_idx FROM gm",
+    "recall_by_bucket": f"WITH RECURSIVE {GREEDY}, b1 AS (SELECT g.cls, m.idx IS NOT NULL AS hit, {BUCKET.format(a='((g.x2 - g.x1) * (g.y2 - g.y1) / 4)')} AS bucket FROM bx g LEFT JOIN gm m ON m.gt_idx = g.idx WHERE NOT g.pred) SELECT cls, count(*) AS n_gt, {', '.join(f'''round(count(*) FILTER (hit AND bucket = '{b}') / nullif(count(*) FILTER (bucket = '{b}'), 0), 6) AS recall_{b}''' for b in ('tiny', 'small', 'medium', 'large'))}, round(count(*) FILTER (hit AND bucket IN ('medium', 'large')) / nullif(count(*) FILTER (bucket IN ('medium', 'large')), 0), 6) AS recall_medium_large FROM b1 GROUP BY cls",
     "weighted_recall": f"WITH {BX} SELECT round(avg(conf), 6) AS weighted_recall FROM bx WHERE pred",
     "recall_gate": f"WITH {BX}, r AS (SELECT cls, avg(conf) AS r FROM bx WHERE pred GROUP BY 1), w AS (SELECT avg(conf) AS w FROM bx WHERE pred) SELECT count(*) FILTER (r < 0.1) AS n_below, round(max(w), 6) AS weighted_recall, CASE WHEN count(*) FILTER (r < 0.1) > 0 THEN 1 WHEN max(w) < 0.1 THEN 2 ELSE 0 END AS exit_code FROM r, w",
     "coarse_mean_ap": f"{_AP} SELECT coarse, round(avg(ap), 6) AS mean_ap50, count(*) AS n_classes FROM ap JOIN (VALUES ('view', 'seen'), ('click', 'seen'), ('signup', 'done'), ('purchase', 'done')) AS t(cls, coarse) USING (cls) GROUP BY 1",
@@ -341,4 +347,8 @@ ORACLES = {
     "set_ops_diag": f"WITH {MF}, a AS (SELECT county, road_type FROM mf WHERE video_id % 2 = 0), b AS (SELECT county, road_type FROM mf WHERE size > 5000) SELECT *, 'both' AS op FROM (FROM a INTERSECT FROM b) UNION ALL SELECT *, 'left' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT FROM a)",
     "county_counts": f"WITH {MF} SELECT county, count(*) AS n, count(DISTINCT road_type) AS road_types FROM mf GROUP BY 1 ORDER BY n DESC, county LIMIT 20",
     "road_type_budget": f"WITH {MF}, o AS (SELECT road_type, count(*) AS n FROM mf WHERE road_type <> 'BUILDING' GROUP BY 1) SELECT road_type, CAST(greatest(n, round_even(3600 * n / sum(n) OVER (), 0)) AS BIGINT) AS budget FROM o UNION ALL SELECT 'BUILDING', 2400",
+    "frames_by_road_type": f"""WITH {MF}, b AS (SELECT road_type, count(*) AS c FROM mf GROUP BY 1), o AS (SELECT road_type, CASE WHEN road_type = 'BUILDING' THEN 160 ELSE CAST(greatest(c, round_even(240 * c / (sum(c) FILTER (road_type <> 'BUILDING') OVER ()), 0)) AS BIGINT) END AS budget FROM b),
+v AS (SELECT road_type, county, count(*) AS n FROM mf GROUP BY 1, 2), t AS (SELECT *, least(n, greatest(1, budget // count(*) OVER (PARTITION BY road_type))) AS take FROM v JOIN o USING (road_type)),
+w AS (SELECT *, take + greatest(0, least(n - take, budget - sum(take) OVER (PARTITION BY road_type) - coalesce(sum(n - take) OVER (PARTITION BY road_type ORDER BY n DESC, county ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS want FROM t),
+r AS (SELECT mf.*, row_number() OVER (PARTITION BY road_type, county ORDER BY {ORDER42.format(k='video_id')}) AS r FROM mf) SELECT road_type, video_id AS filename FROM r JOIN w USING (road_type, county) WHERE r <= want""",
 }

@@ -19,9 +19,9 @@ INV_CLASS = """CASE WHEN u LIKE 'R1-1%' THEN 'StopSigns' WHEN u LIKE 'R2%' THEN
  WHEN c IN ('WARNING', 'SCHOOL') THEN 'Warnings' ELSE 'Regulatory' END"""
 INV = f"inv AS (SELECT *, {INV_CLASS} AS inv_class FROM (SELECT *, upper(trim(code)) AS u, upper(trim(category)) AS c FROM ({views.INVENTORY})))"
 COMP = f"""{DET}, pts AS (SELECT *, lon * 111320e0 * cos(radians(avg(lat) OVER (PARTITION BY video_id))) AS x, lat * 111320e0 AS y FROM d),
-e AS (SELECT a.det_idx AS a, b.det_idx AS b FROM pts a JOIN pts b ON a.video_id = b.video_id AND a.det_idx <> b.det_idx AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 225),
+e AS MATERIALIZED (SELECT a.det_idx AS a, b.det_idx AS b FROM pts a JOIN pts b ON a.video_id = b.video_id AND a.det_idx <> b.det_idx AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 225),
 r(node, reach) AS (SELECT det_idx, det_idx FROM pts UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
-comp AS (SELECT node AS det_idx, min(reach) AS component FROM r GROUP BY node),
+comp AS MATERIALIZED (SELECT node AS det_idx, min(reach) AS component FROM r GROUP BY node),
 m AS (SELECT d.*, component FROM d JOIN comp USING (det_idx))"""
 HAV = "2 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
 
@@ -66,10 +66,10 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
 MERGE = f"""WITH RECURSIVE {COMP}, v0 AS (SELECT component, class_name, count(*) AS n, min(det_idx) AS first FROM m GROUP BY 1, 2),
 t0 AS (SELECT component, class_name AS top_class FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, first) AS k FROM v0) WHERE k = 1),
 c0 AS (SELECT component, min(video_id) AS video_id, quantile_cont(lat, 0.5) AS la, quantile_cont(lon, 0.5) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY confidence DESC, det_idx) AS k FROM m) WHERE k <= 5 GROUP BY 1),
-h AS (SELECT * FROM c0 JOIN t0 USING (component)),
-e2 AS (SELECT a.component AS a, b.component AS b FROM h a JOIN h b ON a.video_id = b.video_id AND a.top_class = b.top_class AND a.component <> b.component AND {_hav('a.la', 'a.lo', 'b.la', 'b.lo')} <= 20),
+h AS MATERIALIZED (SELECT * FROM c0 JOIN t0 USING (component)),
+e2 AS MATERIALIZED (SELECT a.component AS a, b.component AS b FROM h a JOIN h b ON a.video_id = b.video_id AND a.top_class = b.top_class AND a.component <> b.component AND {_hav('a.la', 'a.lo', 'b.la', 'b.lo')} <= 20),
 r2(node, reach) AS (SELECT component, component FROM h UNION SELECT r2.node, e2.b FROM r2 JOIN e2 ON r2.reach = e2.a),
-g AS (SELECT node AS component, min(reach) AS cluster FROM r2 GROUP BY 1),
+g AS MATERIALIZED (SELECT node AS component, min(reach) AS cluster FROM r2 GROUP BY 1),
 mm AS (SELECT m.*, cluster, struct_pack(component := m.component, det_idx := det_idx) AS member_order FROM m JOIN g USING (component))"""
 
 
@@ -202,7 +202,7 @@ def report_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """All that is to be reviewed. The SQL shows the first 50."""
+    """All that is to be reviewed."""
     return V.queue(_reconciled(spark, d)).select("cluster_id", "discrepancy_type")
 
 
@@ -241,6 +241,6 @@ SELECT det_idx, {', '.join(f"round(CASE WHEN t0 IS NULL THEN CASE WHEN t1 - t <=
     "plane_coordinates": f"WITH {DET} SELECT det_idx, round(lon * 111320e0 * cos(radians(avg(lat) OVER (PARTITION BY video_id))), 4) AS x, round(lat * 111320e0, 4) AS y FROM d",
     "discrepancy_report": f"{_RECONCILED} SELECT format('disc_{{:03d}}', row_number() OVER (ORDER BY cluster_id)) AS id, discrepancy_type AS type, cluster_id, sign_class, 'pending' AS status FROM rc WHERE discrepancy_type IS NOT NULL",
     "report_totals": f"{_RECONCILED} SELECT (SELECT CAST(sum(sighting_count) AS BIGINT) FROM cl) AS total_detections, count(*) AS total_clusters, count(*) FILTER (needs_review) AS needs_review, count(discrepancy_type) AS discrepancies FROM rc",
-    "review_queue": f"{_RECONCILED} SELECT cluster_id, discrepancy_type FROM rc LEFT JOIN (SELECT cluster AS c, confidence FROM cl) ON c = cluster_id WHERE needs_review ORDER BY CASE WHEN discrepancy_type IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN discrepancy_type = 'in_inventory_not_detected' THEN 0 ELSE confidence END, cluster_id LIMIT 50",
+    "review_queue": f"{_RECONCILED} SELECT cluster_id, discrepancy_type FROM rc LEFT JOIN (SELECT cluster AS c, confidence FROM cl) ON c = cluster_id WHERE needs_review ORDER BY CASE WHEN discrepancy_type IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN discrepancy_type = 'in_inventory_not_detected' THEN 0 ELSE confidence END, cluster_id",
     "next_nearest": f"{CLUSTERS} SELECT cluster AS cluster_id, round(pow(lat_median - 38.3011, 2) + pow(lon_median + 81.5987, 2), 10) AS d2 FROM cl WHERE review_reason IS NOT NULL ORDER BY pow(lat_median - 38.3011, 2) + pow(lon_median + 81.5987, 2), cluster LIMIT 1",
 }
