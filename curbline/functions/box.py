@@ -63,6 +63,15 @@ def thumbnail(b: Column, width: Column, height: Column, pad: float = 0.4, most_w
     return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), scale.alias("scale"))
 
 
+def context_patch(cell: Column, half: Column, width: Column, height: Column) -> Column:
+    """The square of half a side around a cell's centre in whole pixels, cut at the image; null if under 4 pixels either way."""
+    cx, cy = (cell["x1"] + cell["x2"]) / 2, (cell["y1"] + cell["y2"]) / 2
+    whole = lambda v: v.cast("int")
+    x1, y1 = whole(F.greatest(F.lit(0.0), cx - half)), whole(F.greatest(F.lit(0.0), cy - half))
+    x2, y2 = whole(F.least(width.cast("double"), cx + half)), whole(F.least(height.cast("double"), cy + half))
+    return F.when((x2 - x1 >= 4) & (y2 - y1 >= 4), box(x1, y1, x2, y2))
+
+
 def grid_cells(width: Column, height: Column, stride: int) -> Column:
     """The cell boxes of a tiling, as an array: cells past the edge are cut at it."""
     xs = F.sequence(F.lit(0), F.greatest(F.ceil(width / stride) - 1, F.lit(0)).cast("int"))

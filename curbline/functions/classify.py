@@ -24,6 +24,39 @@ NOT_INVENTORIED = ["Warnings"]
 MERGED, MERGED_NAME = ["Regulatory", "Informational"], "Informational/Regulatory"
 
 
+# How likely a road shows a target class; roads not named count 1.
+ROAD_AFFINITY = {
+    "deerCrossing": {"County Route": 3.0, "WV Route": 2.5, "Federal Aid Non-State": 2.0, "US Route": 1.5, "Municipal Non-State": 0.3, "Interstate": 0.4},
+    "pedestrianCrossing": {"Municipal Non-State": 4.0, "US Route": 1.5, "Federal Aid Non-State": 1.0, "WV Route": 1.0, "County Route": 0.5, "Interstate": 0.2},
+    "railroadCrossing": {"County Route": 2.0, "WV Route": 2.0, "US Route": 2.0, "Federal Aid Non-State": 1.5, "Municipal Non-State": 1.5, "Interstate": 0.4},
+    "curve": {"County Route": 3.0, "WV Route": 2.5, "Federal Aid Non-State": 2.0, "US Route": 1.5, "Municipal Non-State": 0.5, "Interstate": 0.3},
+}
+# Counties by kind, and how likely a kind shows a target class.
+RURAL_COUNTIES = [
+    "Pocahontas", "Webster", "Nicholas", "Randolph", "Tucker", "Pendleton", "Grant", "Hardy", "Hampshire", "Morgan", "Mineral", "Upshur",
+    "Braxton", "Clay", "Gilmer", "Calhoun", "Wirt", "Roane", "Jackson", "McDowell", "Wyoming", "Logan", "Lincoln", "Mingo",
+]
+URBAN_COUNTIES = ["Kanawha", "Cabell", "Ohio", "Monongalia", "Wood", "Berkeley", "Jefferson", "Marion", "Harrison", "Raleigh", "Mercer"]
+COUNTY_AFFINITY = {
+    "deerCrossing": {"rural": 1.6, "urban": 0.6, "other": 1.0},
+    "pedestrianCrossing": {"rural": 0.6, "urban": 1.6, "other": 1.0},
+    "railroadCrossing": {"rural": 1.1, "urban": 1.1, "other": 1.0},
+    "curve": {"rural": 1.5, "urban": 0.5, "other": 1.0},
+}
+# The road that earns a bonus in counties not yet covered, and the bonus.
+NEW_COUNTY_ROAD, NEW_COUNTY_BONUS = "County Route", 2.0
+
+
+def county_type(county: Column, rural: Sequence[str] = RURAL_COUNTIES, urban: Sequence[str] = URBAN_COUNTIES) -> Column:
+    return F.when(county.isin(*rural), "rural").when(county.isin(*urban), "urban").otherwise("other")
+
+
+def affinity(road: Column, kind: Column, target: str, new_county: Column | None = None, roads: Mapping = ROAD_AFFINITY, kinds: Mapping = COUNTY_AFFINITY, bonus_road: str = NEW_COUNTY_ROAD) -> Column:
+    """How promising a video is for a target class: by its road, the kind of its county, and whether its county is new."""
+    score = by_map(road, roads[target], 1.0) * by_map(kind, kinds[target], 1.0)
+    return score if new_county is None else score * F.when(new_county & (road == bonus_road), NEW_COUNTY_BONUS).otherwise(1.0)
+
+
 def by_prefix(value: Column, rules: Sequence[tuple[str, object]], default: object = None) -> Column:
     """The result of the first rule whose prefix the value has."""
     found = None

@@ -31,5 +31,10 @@ def valid_fix(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Half-to-even rounding of the decimal as it prints, for reports that ask for it; everything else rounds half up."""
+    return F.bround(value, digits)
+
+
 def lerp(a: Column, b: Column, f: Column) -> Column:
     return a + (b - a) * f

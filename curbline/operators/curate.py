@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbline.functions.box import aspect
+from curbline.functions.text import stable_order
+from curbline.operators.ordered import numbered
+
 
 def remap(boxes: DataFrame, mapping: DataFrame, cls: str = "class_idx") -> DataFrame:
     """boxes with new_class by mapping (raw, new); classes unknown or mapped to null are dropped."""
@@ -107,6 +111,66 @@ def drop_unlocated(frames: DataFrame, name: str = "location") -> DataFrame:
     return seen.where("lat is not null and lon is not null")
 
 
+def confident(rows: DataFrame, least: float = 0.5, conf: str = "conf") -> DataFrame:
+    return rows.where(F.col(conf) >= least)
+
+
+def squarish(rows: DataFrame, low: float = 0.5, high: float = 2.0, w: str = "w", h: str = "h") -> DataFrame:
+    """Boxes whose aspect lies strictly between low and high; without a height it is 0."""
+    shape = aspect(F.col(w), F.col(h))
+    return rows.where((shape > low) & (shape < high))
+
+
+# Fixed value: roads left out for their many stops.
+MUNICIPAL = "Municipal Non-State"
+
+
+def without_road(rows: DataFrame, road: str, left_out: str = MUNICIPAL) -> DataFrame:
+    """rows but those of one road type; rows without a road type stay."""
+    return rows.where(~F.col(road).eqNullSafe(F.lit(left_out)))
+
+
+def sharp_parts(frames: DataFrame) -> DataFrame:
+    """frames with part: candidate and background are sharp ones, blurred_candidate counts only in the tally; the rest goes."""
+    part = F.when(F.col("is_candidate") & F.col("is_sharp"), "candidate").when(~F.col("is_candidate") & F.col("is_sharp"), "background").when(F.col("is_candidate"), "blurred_candidate")
+    return frames.withColumn("part", part).where("part is not null")
+
+
+# Fixed value: frames annotated in an hour.
+FRAMES_AN_HOUR = 380
+
+
+def annotation_hours(frames: DataFrame) -> DataFrame:
+    """One row: the number of frames and the hours to annotate them."""
+    return frames.agg(F.count("*").alias("n")).withColumn("hours", F.col("n") / FRAMES_AN_HOUR)
+
+
+def dedupe_summary(frames: DataFrame, keep: int, cls: str = "cls", cluster: str = "cluster", score: str = "score", key: str = "stem") -> DataFrame:
+    """A row a class: frames, instances (clusters), frames kept (the keep best of each cluster), frames an instance. Counts a class and cluster first."""
+    per = frames.groupBy(cls, cluster).agg(F.count("*").alias("_n"))
+    return per.groupBy(cls).agg(F.sum("_n").alias("frames"), F.count("*").alias("instances"), F.sum(F.least("_n", F.lit(keep))).alias("kept")).withColumn("frames_per_instance", F.col("frames") / F.col("instances"))
+
+
+def method_counts(hits: DataFrame, bucket: str = "bucket", method: str = "method") -> DataFrame:
+    return hits.groupBy(bucket, method).agg(F.count("*").alias("n"))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys on both sides: empty where splits are disjoint, as they must be."""
+    return left.select(key).intersect(right.select(key))
+
+
+def tiered(rows: DataFrame, tiers: tuple[Column, ...], key: str, seed: int = 42) -> DataFrame:
+    """rows in order: those of the first tier's condition first, among them those of the second's, ...; within that by chance."""
+    return rows.orderBy(*(F.when(t, 0).otherwise(1) for t in tiers), stable_order(seed, F.col(key)), key)
+
+
+def top_class(rows: DataFrame, by: str, cls: str = "cls") -> DataFrame:
+    """The most frequent class of each group; of equals the first by name."""
+    n = rows.groupBy(by, cls).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.min_by(F.struct(cls, "n"), F.struct((-F.col("n")).alias("m"), cls)).alias("t")).select(by, F.col(f"t.{cls}").alias(cls), F.col("t.n").alias("n"))
+
+
 def candidate_counts(rows: DataFrame, video: str, cls: str, classes: list[str]) -> DataFrame:
     """One row a video with a column a class: the classes are given, so that there is one pass."""
     return rows.groupBy(video).pivot(cls, classes).agg(F.count(F.lit(1))).na.fill(0, classes)
@@ -116,8 +180,8 @@ def recover_ids(rows: DataFrame, found: Column, order: str) -> DataFrame:
     """rows with cluster_id: the found one, or numbers above the largest found in the order of the rows that have none."""
     top = rows.agg(F.coalesce(F.max(found), F.lit(0)).alias("_top"))
     known = rows.where(found.isNotNull()).withColumn("cluster_id", found)
-    rest = rows.where(found.isNull()).join(F.broadcast(top), F.lit(True)).withColumn("cluster_id", F.col("_top") + F.row_number().over(Window.orderBy(order))).drop("_top")
-    return known.unionByName(rest)
+    rest = numbered(rows.where(found.isNull()), (order,), "_n").join(F.broadcast(top), F.lit(True))
+    return known.unionByName(rest.withColumn("cluster_id", F.col("_top") + F.col("_n")).drop("_top", "_n"))
 
 
 def pending(items: DataFrame) -> DataFrame:

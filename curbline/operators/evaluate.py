@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions.box import iou
+from curbline.operators.ordered import best_after, running
 
 
 def best_overlap(asked: DataFrame, others: DataFrame, by: str, box: str = "box", other_box: str = "other_box", keep: tuple[str, ...] = (), order: str = "other_idx", eps: float = 0.0) -> DataFrame:
@@ -46,12 +47,12 @@ def greedy_match(preds: DataFrame, truth: DataFrame, threshold: float = 0.5, ima
 def average_precision(scored: DataFrame, truth_counts: DataFrame, by: tuple[str, ...] = ("cls",), conf: str = "conf", tp: str = "is_tp", order: str = "idx") -> DataFrame:
     """All-point average precision a group: the area under the precision envelope. NaN without truth, 0 without predictions.
 
-    scored has a row a prediction, truth_counts (by, n_gt). Running sums, a reversed running maximum, one sum.
+    scored has a row a prediction, truth_counts (by, n_gt). Running sums, a reversed running maximum, one sum: over ranges of confidence, so
+    that a class with most of the predictions is not one task.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc(conf), order).rowsBetween(Window.unboundedPreceding, 0)
-    s = scored.withColumn("_tp", F.sum(F.col(tp).cast("long")).over(w)).withColumn("_n", F.count("*").over(w)).withColumn("_p", F.col("_tp") / F.col("_n"))
-    envelope = F.max("_p").over(Window.partitionBy(*by).orderBy("_n").rowsBetween(0, Window.unboundedFollowing))
-    area = s.withColumn("_e", envelope).groupBy(*by).agg(F.sum(F.when(F.col(tp), F.col("_e")).otherwise(0.0)).alias("_a"))
+    s = running(scored.select(*by, conf, tp, order), by, (F.desc(conf), order), {"_tp": F.col(tp).cast("long"), "_n": F.lit(1)})
+    s = best_after(s.withColumn("_precision", F.col("_tp") / F.col("_n")).select(*by, tp, "_precision", "_n"), by, ("_n",), "_precision", "_e")
+    area = s.groupBy(*by).agg(F.sum(F.when(F.col(tp), F.col("_e")).otherwise(0.0)).alias("_a"))
     out = truth_counts.join(area, list(by), "left")
     return out.withColumn("ap50", F.when(F.col("n_gt") == 0, F.lit(float("nan"))).otherwise(F.coalesce(F.col("_a"), F.lit(0.0)) / F.col("n_gt"))).drop("_a")
 

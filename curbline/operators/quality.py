@@ -33,6 +33,41 @@ def label_checks(lines: DataFrame, stems: DataFrame, images: DataFrame, n_classe
     return out.unionByName(rest)
 
 
+def preflight(splits: DataFrame, lines: DataFrame, stems: DataFrame, images: DataFrame, strict: bool = False) -> DataFrame:
+    """One row a configuration and split: counts, the largest class index out of range, and PASS or FAIL.
+
+    splits (config, split, nc) are those configured; lines (config, split, stem, n_fields, class_text, cx, cy, w, h) of label files, stems and images
+    (config, split, stem, broken) of the files listed, broken ones being links that lead nowhere. A configured split without images or labels fails, as do bad
+    lines and broken links; files without their pair are warnings, which fail only if strict.
+    """
+    by = ["config", "split"]
+    cls, five, outside = F.col("class_text").try_cast("int"), F.col("n_fields") == 5, F.lit(False)
+    for c in ("cx", "cy", "w", "h"):
+        outside |= F.coalesce(~F.col(c).between(0, 1), F.lit(True))
+    j = lines.join(splits, by)
+    bad = cls.isNull() | ~cls.between(0, F.col("nc") - 1)
+    seen = j.groupBy(*by).agg(
+        F.count_if(five).alias("boxes"), F.count_if(~five).alias("bad_fields"), F.count_if(five & bad).alias("bad_class"),
+        F.coalesce(F.max(F.when(five & bad, cls)), F.lit(-1)).alias("worst_class"), F.count_if(five & cls.isNotNull() & outside).alias("bad_coordinates"),
+    )
+    files = lambda x, name: x.groupBy(*by).agg(F.count("*").alias(f"n_{name}"), F.count_if("broken").alias(f"broken_{name}"))
+    alone = stems.select(*by, "stem").distinct().withColumn("a", F.lit(1)).join(images.select(*by, "stem").distinct().withColumn("b", F.lit(1)), [*by, "stem"], "full_outer")
+    alone = alone.groupBy(*by).agg(F.count_if(F.col("b").isNull()).alias("labels_alone"), F.count_if(F.col("a").isNull()).alias("images_alone"))
+    empty = stems.join(lines.select(*by, "stem").distinct(), [*by, "stem"], "left_anti").groupBy(*by).agg(F.count("*").alias("empty_labels"))
+    out = splits
+    for part in (files(images, "images"), files(stems, "labels"), seen, empty, alone):
+        out = out.join(part, by, "left")
+    out = out.withColumn("worst_class", F.coalesce("worst_class", F.lit(-1))).na.fill(0)
+    errors = (F.col("n_images") == 0) | (F.col("n_labels") == 0) | (F.col("broken_images") + F.col("broken_labels") + F.col("bad_fields") + F.col("bad_class") + F.col("bad_coordinates") > 0)
+    warned = F.col("labels_alone") + F.col("images_alone") > 0
+    return out.withColumn("status", F.when(errors | (warned & F.lit(strict)), "FAIL").otherwise("PASS"))
+
+
+def preflight_verdicts(report: DataFrame) -> DataFrame:
+    """(config, status): a configuration passes if all its splits do."""
+    return report.groupBy("config").agg(F.when(F.count_if(F.col("status") == "FAIL") > 0, "FAIL").otherwise("PASS").alias("status"))
+
+
 def examples(lines: DataFrame, bad, k: int = 5) -> DataFrame:
     """The first k bad lines: a top-k, not a collected list."""
     return lines.where(bad).orderBy("stem", "line_no").limit(k)

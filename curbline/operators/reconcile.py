@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions.classify import NOT_INVENTORIED, collapse
 from curbline.functions.geo import CORRIDOR_M_PER_DEG, valid_fix
+from curbline.operators.ordered import numbered
 from curbline.operators.spatial import nearest, within
 from curbline.plans.session import cut
 
@@ -65,9 +66,8 @@ def reconcile(clusters: DataFrame, inventory: DataFrame, radius_m: float = MATCH
     )
     gone = missing(clusters, nearby, matched, missing_m)
     top = clusters.agg(F.coalesce(F.max("cluster_id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("inv_ord"))  # missing signs of one run: a report
-    gone = gone.join(F.broadcast(top), F.lit(True)).select(
-        (F.col("top") + number).alias("cluster_id"), F.col("inv_class").alias("sign_class"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("sighting_count"), F.lit(True).alias("needs_review"),
+    gone = numbered(gone, ("inv_ord",), "_n").join(F.broadcast(top), F.lit(True)).select(
+        (F.col("top") + F.col("_n")).alias("cluster_id"), F.col("inv_class").alias("sign_class"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("sighting_count"), F.lit(True).alias("needs_review"),
         F.lit("In inventory but not detected").alias("review_reason"), F.col("inv_lat").alias("lat_median"), F.col("inv_lon").alias("lon_median"),
         F.col("inv_id").cast("string").alias("inventory_match"), F.lit(None).cast("double").alias("inventory_distance_m"), F.col("inv_class").alias("inventory_class"), F.lit("in_inventory_not_detected").alias("discrepancy_type"),
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions.classify import collapse
+from curbline.operators.ordered import numbered
 
 
 def fold(events: DataFrame, key: str = "cluster_id", seq: str = "seq") -> DataFrame:
@@ -74,9 +75,9 @@ def mark_reviewed(clusters: DataFrame, cluster_id: int) -> DataFrame:
 
 
 def discrepancies(clusters: DataFrame) -> DataFrame:
-    """Numbered discrepancy rows, disc_001 and on, in the order of clusters: a report of one run."""
-    n = F.row_number().over(Window.orderBy("cluster_id"))
-    return clusters.where("discrepancy_type is not null").select(F.format_string("disc_%03d", n).alias("id"), F.col("discrepancy_type").alias("type"), "cluster_id", "sign_class", "confidence", "sighting_count", "review_reason", F.lit("pending").alias("status"))
+    """Numbered discrepancy rows, disc_001 and on, in the order of clusters."""
+    found = numbered(clusters.where("discrepancy_type is not null"), ("cluster_id",), "_n")
+    return found.select(F.format_string("disc_%03d", F.col("_n")).alias("id"), F.col("discrepancy_type").alias("type"), "cluster_id", "sign_class", "confidence", "sighting_count", "review_reason", F.lit("pending").alias("status"))
 
 
 def wrong_class_summary(reviews: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions.text import stable_order
+from curbline.operators.ordered import numbered, running
 
 
 def _rank(seed: int, key: str, by: tuple[str, ...] = ()) -> Column:
@@ -24,17 +25,20 @@ def random_split(rows: DataFrame, key: str, share: float, seed: int = 42) -> Dat
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, share: float = 0.8, seed: int = 42, empty: int = -1) -> DataFrame:
     """Each stratum's first max(1, floor(share * n)) rows are train; the stratum of empties may have none."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    cut = F.floor(n * share)
+    cut = F.floor(F.col("_all") * share)
     cut = F.when(F.col(stratum).cast("string") == str(empty), cut).otherwise(F.greatest(F.lit(1), cut))
-    return rows.withColumn("split", F.when(_rank(seed, key, (stratum,)) <= cut, "train").otherwise("val"))
+    sizes = rows.groupBy(F.col(stratum).alias("_of")).agg(F.count("*").alias("_all"))
+    ranked = running(rows.withColumn("_h", stable_order(seed, F.col(key))), (stratum,), ("_h", key), {"_r": F.lit(1)})
+    met = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_of")))
+    return met.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("val")).drop("_h", "_r", "_of", "_all")
 
 
 def cluster_split(rows: DataFrame, cluster: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Whole clusters go to val: max(1, round(share * clusters)) of them by chance."""
     clusters = rows.select(cluster).distinct()
     n_val = clusters.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("_v"))
-    chosen = clusters.withColumn("_r", _rank(seed, cluster)).join(F.broadcast(n_val), F.lit(True))
+    ranked = numbered(clusters.withColumn("_h", stable_order(seed, F.col(cluster))), ("_h", cluster), "_r")
+    chosen = ranked.join(F.broadcast(n_val), F.lit(True))
     chosen = chosen.select(cluster, F.when(F.col("_r") <= F.col("_v"), "val").otherwise("train").alias("split"))
     return rows.join(chosen, cluster)
 
@@ -110,6 +114,20 @@ def even_background(frames: DataFrame, n: int, video: str = "video_id", key: str
     return ranked.orderBy("_late", stable_order(seed, F.col(key)), key).limit(n).drop("_r", "_per", "_late")
 
 
+# Fixed value: the share of candidates among new frames.
+CANDIDATE_SHARE = 0.85
+
+
+def mixed_sample(candidates: DataFrame, background: DataFrame, existing: DataFrame, n: int, group: str, key: str, weight: Column, share: float = CANDIDATE_SHARE, seed: int = 42) -> DataFrame:
+    """n frames of two pools, round(share * n) candidates and the rest background, each spread over groups by proportional_budget."""
+    n_candidates = round(n * share)
+    parts = []
+    for name, pool, most in (("candidate", candidates, n_candidates), ("background", background, n - n_candidates)):
+        budgets = proportional_budget(pool, group, weight, existing, most)
+        parts.append(sample_by_budget(pool, budgets, group, key, seed).withColumn("part", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def negatives(cells: DataFrame, positives: DataFrame, image: str, key: str, ratio: int = 3, seed: int = 42) -> DataFrame:
     """Of each image ratio times as many cells as it has positives, by chance."""
     n = positives.groupBy(image).agg((F.count("*") * ratio).alias("_n"))

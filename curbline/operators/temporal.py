@@ -16,6 +16,25 @@ def frame_grid(videos: DataFrame, fps: float, video: str = "video_id", duration_
     return videos.where(F.col(duration_ms) >= 0).select(video, F.explode(frames).alias("frame_no")).withColumn("ts_ms", F.col("frame_no") * step)
 
 
+def frame_stride(videos: DataFrame, every_s: Column | float, video: str = "video_id", fps: str = "fps", n_frames: str = "n_frames", max_s: float | None = None) -> DataFrame:
+    """One row a frame taken by counting: every max(1, round(fps * every_s)) frames, as (video, taken, frame_idx, ts_ms); at most the frames of the
+    first max_s seconds. A rate of 0 or null counts as 30."""
+    rate = F.when(F.col(fps) > 0, F.col(fps)).otherwise(F.lit(30.0))
+    step = F.greatest(F.lit(1), F.bround(rate * every_s)).cast("long")
+    end = F.col(n_frames) if max_s is None else F.least(F.col(n_frames), F.floor(rate * max_s))
+    rows = videos.where(F.col(n_frames) > 0).withColumn("_rate", rate).withColumn("_end", end.cast("long")).withColumn("_step", step).where("_end > 0")
+    taken = F.sequence(F.lit(0).cast("long"), F.col("_end") - 1, F.col("_step"))
+    return rows.select(video, F.posexplode(taken).alias("taken", "frame_idx"), "_rate").select(video, "taken", "frame_idx", (F.col("frame_idx") * 1000.0 / F.col("_rate")).alias("ts_ms"))
+
+
+def frame_seek(videos: DataFrame, most: int | None = None, step_ms: float = 1000.0, video: str = "video_id", duration_ms: str = "duration_ms") -> DataFrame:
+    """One row a position sought: every step_ms before the end, at most most of them, as (video, frame_no, ts_ms)."""
+    n = F.ceil(F.col(duration_ms) / step_ms).cast("long")
+    n = n if most is None else F.least(n, F.lit(most).cast("long"))
+    rows = videos.withColumn("_n", n).where("_n > 0")
+    return rows.select(video, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("frame_no")).withColumn("ts_ms", F.col("frame_no") * step_ms)
+
+
 def interpolate_track(frames: DataFrame, fixes: DataFrame, by: str = "video_id", ts: str = "ts_ms", values: tuple[str, ...] = ("lat", "lon", "alt"), tolerance_ms: float = 2000) -> DataFrame:
     """frames with each value interpolated linearly between the fixes before and after.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.plans import curation, extras, tracks
+from curbline.plans import curation, extras, files, tracks
 
-_MODULES = (tracks, curation, extras)
+_MODULES = (tracks, curation, extras, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

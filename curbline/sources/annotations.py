@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label files as (stem, line_no, n_fields, class_text, class_idx, cx, cy, w, h, raw). Consumers choose how many fields they ask for."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "raw"))
+    return parse_labels(spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("stem"), "value"))
+
+
+def parse_labels(texts: DataFrame) -> DataFrame:
+    """The lines of label texts (stem, value)."""
+    rows = texts.select("stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "raw"))
     f = F.split(F.trim("raw"), r"\s+")
     num = lambda i: F.get("f", F.lit(i)).try_cast("double")
     return rows.where(F.trim("raw") != "").withColumn("f", f).select(
@@ -32,7 +37,11 @@ def read_semicolon_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """Lines "name: a, b" as (name, category, ord): the distinct categories in order of appearance."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "v")).where(F.contains("v", F.lit(":")))
+    return parse_categories(spark.read.text(path, wholetext=True))
+
+
+def parse_categories(texts: DataFrame) -> DataFrame:
+    rows = texts.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "v")).where(F.contains("v", F.lit(":")))
     parts = rows.select("line", F.trim(F.split_part("v", F.lit(":"), F.lit(1))).alias("name"), F.posexplode(F.split(F.regexp_replace("v", r"^[^:]*:", ""), ",")).alias("pos", "c"))
     return parts.where(F.trim("c") != "").groupBy("name", F.trim("c").alias("category")).agg(F.min(F.struct("line", "pos")).alias("ord"))
 
@@ -42,7 +51,15 @@ OBJECTS = "width int, height int, objects array<struct<label:string,bbox:struct<
 
 def read_object_json(spark: SparkSession, path: str) -> DataFrame:
     """One row a usable object: (stem, width, height, label, xmin, ymin, xmax, ymax); occluded, ambiguous and out-of-frame ones go."""
-    rows = spark.read.schema(OBJECTS).json(path, multiLine=True).select("*", F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("stem"))
+    return usable_objects(spark.read.schema(OBJECTS).json(path, multiLine=True).select("*", F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("stem")))
+
+
+def parse_object_json(texts: DataFrame) -> DataFrame:
+    """As read_object_json, of documents (stem, value) that are rows already."""
+    return usable_objects(texts.select("stem", F.from_json("value", OBJECTS).alias("d")).select("stem", "d.*"))
+
+
+def usable_objects(rows: DataFrame) -> DataFrame:
     bad = lambda o: F.coalesce(o["properties"]["occluded"], F.lit(False)) | F.coalesce(o["properties"]["ambiguous"], F.lit(False)) | F.coalesce(o["properties"]["out-of-frame"], F.lit(False))
     return rows.select("stem", "width", "height", F.explode(F.filter("objects", lambda o: ~bad(o))).alias("o")).select("stem", "width", "height", "o.label", "o.bbox.*")
 
@@ -120,7 +137,7 @@ def read_ids(spark: SparkSession, paths: list[str], column: str = "video_id") ->
         hp = fs.Path(p)
         if not hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp):
             continue
-        rows = spark.read.csv(p, header=True)
+        rows = spark.read.csv(p, header=True, escape='"')
         ids = rows.select(F.col(f"`{column if column in rows.columns else rows.columns[0]}`").alias(column))
         out = ids if out is None else out.unionByName(ids)
     return (out if out is not None else spark.createDataFrame([], f"{column} string")).where(F.col(column).isNotNull()).distinct()
@@ -131,7 +148,7 @@ MANIFEST = "video_id string, video_link string, sign_system_label string, primar
 
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A manifest with all columns as strings, by its header or the given schema."""
-    return spark.read.csv(path, header=True, schema=schema) if schema else spark.read.csv(path, header=True)
+    return spark.read.csv(path, header=True, schema=schema, escape='"')
 
 
 def dataset_config(path: str) -> dict:
@@ -154,7 +171,7 @@ def dataset_config(path: str) -> dict:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Frame clusters (frame_stem, cluster_id, split, keep, targeted_classes) with keep as a boolean and the classes as an array."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, escape='"')
     return rows.withColumn("keep", F.lower("keep") == "true").withColumn("targeted_classes", F.filter(F.split(F.coalesce("targeted_classes", F.lit("")), r"\|"), lambda c: c != ""))
 
 

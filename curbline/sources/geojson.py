@@ -17,9 +17,21 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "ord", at(0).alias("lon"), at(1).alias("lat"), F.col("f.properties").alias("properties"))
 
 
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one feature a line, which any size can be read of in parallel; ord is the place among the rows of this reading."""
+    one = "type string, geometry struct<type:string,coordinates:array<double>>, properties map<string,string>"
+    rows = spark.read.schema(one).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    at = lambda i: F.get("geometry.coordinates", F.lit(i))
+    return rows.select("file", "ord", at(0).alias("lon"), at(1).alias("lat"), "properties")
+
+
 def read_inventory(spark: SparkSession, path: str, overwrite: bool = True) -> DataFrame:
     """Inventory signs with sign_class by code and category; overwrite replaces a class that is there already."""
-    rows = read_features(spark, path)
+    return inventory_signs(read_features(spark, path), overwrite)
+
+
+def inventory_signs(rows: DataFrame, overwrite: bool = True) -> DataFrame:
+    """read_inventory's columns of features that are read already."""
     prop = lambda k: F.try_element_at("properties", F.lit(k))
     cls = normalize_sign_class(prop("MUTCDCODE"), prop("MUTCDCAT"))
     if not overwrite:

@@ -17,6 +17,7 @@ CAPTION_SHAPES = [
 TIME_LINE = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->"
 # Header names, in lower case.
 ALIASES = {"lat": {"lat", "latitude"}, "lon": {"lon", "lng", "longitude", "long"}, "ts": {"timestamp", "time", "ts", "datetime"}, "alt": {"altitude", "alt", "elevation"}}
+METADATA = {"sample": {"sample_time"}, "clock": {"gps_timestamp", "gpsdatetime"}, "lat": {"gps_latitude", "gpslatitude"}, "lon": {"gps_longitude", "gpslongitude"}, "alt": {"gps_altitude", "gpsaltitude"}}
 #: First times above a day are absolute and count from the first.
 DAY_MS = 86_400_000
 
@@ -28,6 +29,11 @@ def _group(text: Column, shape: str, k: int) -> Column:
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """Caption (SRT) files: one fix a block that has a time line and a position; out-of-range positions and null islands go."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n\s*\r?\n")).alias("ord", "block"))
+    return parse_captions(text)
+
+
+def parse_captions(text: DataFrame) -> DataFrame:
+    """The fixes of caption blocks (file, ord, block)."""
     part = lambda k: F.regexp_extract("block", TIME_LINE, k).try_cast("long")
     ms = ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
     first = lambda k: F.coalesce(*(F.when(F.rlike("block", F.lit(s)), _group(F.col("block"), s, k)) for s in CAPTION_SHAPES))
@@ -41,36 +47,42 @@ def _column(columns: list[str], names: set[str]) -> str | None:
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    rows = spark.read.csv(path, header=True, escape='"')
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("ord"))
+
+
+def _found(columns: list[str], wanted: dict[str, set[str]], path: str, needed: tuple[str, ...]) -> dict[str, Column]:
+    """The columns by what they hold, whatever the case and spaces of their headers; null where there is none."""
+    names = {k: _column(columns, v) for k, v in wanted.items()}
+    if missing := [k for k in needed if not names[k]]:
+        raise ValueError(f"{path} has no column for {', '.join(missing)} among {columns}")
+    return {k: F.col(f"`{n}`") if n else F.lit(None).cast("string") for k, n in names.items()}
 
 
 def _rebased(rows: DataFrame) -> DataFrame:
-    least = F.min("ts_ms").over(Window.partitionBy("file"))
-    return rows.withColumn("_m", least).withColumn("ts_ms", F.when(F.col("_m") > DAY_MS, F.col("ts_ms") - F.col("_m")).otherwise(F.col("ts_ms"))).drop("_m")
+    least = F.min("ts_ms").over(Window.partitionBy("_path"))
+    return rows.withColumn("_m", least).withColumn("ts_ms", F.when(F.col("_m") > DAY_MS, F.col("ts_ms") - F.col("_m")).otherwise(F.col("ts_ms"))).drop("_m", "_path")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with any of the usual header names; unreadable rows go, unreadable altitudes are null."""
     rows = _csv(spark, path)
-    found = {k: _column(rows.columns, v) for k, v in ALIASES.items()}
-    if missing := [k for k in ("lat", "lon", "ts") if not found[k]]:
-        raise ValueError(f"no column for {', '.join(missing)} among {rows.columns}")
-    col = lambda k: F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string")
-    out = rows.select("file", timestamp_ms(F.trim(col("ts"))).alias("ts_ms"), col("lat").try_cast("double").alias("lat"), col("lon").try_cast("double").alias("lon"), col("alt").try_cast("double").alias("alt"), "ord")
+    c = _found(rows.columns, ALIASES, path, ("lat", "lon", "ts"))
+    out = rows.select("file", "_path", timestamp_ms(F.trim(c["ts"])).alias("ts_ms"), *(c[k].try_cast("double").alias(k) for k in ("lat", "lon", "alt")), "ord")
     return _rebased(out.where("ts_ms is not null and lat is not null and lon is not null").where(valid_fix(F.col("lat"), F.col("lon"))))
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of a metadata tool: sample seconds if any row of the file has them, else absolute times from the first row's."""
+    """CSV of a metadata tool: sample seconds if any row of the file has them, else absolute times from the first row's. Headers are as the tool
+    writes them, with or without underscores, in any case."""
     rows = _csv(spark, path)
-    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-    clock = F.regexp_replace(have("gps_timestamp"), r"^(\d{4}):(\d{2}):", "$1-$2-")
+    c = _found(rows.columns, METADATA, path, ("lat", "lon"))
+    clock = F.regexp_replace(c["clock"], r"^(\d{4}):(\d{2}):", "$1-$2-")
     out = rows.select(
-        "file", (leading_number(have("sample_time")) * 1000).alias("sample_ms"), timestamp_ms(clock).alias("clock_ms"), coordinate(have("gps_latitude")).alias("lat"),
-        coordinate(have("gps_longitude")).alias("lon"), leading_number(have("gps_altitude")).alias("alt"), "ord",
+        "file", "_path", (leading_number(c["sample"]) * 1000).alias("sample_ms"), timestamp_ms(clock).alias("clock_ms"), coordinate(c["lat"]).alias("lat"),
+        coordinate(c["lon"]).alias("lon"), leading_number(c["alt"]).alias("alt"), "ord",
     )
-    w = Window.partitionBy("file")
+    w = Window.partitionBy("_path")
     start = F.first("clock_ms", ignorenulls=True).over(w.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     sampled = F.max(F.col("sample_ms").isNotNull()).over(w)
     out = out.withColumn("ts_ms", F.when(sampled, F.col("sample_ms")).otherwise(F.col("clock_ms") - start))
@@ -81,8 +93,8 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """Track points of GPX files from the first one's time on; a track of fewer than two timed points is none."""
     schema = "_lat double, _lon double, ele double, time string"
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
-    out = rows.select(F.col("_metadata.file_name").alias("file"), timestamp_ms(F.col("time")).alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("ele").alias("alt"), F.monotonically_increasing_id().alias("ord"))
-    w = Window.partitionBy("file")
+    out = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), timestamp_ms(F.col("time")).alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("ele").alias("alt"), F.monotonically_increasing_id().alias("ord"))
+    w = Window.partitionBy("_path")
     out = out.where("t is not null").where(valid_fix(F.col("lat"), F.col("lon"))).withColumn("n", F.count("*").over(w)).where("n >= 2")
     return out.select("file", (F.col("t") - F.min("t").over(w)).alias("ts_ms"), "lat", "lon", "alt", "ord")
 
@@ -95,7 +107,7 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
         out = read_gpx(spark, path)
     elif path.lower().endswith(".csv"):
         header = {c.strip().lower() for c in spark.read.csv(path, header=True).columns}
-        out = read_metadata_csv(spark, path) if {"gps_latitude", "gps_longitude"} <= header else read_csv(spark, path)
+        out = read_metadata_csv(spark, path) if header & METADATA["lat"] and header & METADATA["lon"] else read_csv(spark, path)
     else:
         raise ValueError(f"no reader for {path}")
     if out.isEmpty():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.functions import box as B
+from curbline.operators.ordered import numbered
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite", single: bool = False, order: tuple[str, ...] = ()) -> None:
@@ -27,11 +28,11 @@ def write_label_folder(boxes: DataFrame, path: str, stem: str = "stem") -> None:
 
 def coco(images: DataFrame, boxes: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) with dense ids from 1 in the order of file names; boxes without an area are dropped."""
-    ids = images.withColumn("id", F.row_number().over(Window.orderBy("file_name")))
+    ids = numbered(images, ("file_name",), "id")
     j = boxes.join(ids.select("stem", "width", "height", F.col("id").alias("image_id")), "stem")
     j = j.withColumn("b", B.coco_box(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width").cast("double"), F.col("height").cast("double"))).where("b.w > 0 and b.h > 0")
-    ann = j.select(
-        F.row_number().over(Window.orderBy("image_id", "line_no")).alias("id"), "image_id", (F.col("class_idx") + 1).alias("category_id"), F.array("b.x", "b.y", "b.w", "b.h").alias("bbox"),
+    ann = numbered(j, ("image_id", "line_no", "class_idx", "cx", "cy", "w", "h"), "id").select(
+        "id", "image_id", (F.col("class_idx") + 1).alias("category_id"), F.array("b.x", "b.y", "b.w", "b.h").alias("bbox"),
         F.round(F.col("b.w") * F.col("b.h"), 2).alias("area"), F.lit(0).alias("iscrowd"),
     )
     cats = images.sparkSession.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "id int, name string")
@@ -67,6 +68,50 @@ def reviews_export(reviews: DataFrame, summary: DataFrame, head: dict[str, objec
     return one.join(F.broadcast(wrong), F.lit(True)).select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in head.items()), "reviews", some("w").alias("wrong_class_summary"), some("fp").alias("false_positives"))).alias("value"))
 
 
+#: The three kinds of report documents, read as one: lists of items or discrepancies, or a map of reviews.
+_ITEM = "id string, annotated_class string, predicted_class string, confidence double, iou double, lat double, lon double, status string, resolution string, reviewer_note string"
+_DISCREPANCY = "id string, type string, sign_class string, inventory_class string, confidence double, lat double, lon double, review_reason string, status string, reviewer_note string"
+_REVIEW = "decision string, corrected_class string, original_class string, note string, reviewed_at string"
+REPORTS = f"video_source string, items array<struct<{_ITEM}>>, discrepancies array<struct<{_DISCREPANCY}>>, reviews map<string, struct<{_REVIEW}>>"
+REPORT_ROW = ("kind", "id", "label_a", "class_a", "label_b", "class_b", "confidence", "iou", "lat", "lon", "reason", "status", "resolution", "note")
+
+
+def report_rows(documents: DataFrame) -> DataFrame:
+    """A row an entry of report documents (value, JSON text), in one shape for all three kinds: kind, id, two labelled classes, confidence, iou, place,
+    reason, status, resolution, note. Structure decides: items, else discrepancies, else reviews; a document with none of them is an error."""
+    doc = documents.select(F.from_json("value", REPORTS).alias("d")).select("d.*")
+    kind = F.when(F.col("items").isNotNull(), "qa").when(F.col("discrepancies").isNotNull(), "discrepancy").when(F.col("reviews").isNotNull(), "review")
+    doc = doc.withColumn("kind", F.coalesce(kind, F.raise_error(F.lit("a report has items, discrepancies or reviews"))))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    percent = F.concat(F.format_string("%.0f", F.col("x.confidence") * 100), F.lit("%"))
+    qa = doc.where("kind = 'qa'").select("kind", F.explode("items").alias("x")).select(
+        "kind", "x.id", F.lit("Annotated as").alias("label_a"), F.col("x.annotated_class").alias("class_a"), F.lit("Model predicted").alias("label_b"), F.col("x.predicted_class").alias("class_b"), "x.confidence", "x.iou", "x.lat", "x.lon",
+        F.concat(F.lit("IoU "), F.when(F.col("x.iou").isNotNull(), F.format_string("%.2f", F.col("x.iou"))).otherwise("?"), F.lit(", conf "), F.when(F.col("x.confidence").isNotNull(), percent).otherwise("?")).alias("reason"),
+        F.coalesce("x.status", F.lit("pending")).alias("status"), "x.resolution", F.col("x.reviewer_note").alias("note"),
+    )
+    mismatch, detected = F.col("x.type") == "class_mismatch", F.coalesce(F.col("x.type") == "detected_not_in_inventory", F.lit(False))
+    disc = doc.where("kind = 'discrepancy'").select("kind", F.explode("discrepancies").alias("x")).select(
+        "kind", "x.id", F.when(mismatch, "Detected as").when(detected, "Detected").otherwise("Inventory").alias("label_a"), F.col("x.sign_class").alias("class_a"),
+        F.when(mismatch, "Inventory says").when(detected, "Inventory").otherwise("Detected").alias("label_b"), F.when(mismatch, F.coalesce("x.inventory_class", F.lit("?"))).otherwise("Not found").alias("class_b"),
+        "x.confidence", number.alias("iou"), "x.lat", "x.lon", F.coalesce("x.review_reason", "x.type").alias("reason"), F.coalesce("x.status", F.lit("pending")).alias("status"), text.alias("resolution"), F.col("x.reviewer_note").alias("note"),
+    )
+    rev = doc.where("kind = 'review'").select("kind", F.explode("reviews").alias("id", "x")).select(
+        "kind", "id", F.lit("Reviewed").alias("label_a"), F.col("x.original_class").alias("class_a"), F.lit("Corrected to").alias("label_b"), F.col("x.corrected_class").alias("class_b"),
+        number.alias("confidence"), number.alias("iou"), number.alias("lat"), number.alias("lon"), text.alias("reason"), F.lit("resolved").alias("status"), F.col("x.decision").alias("resolution"), "x.note",
+    )
+    return qa.unionByName(disc).unionByName(rev).select(*REPORT_ROW)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """report_rows of the JSON files under path, one document a file."""
+    return report_rows(spark.read.text(path, wholetext=True))
+
+
+def embed_script(document: DataFrame, variable: str, comment: str) -> DataFrame:
+    """A script that sets a variable to each document (value, JSON text), for pages that cannot fetch."""
+    return document.select(F.concat(F.lit(f"// {comment}\n{variable} = "), "value", F.lit(";\n")).alias("value"))
+
+
 def sniff_report(text: str) -> str:
     """Which kind of report a JSON document is, by its top-level keys."""
     import json
