@@ -38,8 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
-#: Near copies differ in more bits than exact ones: this many fingerprints of independent hashes, any of which may link, within this radius.
-SEEDS, RADIUS = 5, 5
+#: Near copies may be unlucky under one hash: this many fingerprints of independent hashes, any of which may link, within this radius.
+SEEDS, RADIUS = 3, 4
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
