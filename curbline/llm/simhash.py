@@ -227,10 +227,14 @@ def _blocks(m: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
 
+#: Bits of a key beyond those that number the fingerprints: unrelated ones rarely share a key, however many there are.
+SLACK = 4
+
+
 def block_count(n: int, radius: int = RADIUS) -> int:
-    """The smallest number of blocks whose agreeing bits tell n fingerprints apart; the result does not depend on it."""
+    """The smallest number of blocks whose agreeing bits tell n fingerprints well apart; the result does not depend on it."""
     m = radius + 2
-    while m < 64 and 64 * (m - radius) / m < np.log2(max(n, 2)):
+    while m < 64 and 64 * (m - radius) / m < np.log2(max(n, 2)) + SLACK:
         m += 1
     return m
 
