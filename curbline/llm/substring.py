@@ -18,7 +18,6 @@ one rank need a collision in both.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.plans.session import checkpoint_dir
+from curbline.plans.session import checkpoint_dir, shuffles_freed
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -305,9 +304,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def ranked(found: DataFrame, step: str) -> DataFrame:
         """The marked rows of one round, as a table in the shared folder; the shuffle that sorted them can go then."""
         table = f"{checkpoint_dir(spark)}/repeats-{name}/{step}"
-        found.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low").mapInArrow(_mark_rows, MARK).write.parquet(table)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        with shuffles_freed(spark):
+            found.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low").mapInArrow(_mark_rows, MARK).write.parquet(table)
         return spark.read.schema(MARK).parquet(table)
 
     def with_text(parts: DataFrame) -> DataFrame:
@@ -327,8 +325,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 ORACLE = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, unnest(range(0, greatest(strlen(h) // 2 - 99, 0))) AS p, h FROM d),
-g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * p + 1, 200)) ORDER BY doc_id, p) AS n FROM w),
+c0 AS (SELECT doc_id, o, substr(h, CAST(2 * o + 1 AS BIGINT), 8190) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 99, 0), 3996)) AS o FROM d)),
+w AS (SELECT doc_id, o + q AS p, hash(substr(s, CAST(2 * q + 1 AS BIGINT), 200)) AS k, md5_number_lower(substr(s, CAST(2 * q + 1 AS BIGINT), 200)) AS m FROM (SELECT doc_id, o, s, unnest(range(0, least(strlen(s) // 2 - 99, 3996))) AS q FROM c0)),
+g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k, m ORDER BY doc_id, p) AS n FROM w),
 r AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g WHERE n > 1),
 s AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
 c AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM s GROUP BY doc_id, k),

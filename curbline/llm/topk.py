@@ -1,15 +1,16 @@
 """Exact top-k by inner product with M-tree best-first search.
 
 With M the largest norm, the vectors (x, sqrt(M^2 - |x|^2)) and the query (q, 0) have squared distance
-|q|^2 + M^2 - 2 q.x, so the largest inner products are the nearest neighbours of a metric space. Vectors are dealt to the
-nearest of at most ROOTS pivots and each cell, dealt on by a hash of the id, becomes subtrees of about SUBTREE vectors: an M-tree (Ciaccia,
-Patella and Zezula, 1997) of pages, each with a routing vector, its covering radius and the distance of its every entry
-to the routing vector and of that to the subtree's root. A query visits pages best-first by d(q, p) - r, and inside a page computes only
-entries whose stored distance passes |d(q, p) - d(p, x)| <= the k-th distance so far.
-
-Queries go in blocks first to the subtrees of their nearest cell, which bounds their k-th distance, and then only to cells
-that can still hold a nearer vector. A cell of any size, equal vectors included, is many subtrees; no task gets more than a block
-of queries and one subtree.
+|q|^2 + M^2 - 2 q.x, so the largest inner products are the nearest neighbours of a metric space, searched with an M-tree (Ciaccia,
+Patella and Zezula, 1997). Its root level has a routing vector for every SUBTREE vectors, at most ROOTS, sampled from them; a vector
+belongs to the nearest. Below that a cell is cut into subtrees of SUBTREE vectors by their stored distance to the routing vector, so a subtree is a ring
+with a least and a greatest parent distance; below that there are pages, each with a routing vector, its covering radius and the distance of its every
+entry to the routing vector and of that to the subtree's root. Equal vectors lie in one ring each of as many subtrees as they fill.
+
+A query visits subtrees in the order of the least distance their ring allows: first its best one, then FIRST more, then all the rest, and
+each time only those that may still hold a nearer vector than its k-th so far. Inside a subtree it visits pages best-first by d(q, p) - r, and inside a page
+computes only entries whose stored distance passes |d(q, p) - d(p, x)| <= the k-th distance so far. A task gets one subtree and at most about BLOCK of the
+queries that visit it; a subtree is copied only for as many blocks as there are.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbline.operators.ordered import numbered
 from curbline.plans.session import cut
 
-ROOTS, SUBTREE, PAGE, BLOCK = 256, 8192, 256, 1024
+#: ROOTS bounds what is broadcast of the root level: that many vectors.
+ROOTS, SUBTREE, PAGE, BLOCK, FIRST = 4096, 8192, 256, 1024, 4
 #: Distances are of integers; anything beyond this is a real difference.
 SLACK = 1e-6
 
@@ -112,89 +115,87 @@ class MTree:
 
 
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-          roots: int = ROOTS, subtree: int = SUBTREE, page: int = PAGE, block: int = BLOCK) -> DataFrame:
+          roots: int = ROOTS, subtree: int = SUBTREE, page: int = PAGE, block: int = BLOCK, first: int = FIRST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of every query, the rows whose id is divisible by every.
 
     Equal scores go to the smaller id. A query with fewer than k other vectors gets them all; an empty table gives nothing. Vectors
-    of different lengths are compared as if the shorter ended in zeros.
+    of different lengths are compared as if the shorter ended in zeros. Other columns, whatever their names, are not looked at.
     """
     spark = rows.sparkSession
     vectors = cut(scaled(rows, vec_id, embedding))
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     stats = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("dim"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
-    out = "query_id long, rank int, vec_id long, score long"
     if not stats.n or not stats.queries:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n, top, dim = stats.n, float(stats.top), stats.dim
-    wanted = max(1, min(roots, n // subtree))
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toPandas()  # at most ROOTS
+    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(roots, n // subtree))).toPandas()  # at most ROOTS
     pivots = np.unique(_lift(_matrix(picked["v"], dim), top), axis=0)
-    blocks = -(-stats.queries // block)
 
     def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             d = _distances(_lift(_matrix(pdf["v"], dim), top), pivots)
             yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
 
-    placed = cut(vectors.mapInPandas(to_cells, "vec_id long, v array<long>, cell int, far double"))
-    cells = {r.cell: (r.n, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most ROOTS
-    parts = {c: -(-m // subtree) for c, (m, _) in cells.items()}
-    n_parts = F.element_at(F.create_map(*(F.lit(x) for c, p in parts.items() for x in (c, p))), F.col("cell"))
+    placed = numbered(vectors.mapInPandas(to_cells, "vec_id long, v array<long>, cell int, far double"), ("cell", "far", "vec_id"), "number")
+    starts = placed.groupBy("cell").agg(F.min("number").alias("begin"))  # at most ROOTS rows
+    part = F.floor((F.col("number") - F.col("begin")) / subtree).cast("int")
+    dealt = placed.join(F.broadcast(starts), "cell").select("vec_id", "v", "cell", part.alias("part"), "far")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
         own = MTree(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"], dim), top, pivots[cell], page)
-        return pd.DataFrame({"cell": [cell], "part": [int(pdf["part"].iloc[0])], "tree": [pickle.dumps(own)]})
+        return pd.DataFrame({"cell": [cell], "part": [int(pdf["part"].iloc[0])], "low": [pdf["far"].min()], "high": [pdf["far"].max()], "tree": [pickle.dumps(own)]})
 
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int"))
-    trees = cut(dealt.groupBy("cell", "part").applyInPandas(build, "cell int, part int, tree binary"))
-    asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    reach = np.array([cells.get(c, (0, -np.inf))[1] for c in range(len(pivots))])
+    trees = cut(dealt.groupBy("cell", "part").applyInPandas(build, "cell int, part int, low double, high double, tree binary"))
+    rings = trees.select("cell", "part", "low", "high").orderBy("cell", "part").toPandas()  # three numbers for every SUBTREE vectors
+    cell_of, low, high = rings["cell"].to_numpy(), rings["low"].to_numpy(), rings["high"].to_numpy()
+    index = spark.createDataFrame([(int(c), int(p), i) for i, (c, p) in enumerate(zip(rings["cell"], rings["part"], strict=True))], "cell int, part int, node int")
+    trees = trees.join(F.broadcast(index), ["cell", "part"]).select("node", "tree")
 
-    def route(first: bool):
+    def plan(most: int | None):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                q = np.column_stack([_matrix(pdf["v"], dim), np.zeros(len(pdf))])
-                low = _distances(q, pivots) - reach
-                home = low.argmin(axis=1)
-                if first:
-                    yield pdf.assign(cell=home.astype("int32"), bound=np.inf)
-                    continue
-                at, cell = np.nonzero(low <= pdf["bound"].to_numpy()[:, None] + SLACK)
-                away = cell != home[at]
-                yield pdf.iloc[at[away]].assign(cell=cell[away].astype("int32"))
+                d = _distances(np.column_stack([_matrix(pdf["v"], dim), np.zeros(len(pdf))]), pivots)[:, cell_of]
+                least = np.maximum(np.maximum(d - high, low - d), 0.0)
+                todo = []
+                for i, (bound, seen) in enumerate(zip(pdf["bound"], pdf["seen"], strict=True)):
+                    least[i, np.asarray(seen, np.int64)] = np.inf
+                    near = np.flatnonzero(least[i] <= min(bound + SLACK, np.finfo(float).max))
+                    todo.append(near[np.argsort(least[i][near], kind="stable")][:most].astype("int32"))
+                yield pdf.assign(todo=todo)
 
         return run
 
     def look(key: tuple, queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or found.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        own, root, rows = pickle.loads(found["tree"].iloc[0]), pivots[int(key[0])], []
+        own, root, rows = pickle.loads(found["tree"].iloc[0]), pivots[cell_of[int(key[0])]], []
         q = _matrix(queries["v"], dim)
         to_root = _distances(np.column_stack([q, np.zeros(len(q))]), root[None, :])[:, 0]
         for i, (q_id, bound) in enumerate(zip(queries["query_id"].tolist(), queries["bound"].tolist(), strict=True)):
             rows += [(q_id, v, s) for s, v in own.search(q[i], q_id, top, to_root[i], k, bound)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    def search(routed: DataFrame) -> DataFrame:
-        sent = routed.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        copies = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ("cell", "part", "block")
-        return sent.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(look, "query_id long, vec_id long, score long")
-
-    def best(found: DataFrame) -> DataFrame:
-        order = F.struct((-F.col("score")).alias("s"), "vec_id")
-        lists = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("b"))  # k a subtree reached
-        return lists.select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
-
-    routed = "query_id long, v array<long>, cell int, bound double"
-    near = cut(best(search(asked.mapInPandas(route(True), routed))))
-    kth = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    def visit(planned: DataFrame) -> DataFrame:
+        sent = planned.select("query_id", "v", "bound", F.explode("todo").alias("node"))
+        blocks = sent.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # at most a row a subtree
+        sent = sent.join(F.broadcast(blocks), "node").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        wanted = blocks.select(F.col("node").alias("at"), F.col("blocks").alias("n"))
+        copies = trees.join(F.broadcast(wanted), F.col("node") == F.col("at")).select(F.col("at").alias("tree_node"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tree_block"), "tree")
+        return sent.groupBy("node", "block").cogroup(copies.groupBy("tree_node", "tree_block")).applyInPandas(look, "query_id long, vec_id long, score long")
+
     q2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
-    bounded = asked.join(kth, "query_id", "left").select("query_id", "v", F.coalesce(F.sqrt(F.greatest(q2 + top - 2 * F.col("kth"), F.lit(0.0))), F.lit(float("inf"))).alias("bound"))
-    rest = search(bounded.mapInPandas(route(False), routed))
-    return best(near.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    state = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("inf")).alias("bound"), F.array().cast("array<int>").alias("seen"))
+    order, best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), None
+    for most in (1, first, None):
+        planned = cut(state.mapInPandas(plan(most), "query_id long, v array<long>, bound double, seen array<int>, todo array<int>"))
+        found = visit(planned)
+        found = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
+        best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        bound = F.coalesce(F.sqrt(F.greatest(q2 + top - 2 * F.col("kth"), F.lit(0.0))), F.lit(float("inf")))
+        state = planned.join(kth, "query_id", "left").select("query_id", "v", bound.alias("bound"), F.concat("seen", "todo").alias("seen"))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

@@ -48,3 +48,17 @@ def test_table(spark):
     assert by[2, None].text == by[None, "v"].text == by[4, "w"].text == "" and by[4, "w"].n_chars == 0
     assert by[5, "é"].n_chars == len(("é word. " * 30_000).strip())
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_labelled_by_hand():
+    """Block F1 on pages that the generator did not make."""
+    from tests.llm.pages_by_hand import PAGES
+
+    field, hits, found, wanted = default_field(), 0, 0, 0
+    for page in PAGES:
+        truth = [b.text.startswith("+") for b in leaf_blocks(page)]
+        got = field.decode(leaf_blocks(page.replace(">+", ">")))
+        assert len(got) == len(truth) and any(truth)
+        hits, found, wanted = hits + sum(a and b for a, b in zip(got, truth)), found + sum(got), wanted + sum(truth)
+    assert len(PAGES) >= 20 and 2 * hits / (found + wanted) >= 0.9
+    print("block F1", 2 * hits / (found + wanted), "precision", hits / found, "recall", hits / wanted)

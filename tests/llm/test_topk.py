@@ -16,7 +16,7 @@ def brute(rows, every=50, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"subtree": 64, "page": 8, "block": 3}, {"roots": 1, "subtree": 100, "page": 4}])
+@pytest.mark.parametrize("options", [{}, {"subtree": 64, "page": 8, "block": 3, "first": 2}, {"roots": 1, "subtree": 100, "page": 4}])
 def test_against_all_pairs(spark, options):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 12))
@@ -33,3 +33,15 @@ def test_few_and_none(spark):
     assert sorted(tuple(r) for r in top_k(spark.createDataFrame(few, schema)).collect()) == brute(few)
     assert top_k(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert top_k(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_clusters_far_apart(spark):
+    """Rings of far clusters cannot hold a nearer vector; results are whole all the same."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for c in range(8):
+        centre = np.zeros(8)
+        centre[c] = 40.0
+        rows += [(1000 * c + i, (centre + rng.normal(size=8) * 0.1).tolist()) for i in range(200)]
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, node int, bound int")
+    assert sorted(tuple(r) for r in top_k(frame, every=25, subtree=50, page=10).collect()) == brute(rows, 25)
