@@ -28,8 +28,12 @@ from curbline.plans.session import cut
 
 #: ROOTS bounds what is broadcast of the root level: that many vectors.
 ROOTS, SUBTREE, PAGE, BLOCK, FIRST = 4096, 8192, 256, 1024, 4
-#: Distances are of integers; anything beyond this is a real difference.
-SLACK = 1e-6
+
+
+def _slack(top: float) -> float:
+    """More than any computed distance can be off: squares up to some times top are subtracted, so that a small distance carries the square root of their
+    rounding error."""
+    return 1e-6 * (1 + float(np.sqrt(top)))
 
 
 def scaled(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -83,7 +87,8 @@ class MTree:
     def search(self, q: np.ndarray, q_id: int, top: float, to_root: float, k: int, bound: float) -> list[tuple[int, int]]:
         """The best (score, vec_id) here, by score and then smaller id; none farther than bound."""
         best: list[tuple[int, int]] = []
-        q2, bound = float(q @ q) + top, bound + SLACK
+        slack = _slack(top)
+        q2, bound = float(q @ q) + top, bound + slack
         # stored distances first: only pages that pass them get a distance of their own
         near = np.flatnonzero(np.abs(to_root - self.to_root) - self.radius <= bound)
         if not len(near):
@@ -95,7 +100,7 @@ class MTree:
             if low > bound:
                 break
             ids, x, stored = self.pages[at]
-            a, b = np.searchsorted(stored, [dp - bound, dp + bound + SLACK]) if bound < np.inf else (0, len(ids))
+            a, b = np.searchsorted(stored, [dp - bound, dp + bound + slack]) if bound < np.inf else (0, len(ids))
             if a >= b:
                 continue
             scores = x[a:b] @ q
@@ -110,7 +115,7 @@ class MTree:
                 found = [(int(s), int(i)) for s, i in zip(scores[keep], ids[a:b][keep], strict=True) if i != q_id]
                 best = sorted([*best, *found], key=lambda t: (-t[0], t[1]))[:k]
                 if len(best) == k:
-                    bound = min(bound, np.sqrt(max(q2 - 2 * best[-1][0], 0.0)) + SLACK)
+                    bound = min(bound, np.sqrt(max(q2 - 2 * best[-1][0], 0.0)) + slack)
         return best
 
 
@@ -127,7 +132,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id",
     stats = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("dim"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
     if not stats.n or not stats.queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n, top, dim = stats.n, float(stats.top), stats.dim
+    n, top, dim, slack = stats.n, float(stats.top), stats.dim, _slack(float(stats.top))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(roots, n // subtree))).toPandas()  # at most ROOTS
     pivots = np.unique(_lift(_matrix(picked["v"], dim), top), axis=0)
 
@@ -160,7 +165,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id",
                 todo = []
                 for i, (bound, seen) in enumerate(zip(pdf["bound"], pdf["seen"], strict=True)):
                     least[i, np.asarray(seen, np.int64)] = np.inf
-                    near = np.flatnonzero(least[i] <= min(bound + SLACK, np.finfo(float).max))
+                    near = np.flatnonzero(least[i] <= min(bound + slack, np.finfo(float).max))
                     todo.append(near[np.argsort(least[i][near], kind="stable")][:most].astype("int32"))
                 yield pdf.assign(todo=todo)
 
@@ -193,7 +198,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id",
         found = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
         best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        bound = F.coalesce(F.sqrt(F.greatest(q2 + top - 2 * F.col("kth"), F.lit(0.0))), F.lit(float("inf")))
+        bound = F.when(F.col("kth").isNotNull(), F.sqrt(F.greatest(q2 + top - 2 * F.col("kth"), F.lit(0.0)))).otherwise(float("inf"))
         state = planned.join(kth, "query_id", "left").select("query_id", "v", bound.alias("bound"), F.concat("seen", "todo").alias("seen"))
     return best.select("query_id", "rank", "vec_id", "score")
 
