@@ -68,4 +68,5 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, kept in the shared folder: lineage ends here and a lost executor loses nothing. Spark's cleaner deletes the files once
     nothing refers to the result, where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.checkpoint(eager=True)
