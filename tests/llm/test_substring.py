@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from curbline.llm import substring
+from curbline.llm import doubling, substring
 from curbline.llm.substring import remove_repeats
 
 
@@ -76,3 +76,12 @@ def test_different_texts_of_one_id_and_empty(spark):
     got = [(r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(frame).collect()]
     assert sorted(got)[-1] == (2, len(a), len(a)) and sum(r[2] > 0 for r in got) == 2
     assert remove_repeats(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_prefix_doubling_of_every_position(spark, seed):
+    rows = corpus(seed)
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rank long").repartition(5)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in doubling.remove_repeats(frame).collect())
+    assert got == brute(rows)
+    assert doubling.remove_repeats(frame.limit(0)).count() == 0
