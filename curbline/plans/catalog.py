@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.plans import choices, curation, extras, files, tracks
+from curbline.plans import choices, curation, extras, files, live, tracks
 
-_MODULES = (tracks, curation, extras, files, choices)
+_MODULES = (tracks, curation, extras, files, choices, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
