@@ -3,10 +3,13 @@ says what must come back."""
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,6 +186,35 @@ def line_list(spark: SparkSession, d: str) -> DataFrame:
     return annotations.read_lines(spark, path)
 
 
+def archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Zip files of labels and images, with repeats and files that are neither."""
+
+    def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("classes.txt", "a")
+            for k, name in zip(pdf["key"], pdf["name"], strict=True):
+                z.writestr(f"labels/s{k}.txt", name)
+                z.writestr(f"old/s{k}.txt", "later")
+                if k % 2 == 0:
+                    z.writestr(f"images\\s{k}.JPG", "picture")
+                z.writestr(f"notes/s{k}.md", "no")
+        return pd.DataFrame({"path": [f"n{pdf['nation'].iloc[0]}.zip"], "content": [held.getvalue()]})
+
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    found = annotations.open_archives(rows.groupBy("nation").applyInPandas(zipped, "path string, content binary"))
+    return found.select("archive", "kind", "stem", F.col("content").cast("string").alias("content"))
+
+
+def reviews_export(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews of one run as a document, read back."""
+    from curbline.plans.curation import review_fold, wrong_class_summary
+
+    reviews = review_fold(spark, d).select("cluster_id", "decision", "corrected_class", "original_class", "note", F.col("reviewed_at").cast("string").alias("reviewed_at"))
+    found = sinks.report_rows(sinks.reviews_export(reviews, wrong_class_summary(spark, d), {"video_source": "a.mp4"}))
+    return found.select("kind", "id", "class_a", "class_b", "resolution", "note")
+
+
 def folder_listing(spark: SparkSession, d: str) -> DataFrame:
     """A bucket laid out by county, listed without being read, and its storage by folder."""
     path = _scratch(spark, "bucket")
@@ -361,7 +393,7 @@ def _preflight(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     caption_scan, gps_csv, metadata_csv, metadata_clock, gpx_track, geojson_lines, geojson_collection, reviewed_geojson, manifest_csv, exclusion_ids, label_text, label_scan, semicolon_boxes, category_list, object_json, split_lists,
-    image_index, cluster_csv, line_list, folder_listing, dataset_yaml, prefix_yaml, frame_grid, frame_stride, frame_seek, report_entries, qa_report, coco_sink, invalid_categories, prediction_tasks, markdown_table, thumbnail_box,
+    image_index, cluster_csv, line_list, archive_entries, reviews_export, folder_listing, dataset_yaml, prefix_yaml, frame_grid, frame_stride, frame_seek, report_entries, qa_report, coco_sink, invalid_categories, prediction_tasks, markdown_table, thumbnail_box,
     upload_diff, download_script, embed_script, label_names, coordinates, names_and_suffixes, round_merge, round_summary, context_patches, preflight, preflight_verdicts,
 )}
 
@@ -384,6 +416,12 @@ _CLASS = """CASE WHEN u LIKE 'R1-1%' THEN 'StopSigns' WHEN u LIKE 'R2%' THEN 'Sp
  WHEN u LIKE 'OT%' THEN 'Informational' WHEN c LIKE 'GUIDE%' AND c LIKE '%ROUTE SIGN%' THEN 'HighwaySymbols' WHEN c LIKE 'GUIDE%' THEN 'Informational' WHEN c IN ('WARNING', 'SCHOOL') THEN 'Warnings' ELSE 'Regulatory' END"""
 
 
+def _export_sql() -> str:
+    from curbline.plans.curation import ORACLES as REVIEWS
+
+    return f"SELECT 'review' AS kind, CAST(cluster_id AS VARCHAR) AS id, original_class AS class_a, corrected_class AS class_b, decision AS resolution, note FROM ({REVIEWS['review_fold']})"
+
+
 def _reviewed_sql() -> str:
     from curbline.plans.curation import ORACLES as REVIEWS
 
@@ -410,6 +448,8 @@ ORACLES = {
     "image_index": "SELECT 'img_' || CAST(event_id % 300 AS VARCHAR) AS stem, arg_max('s3/x/' || CAST(user_id AS VARCHAR) || '/img_' || CAST(event_id % 300 AS VARCHAR) || '.jpg', event_id) AS path FROM events GROUP BY 1",
     "cluster_csv": f"WITH {MF} SELECT 'f' || CAST(video_id AS VARCHAR) AS frame_stem, county || '_c1' AS cluster_id, video_id % 3 = 0 AS keep, CASE WHEN video_id % 2 = 0 THEN '1,10,11' ELSE '' END AS classes FROM mf",
     "line_list": f"WITH {MF} SELECT 'v' || CAST(video_id AS VARCHAR) AS value FROM mf WHERE video_id % 5 <> 0",
+    "archive_entries": "SELECT 'n' || CAST(c_nationkey AS VARCHAR) || '.zip' AS archive, 'label' AS kind, 's' || CAST(c_custkey AS VARCHAR) AS stem, c_name AS content FROM customer UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR) || '.zip', 'image', 's' || CAST(c_custkey AS VARCHAR), 'picture' FROM customer WHERE c_custkey % 2 = 0",
+    "reviews_export": _export_sql(),
     "folder_listing": f"WITH {MF}, s AS (SELECT county AS folder, CAST(sum(strlen(name) + 1) AS BIGINT) AS bytes FROM mf GROUP BY 1) SELECT folder, bytes, round(bytes / 1e9 * 0.023e0, 4) AS usd_month, false AS over FROM s",
     "dataset_yaml": f"SELECT idx, name, {len(CLASSES)} AS nc, '/data/labels/val' AS val_labels FROM (VALUES {_NAMES}) AS t(idx, name)",
     "prefix_yaml": f"SELECT ord, prefix, cls FROM (VALUES {_RULES}) AS t(ord, prefix, cls)",

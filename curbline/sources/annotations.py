@@ -91,8 +91,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, kind, stem, content) of the labels and images in zip files; the first of a stem and kind in an archive counts. An archive is
-    opened where it is read, entry by entry."""
+    """(archive, kind, stem, content) of the labels and images in zip files; the first of a stem and kind in an archive counts."""
+    return open_archives(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def open_archives(archives: DataFrame) -> DataFrame:
+    """The same of archives (path, content) that are rows already. An archive is opened where it is, entry by entry; one of over 2 GB does not fit a row."""
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -107,7 +111,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             seen.add((kind, stem))
                             yield pd.DataFrame({"archive": [name], "kind": [kind], "stem": [stem], "content": [z.read(info)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "archive string, kind string, stem string, content binary")
+    return archives.select("path", "content").mapInPandas(entries, "archive string, kind string, stem string, content binary")
 
 
 def merge_rounds(rounds: DataFrame, seen: DataFrame | None = None, seen_round: int | None = None) -> DataFrame:
