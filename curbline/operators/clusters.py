@@ -12,6 +12,8 @@ from curbline.operators.spatial import within
 EPS_M, MERGE_M = 15.0, 20.0
 TOP_CONFIDENCES, TOP_PLACES = 3, 5
 LOW_CONFIDENCE, SPLIT_VOTE = 0.5, 0.70
+#: Graphs of at most so many edges are finished by one task instead of in rounds.
+SMALL_GRAPH = 100_000
 
 
 def near_pairs(points: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx", mean_lat: str | None = None) -> DataFrame:
@@ -36,7 +38,7 @@ def dbscan(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str
     placed = dets.where("lat is not null and lon is not null")
     means = placed.groupBy(by).agg(F.avg("lat").alias("_mean"))
     spots = placed.groupBy(by, "lat", "lon").agg(F.min(idx).alias("_spot"))
-    parts = connected_components(near_pairs(spots.join(means, by), eps_m, by, "_spot", "_mean")).withColumnRenamed("node", "_spot")
+    parts = connected_components(near_pairs(spots.join(means, by), eps_m, by, "_spot", "_mean"), small=SMALL_GRAPH).withColumnRenamed("node", "_spot")
     spots = spots.join(parts, "_spot", "left").select(by, "lat", "lon", F.coalesce("component", F.col("_spot").cast("long")).alias("component"))
     return placed.join(spots, [by, "lat", "lon"]).select(*dets.columns, "component")
 
@@ -64,7 +66,7 @@ def merge_close(clustered: DataFrame, radius_m: float = MERGE_M, by: str = "vide
     heads = clustered.select("component", by).distinct().join(votes, "component").join(centres(clustered, "component", idx), "component")
     right = heads.select(by, "top_class", F.col("component").alias("other"), F.col("lat_median").alias("r_lat"), F.col("lon_median").alias("r_lon"))
     pairs = within(heads, right, radius_m, (by, "top_class"), ("lat_median", "lon_median")).where("component < other")
-    merged = connected_components(pairs, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    merged = connected_components(pairs, "component", "other", SMALL_GRAPH).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     out = clustered.join(merged, "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
     return out.withColumn("member_order", F.struct("component", idx))
 

@@ -23,24 +23,35 @@ MAX_ROUNDS = 50
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over the edges of one batch at a time: memory is bounded by a batch."""
     for pdf in batches:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while parent.get(root, root) != root:
-                root = parent[root]
-            while parent.get(x, x) != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
-            a, b = find(u), find(v)
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        rows = [(x, find(x)) for x in parent]
-        yield pd.DataFrame([(x, r) for x, r in rows if x != r], columns=["u", "v"]).astype("int64")
+        yield _forest(pdf)
+
+
+def _whole_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(batches)
+    if held:
+        yield _forest(pd.concat(held))
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges' components as stars around their least ids."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.get(root, root) != root:
+            root = parent[root]
+        while parent.get(x, x) != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+        a, b = find(u), find(v)
+        parent.setdefault(u, u)
+        parent.setdefault(v, v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    rows = [(x, find(x)) for x in parent]
+    return pd.DataFrame([(x, r) for x, r in rows if x != r], columns=["u", "v"]).astype("int64")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -48,15 +59,18 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"] or 0
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = 0) -> DataFrame:
     """(node, component) for every vertex that has an edge to another one; component is the smallest id reachable.
 
-    Null ends, self loops and repeated edges are ignored. Raises if MAX_ROUNDS rounds do not converge.
+    Null ends, self loops and repeated edges are ignored. Raises if MAX_ROUNDS rounds do not converge. If the partitions' forests have at most small
+    edges together, one task finishes them and there are no rounds; the result is the same.
     """
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     ends = ends.where("u is not null and v is not null and u <> v")
     stars = cut(ends.mapInPandas(_local_forest, "u long, v long").distinct())
     seen = _state(stars)
+    if 0 < seen[0] <= small:
+        stars, seen = cut(stars.coalesce(1).mapInPandas(_whole_forest, "u long, v long")), (0, 0)
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
