@@ -26,8 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 32_768
-OVERLAP = 2_048
+CHUNK = 16_384
+OVERLAP = 1_024
 #: Entries of a worker's table from pre-token to ids; a full table starts anew.
 MEMO = 100_000
 
