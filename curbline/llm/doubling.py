@@ -102,7 +102,7 @@ def _out(doc: np.ndarray, low: np.ndarray, rank: np.ndarray, lone: np.ndarray) -
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As substring.remove_repeats, to the same results."""
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), S._key(F.col(doc_id)).alias("doc"), S._tie(body).alias("tie"), body.alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), S._key(F.col(doc_id)).alias("doc"), S._tie(F.col(doc_id), body).alias("tie"), body.alias("text"))
     left = rows.select("doc", "tie", "text").dropDuplicates(["doc", "tie"]).mapInArrow(_positions, "doc long, low long, rank long")
     for offset in OFFSETS:
         ahead = left.select("doc", (F.col("low") - offset).alias("low"), F.col("rank").alias("b"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -103,13 +103,13 @@ def block_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return doc[new], low - own, high - own, grams[anchor], kind, anchor - low
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """Blocks of at most about SEGMENT bytes: data, (text number, offset of the piece in its text), starts and ends in data."""
+def _pieces(texts: list[bytes], segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """Blocks of at most about segment bytes: data, (text number, offset of the piece in its text), starts and ends in data."""
     parts, spans, used = [], [], 0
     for i, text in enumerate(texts):
-        for off in range(0, max(len(text) - LENGTH + 1, 1), SEGMENT):
-            part = text[off : off + SEGMENT + LENGTH - 1]
-            if used and used + len(part) > SEGMENT:
+        for off in range(0, max(len(text) - LENGTH + 1, 1), segment):
+            part = text[off : off + segment + LENGTH - 1]
+            if used and used + len(part) > segment:
                 yield _laid(parts, spans)
                 parts, spans, used = [], [], 0
             parts.append(part)
@@ -135,12 +135,12 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) -> anchors. low orders windows within a doc: the text's tie above the position."""
     for batch in batches:
         docs, ties = np.asarray(batch.column(0)), np.asarray(batch.column(1)) << 32
         found = []
-        for data, spans, starts, ends in _pieces([x.as_py() or b"" for x in batch.column(2)]):
+        for data, spans, starts, ends in _pieces([x.as_py() or b"" for x in batch.column(2)], segment):
             doc, low, high, gram, kind, lead = block_anchors(data, starts, ends)
             number, off = (np.array(c)[doc] for c in zip(*spans, strict=True))
             found.append((gram.view(np.int64), kind.view(np.int64), docs[number], ties[number] + low + off, (high - low).astype(np.int32), lead.astype(np.int32)))
@@ -211,17 +211,17 @@ def _of_text(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield doc, tie, np.frombuffer(batch.column(3)[i].as_py(), np.uint8), low - tie, span, lead, gram
 
 
-def _hashed(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _hashed(text: np.ndarray, start: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
     """Hashes of substrings of a text of any length, a segment at a time."""
     out = np.zeros(len(start), np.uint64)
-    for s in np.unique(start // SEGMENT):
-        at = np.flatnonzero(start // SEGMENT == s)
-        off = int(s) * SEGMENT
-        out[at] = Block(text[off : off + SEGMENT + 3 * LENGTH]).hash(start[at] - off, length[at])
+    for s in np.unique(start // segment):
+        at = np.flatnonzero(start // segment == s)
+        off = int(s) * segment
+        out[at] = Block(text[off : off + segment + 3 * LENGTH]).hash(start[at] - off, length[at])
     return out
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
     """Of first anchors, runs of BLOCK windows at the same places before the anchor: gram is the rank of the text that all windows of the
     place share, kind the class of the text of the windows there are."""
     for batch in batches:
@@ -234,21 +234,21 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor = (low + lead)[at]
             start = anchor - np.minimum(lead[at], BLOCK * b + BLOCK - 1)
             stop = anchor - np.maximum((lead - span)[at], BLOCK * b)
-            core = _mix(_hashed(text, anchor - BLOCK * b, np.full(len(b), LENGTH - BLOCK + 1)) + _mix(gram[at].view(np.uint64) + b.astype(np.uint64)))
-            full = _hashed(text, start, stop - start + LENGTH) + _mix((anchor - start).astype(np.uint64))
+            core = _mix(_hashed(text, anchor - BLOCK * b, np.full(len(b), LENGTH - BLOCK + 1), segment) + _mix(gram[at].view(np.uint64) + b.astype(np.uint64)))
+            full = _hashed(text, start, stop - start + LENGTH, segment) + _mix((anchor - start).astype(np.uint64))
             found.append((core.view(np.int64), full.view(np.int64), np.full(len(b), doc, np.int64), start + tie, stop - start, np.zeros(len(b), np.int64)))
         if found:
             yield _settled(found)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
     """Of the runs left, each window. Its rank is made of the run's and of its own text, so that a rank has one class."""
     for batch in batches:
         found = []
         for doc, tie, text, low, span, _, core in _of_text(batch):
             at = np.repeat(np.arange(len(low)), span + 1)
             p = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-            own = _hashed(text, p, np.full(len(p), LENGTH))
+            own = _hashed(text, p, np.full(len(p), LENGTH), segment)
             rank = _mix(own + _mix(core[at].view(np.uint64)))
             zero = np.zeros(len(p), np.int64)
             found.append((rank.view(np.int64), own.view(np.int64), np.full(len(p), doc, np.int64), p + tie, zero, zero))
@@ -280,25 +280,26 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _tie(text: Column) -> Column:
-    """Tells texts that repeat a doc_id apart and orders them; below 2^31."""
-    return F.crc32(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+def _tie(doc_id: Column, text: Column) -> Column:
+    """Tells texts that repeat a doc_id apart and orders them, and puts null ids after the largest id; below 2^31."""
+    return F.crc32(text).bitwiseAND(F.lit(0x3FFFFFFF).cast("long")) + F.when(doc_id.isNull(), F.lit(1 << 30).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: bytes in any LENGTH-byte string that starts earlier, in a
     smaller doc_id or before in the same text, are removed; kept is what remains, as bytes.
 
     Null texts count as empty, texts below LENGTH bytes keep everything. Null doc_ids come after all others. Different texts of one
     doc_id come in the order of a checksum of theirs; rows that repeat id and text are one document and get the same result. An empty
-    table gives an empty result; further columns are not looked at.
+    table gives an empty result; further columns are not looked at. segment, at most SEGMENT, is the number of bytes hashed at a time. Equality is
+    that of two 64-bit hashes: the odds of any false match among n anchors are about n squared over 2^129.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(doc_id)).alias("doc"), _tie(body).alias("tie"), body.alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(doc_id)).alias("doc"), _tie(F.col(doc_id), body).alias("tie"), body.alias("text"))
     spark, tie, name = docs.sparkSession, F.shiftright("low", 32), uuid.uuid4().hex
 
     def ranked(found: DataFrame, step: str) -> DataFrame:
@@ -313,9 +314,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         lists = parts.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span", "lead", "gram")).alias("parts"))  # of one text
         return rows.join(lists, ["doc", "tie"]).select("doc_id", "doc", "tie", "text", "parts")
 
-    marks = [ranked(rows.select("doc", "tie", "text").mapInArrow(_anchor_rows, ANCHOR), "anchors")]
-    marks.append(ranked(with_text(marks[0].where("part")).mapInArrow(_block_rows, ANCHOR), "blocks"))
-    marks.append(ranked(with_text(marks[1].where("part")).mapInArrow(_window_rows, ANCHOR), "windows"))
+    marks = [ranked(rows.select("doc", "tie", "text").mapInArrow(partial(_anchor_rows, segment=segment), ANCHOR), "anchors")]
+    marks.append(ranked(with_text(marks[0].where("part")).mapInArrow(partial(_block_rows, segment=segment), ANCHOR), "blocks"))
+    marks.append(ranked(with_text(marks[1].where("part")).mapInArrow(partial(_window_rows, segment=segment), ANCHOR), "windows"))
 
     cover = marks[0].unionByName(marks[1]).unionByName(marks[2]).where("not part").select("doc", "low", "span")
     cover = cover.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span")).alias("cover"))  # of one text

@@ -87,3 +87,11 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in identify(docs, train(docs)).collect()] == [(UNDETERMINED, 0.0)]
     assert identify(docs.limit(0), train(docs)).count() == 0
+
+
+def test_kept_rows_of_an_empty_table_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, ("the of and to " if i % 2 else "der die und das ") * 30, "ab"[i % 2], 1.0, "x") for i in range(60)] + [(99, None, "a", 0.0, "y")], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = train(docs)
+    kept = keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id = 99").count() == 0 and kept.count() > 0
+    assert keep_identified(docs.limit(0), model).count() == 0

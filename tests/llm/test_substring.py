@@ -45,27 +45,16 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("seed,segment", [(1, None), (2, None), (3, 256)])
 def test_against_brute_force(spark, seed, segment):
     rows = corpus(seed)
-    schema, old = "doc_id long, text string, low long", substring.SEGMENT
-    frame = spark.createDataFrame([(*r, 0) for r in rows], schema).repartition(5)
-    try:
-        substring.SEGMENT = segment or old
-        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame).collect())
-    finally:
-        substring.SEGMENT = old
-    assert got == brute(rows)
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, low long").repartition(5)
+    found = remove_repeats(frame, segment=segment or substring.SEGMENT)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == brute(rows)
 
 
 def test_short_segments_on_the_worker():
     """The pieces of a long text give the same windows as the whole."""
     rng = np.random.default_rng(9)
     data = bytes(rng.integers(97, 101, 3000, dtype=np.uint8))
-    whole = list(substring._pieces([data]))
-    old = substring.SEGMENT
-    try:
-        substring.SEGMENT = 500
-        parts = list(substring._pieces([data]))
-    finally:
-        substring.SEGMENT = old
+    whole, parts = list(substring._pieces([data])), list(substring._pieces([data], 500))
     windows = lambda pieces: {(p + off) for d, spans, s, e in pieces for (_, off), lo, hi in zip([spans[i] for i in substring.block_anchors(d, s, e)[0]], *substring.block_anchors(d, s, e)[1:3]) for p in range(lo, hi + 1)}
     assert windows(whole) == windows(parts) == set(range(2901))
 
@@ -78,6 +67,13 @@ def test_different_texts_of_one_id_and_empty(spark):
     assert remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_null_ids_come_after_the_largest(spark):
+    a = "".join(chr(97 + i % 23) + str(i) for i in range(80))
+    rows = [(None, a), ((1 << 63) - 1, a), (-(1 << 63), "x" + a)]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: len(a), (1 << 63) - 1: len(a), -(1 << 63): 0}
+
+
 @pytest.mark.parametrize("seed", [1, 4])
 def test_prefix_doubling_of_every_position(spark, seed):
     rows = corpus(seed)
