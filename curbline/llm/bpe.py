@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbline.plans.session import cut
+
 CHUNK = 16_384
 OVERLAP = 1_024
 #: Entries of a worker's table from pre-token to ids; a full table starts anew.
@@ -150,13 +152,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
                 sure = ends[ends < len(part) - 1] if k < n - 1 else ends
                 tail = sure[sure >= len(part) - overlap] + at if k < n - 1 else sure[:0]
                 head = np.r_[0, sure[sure <= overlap]] + at if k else sure[:0]
-                rows.append((row, k, n, at, part, head.tolist(), tail.tolist()))
-            yield pd.DataFrame(rows, columns=["row", "k", "n", "at", "part", "head", "tail"])
-
-    scanned = chunks.mapInPandas(scan, "row string, k int, n int, at long, part string, head array<long>, tail array<long>")
+                rows.append((row, k, n, head.tolist(), tail.tolist()))
+            yield pd.DataFrame(rows, columns=["row", "k", "n", "head", "tail"])
 
-    # an overlap's two sides meet under (row, number of the overlap)
-    sides = chunks.mapInPandas(scan, scanned.schema).select("row", "k", "n", "head", "tail")
+    # an overlap's two sides meet under (row, number of the overlap); the scan is kept, as both are of it
+    sides = cut(chunks.mapInPandas(scan, "row string, k int, n int, head array<long>, tail array<long>"))
     cuts = (
         sides.where("k < n - 1").select("row", "n", F.col("k").alias("seam"), "tail")
         .join(sides.where("k > 0").select("row", (F.col("k") - 1).alias("seam"), "head"), ["row", "seam"])

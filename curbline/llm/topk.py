@@ -27,7 +27,7 @@ from curbline.operators.ordered import numbered
 from curbline.plans.session import cut
 
 #: ROOTS bounds what is broadcast of the root level: that many vectors.
-ROOTS, SUBTREE, PAGE, BLOCK, FIRST = 4096, 2048, 128, 1024, 4
+ROOTS, SUBTREE, PAGE, BLOCK, FIRST = 4096, 4096, 256, 1024, 4
 
 
 def _slack(top: float) -> float:
