@@ -228,7 +228,7 @@ def _blocks(m: int) -> list[tuple[int, int]]:
 
 
 #: Bits of a key beyond those that number the fingerprints: unrelated ones rarely share a key, however many there are.
-SLACK = 4
+SLACK = 6
 
 
 def block_count(n: int, radius: int = RADIUS) -> int:
@@ -258,9 +258,10 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile:
     seeds, n = [c for c in fps.columns if c.startswith("fp")], fps.count()
     m = blocks or block_count(n, radius)
     keys = [_keys(F.col(c), m, radius, k) for k, c in enumerate(seeds)]
-    filed = fps.select(F.col("fp").alias("node"), F.explode(F.concat(*keys)).alias("x")).select("node", "x.key", "x.value")
+    filed = fps.select(F.col("fp").alias("node"), F.explode(F.concat(*keys)).alias("x")).select("x.key", "x.value", *["node"] * (len(seeds) > 1))
     sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     known = join_uneven(filed, sizes, "key", "n", max(1, n * len(seeds) * comb(m, radius)))
+    known = known if len(seeds) > 1 else known.withColumn("node", F.col("value"))
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("long")
     own = F.pmod(F.xxhash64("value", "node", F.lit(7)), tiles)
     dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
