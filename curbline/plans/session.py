@@ -69,4 +69,4 @@ def cut(df: DataFrame) -> DataFrame:
     nothing refers to the result, where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     checkpoint_dir(df.sparkSession)
     with shuffles_freed(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a new query, which takes the setting
