@@ -62,3 +62,22 @@ def test_pages_labelled_by_hand():
         hits, found, wanted = hits + sum(a and b for a, b in zip(got, truth)), found + sum(got), wanted + sum(truth)
     assert len(PAGES) >= 20 and 2 * hits / (found + wanted) >= 0.9
     print("block F1", 2 * hits / (found + wanted), "precision", hits / found, "recall", hits / wanted)
+
+
+def test_viterbi_against_all_labellings(spark):
+    """The query's text is that of the best of all labellings, on pages short enough to try them all."""
+    from itertools import product
+
+    from curbline.llm.html_crf import features
+    from tests.llm.pages_by_hand import PAGES
+
+    field = default_field()
+    pages = [p.replace(">+", ">") for p in PAGES if len(leaf_blocks(p)) <= 11][:8]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert len(pages) >= 5
+    for i, page in enumerate(pages):
+        blocks = leaf_blocks(page)
+        own = [sum(field.weights.get(f, 0.0) for g in features(b) for f in g) for b in blocks]
+        score = lambda labels: sum(s for s, x in zip(own, labels) if x) + sum(field.move[a][b] for a, b in zip(labels, labels[1:]))
+        best = max(product((0, 1), repeat=len(blocks)), key=score)
+        assert got[i] == "\n".join(b.text for b, x in zip(blocks, best) if x)

@@ -100,3 +100,26 @@ def test_one_label_only_and_empty(spark):
     none = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(r.score < 0.5 for r in score_documents(docs, train(docs, none)).collect())
     assert score_documents(docs.limit(0), train(docs, none.limit(0))).count() == 0
+
+
+def test_query_against_a_plain_version(spark):
+    """Scores of whole texts, recomputed by definition: stems looked up one by one, best segments by trying all, their expectations summed."""
+    import math
+
+    docs, labels, bad = corpus(spark, 500)
+    model = train(docs, labels)
+    texts = ["wa wb vile wc rotten rotten wd", "vilest wx " + "wb " * 40 + "awful", "wc wd we", "", None, "nasty", "Vile " * 12 + "we " * 12]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        tokens = (text or "").lower().split()
+        weights = []
+        for t in tokens:
+            names = ["=" + t, *(t[:k] for k in range(12, 3, -1) if k <= len(t))]
+            weights.append(next((model.weights[n] for n in names if n in model.weights), 0.0) - model.drift)
+        evidence = 0.0
+        for a, b, s in plain_maximal(weights):
+            e = model.k * len(tokens) * math.exp(-model.lam * s)
+            evidence += -math.log(max(e, 1e-12) / 0.5) if e < 0.5 else 0.0
+        want = 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(evidence))))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == int(want >= 0.5), text
+    assert got[0].predicted == got[6].predicted == 1 and got[2].predicted == got[3].predicted == 0
