@@ -254,7 +254,8 @@ ACCEPT = 0.4
 
 
 def keep_identified(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """docs without the rows that are und or below accept; all columns stay, and lang too is as it was."""
+    """docs without the rows that are und or below accept; all columns, whatever their names, stay, and lang too is as it was. Null texts and
+    texts without a letter go; repeated rows and null ids are decided each for itself; an empty table stays empty."""
     fields = docs.schema.names
     at = fields.index("text")
 

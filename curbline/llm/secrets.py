@@ -401,7 +401,8 @@ MASK = "[secret]"
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer: Scorer | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every run of overlapping spans in text replaced by MASK; all other columns and rows stay."""
+    """docs with every run of overlapping spans in text replaced by MASK; all other columns, whatever their names, and all rows stay. Null and empty
+    texts stay as they are; repeated rows are masked each for itself; an empty table stays empty."""
     scorer = scorer or train(docs, doc_id, text)
 
     @F.pandas_udf("string")
