@@ -328,7 +328,7 @@ def embed_script(spark: SparkSession, d: str) -> DataFrame:
 
 def label_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of an export's label files: folder and stem, percent-decoded, with and without the hash put first."""
-    rows = views.manifest(spark, d).select("video_id", F.when(F.col("video_id") % 3 == 0, F.concat(F.lit("1a2b3c4d__wv%5Cframe_"), "video_id", F.lit(".txt"))).when(F.col("video_id") % 3 == 1, F.concat(F.lit("x__a%20b/c/f+"), "video_id", F.lit(".txt"))).otherwise(F.concat(F.lit("plain"), "video_id", F.lit(".txt"))).alias("name"))
+    rows = views.manifest(spark, d).select("video_id", F.when(F.col("video_id") % 3 == 0, F.concat(F.lit("1a2b3c4d__run5%5Cframe_"), "video_id", F.lit(".txt"))).when(F.col("video_id") % 3 == 1, F.concat(F.lit("x__a%20b/c/f+"), "video_id", F.lit(".txt"))).otherwise(F.concat(F.lit("plain"), "video_id", F.lit(".txt"))).alias("name"))
     p = T.label_path(F.col("name"))
     return rows.select("video_id", p["folder"].alias("folder"), p["stem"].alias("stem"), T.label_stem(F.col("name")).alias("label_stem"))
 
@@ -473,7 +473,7 @@ SELECT row_number() OVER (ORDER BY image_id, line_no, category_id, cx, cy, w, h)
     "upload_diff": f"WITH {MF} SELECT video_id AS key, md5(name) AS md5 FROM mf WHERE video_id % 3 = 0 OR video_id % 5 = 0",
     "download_script": "SELECT '[ -f ''it''\\''''s ' || CAST(page_id AS VARCHAR) || ''' ] || curl -fSL -o ''it''\\''''s ' || CAST(page_id AS VARCHAR) || ''' ''' || replace(url, '''', '''\\''''') || '''' AS value FROM pages",
     "embed_script": f"WITH {MF} SELECT '// made by the engine' || chr(10) || 'window.DATA = {{\"video_id\":' || CAST(video_id AS VARCHAR) || ',\"county\":\"' || county || '\"}};' || chr(10) AS value FROM mf",
-    "label_names": f"""WITH {MF} SELECT video_id, CASE video_id % 3 WHEN 0 THEN 'wv' WHEN 1 THEN 'a b' END AS folder, CASE video_id % 3 WHEN 0 THEN 'frame_' || CAST(video_id AS VARCHAR) WHEN 1 THEN 'c/f+' || CAST(video_id AS VARCHAR) END AS stem,
+    "label_names": f"""WITH {MF} SELECT video_id, CASE video_id % 3 WHEN 0 THEN 'run5' WHEN 1 THEN 'a b' END AS folder, CASE video_id % 3 WHEN 0 THEN 'frame_' || CAST(video_id AS VARCHAR) WHEN 1 THEN 'c/f+' || CAST(video_id AS VARCHAR) END AS stem,
  CASE video_id % 3 WHEN 0 THEN 'frame_' || CAST(video_id AS VARCHAR) WHEN 1 THEN 'f+' || CAST(video_id AS VARCHAR) ELSE 'plain' || CAST(video_id AS VARCHAR) END AS label_stem FROM mf""",
     "coordinates": f"SELECT event_id, CASE WHEN event_id % 3 = 2 THEN {_DLON} ELSE -{_DLON} END AS deg, -(event_id % 90 + 0.75e0) AS alt, CASE event_id % 3 WHEN 0 THEN event_id * 1000e0 WHEN 1 THEN CAST(event_id + 1700000000000 AS DOUBLE) ELSE 1714521600250e0 + event_id % 60 * 1000 END AS ts_ms FROM events",
     "names_and_suffixes": f"WITH {MF} SELECT video_id, CASE WHEN video_id % 3 < 2 THEN '.jpg' ELSE '.png' END AS ext, CASE video_id % 3 WHEN 0 THEN 'FH' WHEN 1 THEN 'FL' ELSE 'other' END AS camera, 'a' || CAST(video_id AS VARCHAR) || '_reviewed.geojson' AS reviewed, CASE WHEN video_id % 2 = 0 THEN 'StopSigns' END AS inventory FROM mf",
