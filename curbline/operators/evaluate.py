@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curbline.functions.box import iou
 from curbline.operators.ordered import best_after, running
+from curbline.plans.session import cut
 
 
 def best_overlap(asked: DataFrame, others: DataFrame, by: str, box: str = "box", other_box: str = "other_box", keep: tuple[str, ...] = (), order: str = "other_idx", eps: float = 0.0) -> DataFrame:
@@ -50,8 +51,9 @@ def average_precision(scored: DataFrame, truth_counts: DataFrame, by: tuple[str,
     scored has a row a prediction, truth_counts (by, n_gt). Running sums, a reversed running maximum, one sum: over ranges of confidence, so
     that a class with most of the predictions is not one task.
     """
-    s = running(scored.select(*by, conf, tp, order), by, (F.desc(conf), order), {"_tp": F.col(tp).cast("long"), "_n": F.lit(1)})
-    s = best_after(s.withColumn("_precision", F.col("_tp") / F.col("_n")).select(*by, tp, "_precision", "_n"), by, ("_n",), "_precision", "_e")
+    kept = cut(scored.select(*by, conf, tp, order))  # a sort by ranges reads its rows twice
+    s = running(kept, by, (F.desc(conf), order), {"_tp": F.col(tp).cast("long"), "_n": F.lit(1)}, ranges=True)
+    s = best_after(s.withColumn("_precision", F.col("_tp") / F.col("_n")).select(*by, tp, "_precision", "_n", "_p", "_i"), by, ("_n",), "_precision", "_e")
     area = s.groupBy(*by).agg(F.sum(F.when(F.col(tp), F.col("_e")).otherwise(0.0)).alias("_a"))
     out = truth_counts.join(area, list(by), "left")
     return out.withColumn("ap50", F.when(F.col("n_gt") == 0, F.lit(float("nan"))).otherwise(F.coalesce(F.col("_a"), F.lit(0.0)) / F.col("n_gt"))).drop("_a")

@@ -27,9 +27,9 @@ def numbered(rows: DataFrame, order: tuple[Column | str, ...], name: str) -> Dat
     return kept.join(F.broadcast(ahead), "_p").withColumn(name, F.col("_off") + F.col("_i") + 1).drop("_p", "_i", "_off")
 
 
-def running(rows: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...], sums: dict[str, Column]) -> DataFrame:
+def running(rows: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...], sums: dict[str, Column], ranges: bool = False) -> DataFrame:
     """rows with running sums inside each group of by in the given order, the row itself included. A group may have any size: windows see the part of
-    it in one range, and what came before is added."""
+    it in one range, and what came before is added. With ranges the columns that tell where rows lie stay, for best_after."""
     kept = _ranges(rows, (*by, *order))
     parts = kept.groupBy("_p", *by).agg(*(F.sum(c).alias(f"_s_{n}") for n, c in sums.items()))  # a row a range and a row a group
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,12 +37,12 @@ def running(rows: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...
     here = Window.partitionBy("_p", *by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     out = kept.withColumns({f"_here_{n}": F.sum(c).over(here) for n, c in sums.items()})
     met = out.join(ahead, (F.col("_p") == F.col("_q")) & _same(by))
-    return met.withColumns({n: F.col(f"_off_{n}") + F.col(f"_here_{n}") for n in sums}).drop("_q", "_p", "_i", *(f"_b_{b}" for b in by), *(f"_{k}_{n}" for k in ("off", "here") for n in sums))
+    return met.withColumns({n: F.col(f"_off_{n}") + F.col(f"_here_{n}") for n in sums}).drop("_q", *(() if ranges else ("_p", "_i")), *(f"_b_{b}" for b in by), *(f"_{k}_{n}" for k in ("off", "here") for n in sums))
 
 
 def best_after(rows: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...], value: str, name: str) -> DataFrame:
-    """rows with name, the largest value from the row on to the end of its group."""
-    kept = _ranges(rows, (*by, *order))
+    """rows with name, the largest value from the row on to the end of its group. Rows that running left with their ranges are not sorted again."""
+    kept = rows if {"_p", "_i"} <= set(rows.columns) else _ranges(rows, (*by, *order))
     parts = kept.groupBy("_p", *by).agg(F.max(value).alias("_m"))
     after = Window.partitionBy(*by).orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
     ahead = parts.select(F.col("_p").alias("_q"), *(F.col(b).alias(f"_b_{b}") for b in by), F.max("_m").over(after).alias("_later"))
