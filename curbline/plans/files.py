@@ -387,7 +387,7 @@ def _preflight(spark: SparkSession, d: str) -> DataFrame:
         F.when((F.col("class_idx") == 3) & (F.col("stem_no") % 6 == 1), "x").otherwise(F.col("class_idx").cast("string")).alias("class_text"), "cx", "cy", "w", (F.col("h") * 1.6).alias("h"), "line_no", "stem_no")
     stems = rows.select("config", "split", "stem", (F.col("stem_no") % 1000 == 7).alias("broken")).distinct()
     images = rows.where("stem_no % 5 <> 0").select("config", "split", "stem", (F.col("stem_no") % 1000 == 8).alias("broken")).distinct()
-    splits = spark.range(7).crossJoin(spark.createDataFrame([("train",), ("val",)], "split string")).select(F.col("id").cast("string").alias("config"), "split", F.lit(23).alias("nc"))
+    splits = spark.range(7).select(F.col("id").cast("string").alias("config"), F.explode(F.array(F.lit("train"), F.lit("val"))).alias("split"), F.lit(23).alias("nc"))
     return quality.preflight(splits, rows.where("(stem_no % 6 in (1, 2) or line_no < 7) and (line_no > 1 or stem_no % 7 > 0)"), stems, images)
 
 
