@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import bpe, decontam, html_crf, lang_id, secrets, simhash, substring, topk, toxicity, warc
+from curbline.llm import bpe, decontam, html_crf, lang_id, line_rules, secrets, simhash, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -73,8 +77,15 @@ def queries() -> dict[str, Query]:
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
         "op10_simhash": op10_simhash,
+        "op11_line_rules": op11_line_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_warc": warc.ORACLE, "op7_substring": substring.ORACLE, "op8_topk": topk.ORACLE}
+    return {
+        "op2_decontamination": decontam.ORACLE,
+        "op3_warc": warc.ORACLE,
+        "op7_substring": substring.ORACLE,
+        "op8_topk": topk.ORACLE,
+        "op11_line_rules": line_rules.ORACLE,
+    }
