@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import bpe, decontam, html_crf, lang_id, line_rules, secrets, simhash, substring, topk, toxicity, warc
+from curbline.llm import bpe, decontam, divergence, html_crf, lang_id, line_rules, secrets, simhash, substring, topk, toxicity, variants, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,14 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -78,6 +86,8 @@ def queries() -> dict[str, Query]:
         "op9_secrets": op9_secrets,
         "op10_simhash": op10_simhash,
         "op11_line_rules": op11_line_rules,
+        "op12_variants": op12_variants,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -88,4 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring": substring.ORACLE,
         "op8_topk": topk.ORACLE,
         "op11_line_rules": line_rules.ORACLE,
+        "op12_variants": variants.ORACLE,
+        "op13_divergence": divergence.ORACLE,
     }
