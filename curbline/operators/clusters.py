@@ -29,16 +29,17 @@ def near_pairs(points: DataFrame, eps_m: float = EPS_M, by: str = "video_id", id
     return pairs.where(d2 <= eps_m * eps_m).select("a", "b")
 
 
-def dbscan(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx") -> DataFrame:
+def dbscan(dets: DataFrame, eps_m: float = EPS_M, by: str = "video_id", idx: str = "det_idx", small: int | None = None) -> DataFrame:
     """dets with component, the smallest detection reachable in steps of at most eps_m: with one sample enough to be a core point, density
     clusters are the components of that graph, and nothing is noise. Detections without a place are left out.
 
-    Detections at the very same place are one point, so that a standing vehicle makes no pairs.
+    Detections at the very same place are one point, so that a standing vehicle makes no pairs. Graphs of at most small edges, SMALL_GRAPH unless said
+    otherwise, are finished by one task.
     """
     placed = dets.where("lat is not null and lon is not null")
     means = placed.groupBy(by).agg(F.avg("lat").alias("_mean"))
     spots = placed.groupBy(by, "lat", "lon").agg(F.min(idx).alias("_spot"))
-    parts = connected_components(near_pairs(spots.join(means, by), eps_m, by, "_spot", "_mean"), small=SMALL_GRAPH).withColumnRenamed("node", "_spot")
+    parts = connected_components(near_pairs(spots.join(means, by), eps_m, by, "_spot", "_mean"), small=SMALL_GRAPH if small is None else small).withColumnRenamed("node", "_spot")
     spots = spots.join(parts, "_spot", "left").select(by, "lat", "lon", F.coalesce("component", F.col("_spot").cast("long")).alias("component"))
     return placed.join(spots, [by, "lat", "lon"]).select(*dets.columns, "component")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbline.functions.box import iou
 from curbline.operators.ordered import best_after, running
+from curbline.operators.overlap import overlapping
 from curbline.plans.session import cut
 
 
@@ -17,32 +16,44 @@ def best_overlap(asked: DataFrame, others: DataFrame, by: str, box: str = "box",
 
     A row whose group has no other stays, with iou 0 and nulls.
     """
-    pairs = asked.join(others.select(by, order, *keep, other_box), by, "left")
-    pairs = pairs.withColumn("iou", F.when(F.col(other_box).isNull(), 0.0).otherwise(iou(F.col(box), F.col(other_box), eps)))
+    pairs = overlapping(asked, others.select(by, order, *keep, other_box), (by,), box, other_box).withColumn("iou", iou(F.col(box), F.col(other_box), eps))
+    least = others.groupBy(by).agg(F.min(F.struct(order, *keep)).alias("_r"))  # for those that overlap none
+    alone = asked.join(least, by, "left").withColumn("iou", F.lit(0.0)).select(*asked.columns, "iou", F.col(f"_r.{order}").alias(order), *(F.col(f"_r.{k}").alias(k) for k in keep))
     rank = F.struct("iou", (-F.col(order)).alias("o"), *keep)
-    return pairs.groupBy(*[c for c in asked.columns if c != box]).agg(F.max(rank).alias("b")).select(*[c for c in asked.columns if c != box], F.col("b.iou").alias("iou"), (-F.col("b.o")).alias(order), *(F.col(f"b.{k}").alias(k) for k in keep))
+    own = [c for c in asked.columns if c != box]
+    best = pairs.drop(other_box).unionByName(alone).groupBy(*own).agg(F.max(rank).alias("b"))
+    return best.select(*own, F.col("b.iou").alias("iou"), (-F.col("b.o")).alias(order), *(F.col(f"b.{k}").alias(k) for k in keep))
 
 
 def greedy_match(preds: DataFrame, truth: DataFrame, threshold: float = 0.5, image: str = "image", cls: str = "cls") -> DataFrame:
     """preds (image, cls, idx, conf, box) with gt_idx, the truth each is matched to, or null.
 
-    By falling confidence every prediction takes the best free truth of its class that it overlaps by more than the threshold. The
-    order within an image matters, so each image and class is walked; pairs beyond the threshold come from an equi-join first.
+    By falling confidence, equal ones by idx, every prediction takes the best free truth of its class that it overlaps by more than the threshold.
     """
-    pairs = preds.select(image, cls, F.col("idx").alias("p"), "conf", "box").join(truth.select(image, cls, F.col("idx").alias("g"), F.col("box").alias("gbox")), [image, cls])
-    pairs = pairs.withColumn("iou", iou(F.col("box"), F.col("gbox"))).where(F.col("iou") > threshold).select(image, cls, "p", "conf", "g", "iou")
+    held = match_rounds(preds, truth, threshold, image, cls)[0]
+    return preds.join(held.select(F.col("p").alias("idx"), F.col("g").alias("gt_idx")), "idx", "left")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "p", "iou", "g"], ascending=[False, True, False, True], kind="stable")
-        taken, held = set(), {}
-        for p, g in zip(pdf["p"].to_numpy(), pdf["g"].to_numpy(), strict=True):
-            if p not in held and g not in taken:
-                held[p] = g
-                taken.add(g)
-        return pd.DataFrame({"p": np.array(list(held), "int64"), "gt_idx": np.array(list(held.values()), "int64")})
 
-    held = pairs.groupBy(image, cls).applyInPandas(walk, "p long, gt_idx long")
-    return preds.join(held.withColumnRenamed("p", "idx"), "idx", "left")
+def match_rounds(preds: DataFrame, truth: DataFrame, threshold: float = 0.5, image: str = "image", cls: str = "cls") -> tuple[DataFrame, int]:
+    """The matched pairs (image, cls, p, g) of greedy_match, and in how many rounds they were found.
+
+    In a round each prediction that comes first among all that could take its best free truth takes it: nothing before it can change that. It goes with its
+    truth, and the rest goes on. The first prediction of all is always such a one, and those of different places don't wait for each other.
+    """
+    rows = preds.select(image, cls, F.col("idx").alias("p"), "conf", F.col("box").alias("_b"))
+    pairs = overlapping(rows, truth.select(image, cls, F.col("idx").alias("g"), F.col("box").alias("_o")), (image, cls), "_b", "_o").withColumn("iou", iou(F.col("_b"), F.col("_o")))
+    left, found, rounds = cut(pairs.where(F.col("iou") > threshold).select(image, cls, "p", "conf", "g", "iou")), [], 0
+    group = [image, cls]
+    while left.take(1):
+        best = left.groupBy(*group, "p").agg(F.min(F.struct((-F.col("iou")).alias("i"), "g")).alias("b")).select(*group, "p", F.col("b.g").alias("g"))
+        first = left.groupBy(*group, "g").agg(F.min(F.struct((-F.col("conf")).alias("c"), "p")).alias("f")).select(*group, "g", F.col("f.p").alias("p"))
+        fixed = cut(best.join(first, [*group, "p", "g"]))
+        found.append(fixed)
+        left, rounds = cut(left.join(fixed, [*group, "p"], "left_anti").join(fixed, [*group, "g"], "left_anti")), rounds + 1
+    out = left.select(*group, "p", "g")
+    for f in found:
+        out = out.unionByName(f.select(*group, "p", "g"))
+    return out, rounds
 
 
 def average_precision(scored: DataFrame, truth_counts: DataFrame, by: tuple[str, ...] = ("cls",), conf: str = "conf", tp: str = "is_tp", order: str = "idx") -> DataFrame:
@@ -52,7 +63,7 @@ def average_precision(scored: DataFrame, truth_counts: DataFrame, by: tuple[str,
     that a class with most of the predictions is not one task.
     """
     kept = cut(scored.select(*by, conf, tp, order))  # a sort by ranges reads its rows twice
-    s = running(kept, by, (F.desc(conf), order), {"_tp": F.col(tp).cast("long"), "_n": F.lit(1)}, ranges=True)
+    s = running(kept, by, (F.desc(conf), order), {"_tp": F.col(tp).cast("long"), "_n": F.lit(1)}, placed=True)
     s = best_after(s.withColumn("_precision", F.col("_tp") / F.col("_n")).select(*by, tp, "_precision", "_n", "_p", "_i"), by, ("_n",), "_precision", "_e")
     area = s.groupBy(*by).agg(F.sum(F.when(F.col(tp), F.col("_e")).otherwise(0.0)).alias("_a"))
     out = truth_counts.join(area, list(by), "left")

@@ -91,3 +91,11 @@ def storage(files: DataFrame, by: str, flag_gb: float = 40.0, usd_gb_month: floa
 def recommended_n(mean_bytes: float, budget_bytes: float, available: int) -> int:
     """Rows that fit the budget, rounded down to a multiple of four."""
     return min(available, int(budget_bytes // max(mean_bytes, 1.0))) // 4 * 4
+
+
+def recommended_sizes(files: DataFrame, by: str, size: str, budget: float, fixed: float = 0.0) -> DataFrame:
+    """(by, files, mean_bytes, over, recommended): whether a folder's files and the fixed bytes beside them exceed the budget, and how many files of their
+    mean size fit, rounded down to a multiple of four."""
+    s = files.groupBy(by).agg(F.count("*").alias("files"), F.avg(size).alias("mean_bytes"), F.sum(size).alias("_all"))
+    fit = F.floor((budget - fixed) / F.greatest(F.col("mean_bytes"), F.lit(1.0)) / 4) * 4
+    return s.select(by, "files", "mean_bytes", (F.col("_all") + fixed > budget).alias("over"), F.greatest(F.lit(0), F.when(F.col("_all") + fixed > budget, fit).otherwise(F.col("files"))).cast("long").alias("recommended"))

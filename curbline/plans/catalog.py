@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.plans import choices, curation, extras, files, live, tracks
+from curbline.plans import choices, curation, extras, files, live, scale, tracks
 
-_MODULES = (tracks, curation, extras, files, choices, live)
+_MODULES = (tracks, curation, extras, files, choices, live, scale)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

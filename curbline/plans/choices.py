@@ -86,11 +86,6 @@ def mixed_sample(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", "county", "part")
 
 
-def class_budgets(spark: SparkSession, d: str) -> DataFrame:
-    got = sample.class_budgets({"deer": 0.33, "pedestrian": 0.29, "railroad": 0.25, "curve": 0.125}, 77)
-    return spark.createDataFrame(list(got.items()), "cls string, budget int")
-
-
 def random_images(spark: SparkSession, d: str) -> DataFrame:
     return sample.random_n(views.manifest(spark, d).select("video_id"), "video_id", 100)
 
@@ -154,7 +149,7 @@ def even_rounding(spark: SparkSession, d: str) -> DataFrame:
 
 def repeat_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Frames that differ enough from the last one kept: the state is the last kept row."""
-    rows = views.detections(spark, d).where("det_idx % 4 = 0").select("video_id", "det_idx", "confidence")
+    rows = views.detections(spark, d).select("video_id", "det_idx", "confidence")
     return temporal.suppress_repeats(rows, "video_id", "det_idx", "confidence", 0.2).select("video_id", "det_idx")
 
 
@@ -192,7 +187,7 @@ def pixel_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    class_affinity, without_municipal, confident_boxes, squarish_boxes, sharp_parts, annotation_hours, dedupe_summary, method_counts, split_overlap, split_disjoint, candidates_and_background, mixed_sample, class_budgets, random_images,
+    class_affinity, without_municipal, confident_boxes, squarish_boxes, sharp_parts, annotation_hours, dedupe_summary, method_counts, split_overlap, split_disjoint, candidates_and_background, mixed_sample, random_images,
     tiered_pick, tiered_order, top_class, metadata_lookup, cluster_lookup, pending_items, review_markers, mark_reviewed, frame_scores, even_rounding, repeat_suppression, early_stop, merge_checks, merge_verdict, expected_counts, bad_examples, pixel_boxes,
 )}
 
@@ -231,7 +226,6 @@ ORACLES = {
     "split_disjoint": "SELECT CAST(0 AS BIGINT) AS shared",
     "candidates_and_background": f"WITH {BX} SELECT idx, image, CASE WHEN pred THEN 'detections' ELSE 'background' END AS candidate_reason FROM bx WHERE (pred AND conf > 0.1) OR (NOT pred AND conf < 0.01)",
     "mixed_sample": f"WITH {MF}, e AS (SELECT county, count(*) AS n FROM mf WHERE video_id % 9 = 0 GROUP BY 1), {_budget_sql('c', 'video_id % 2 = 0', 170)}, {_budget_sql('d', 'video_id % 2 = 1', 30)} SELECT video_id, county, 'candidate' AS part FROM cr JOIN cw USING (county) WHERE r <= budget UNION ALL SELECT video_id, county, 'background' FROM dr JOIN dw USING (county) WHERE r <= budget",
-    "class_budgets": "SELECT cls, budget FROM (VALUES ('deer', 26), ('pedestrian', 22), ('railroad', 19), ('curve', 10)) AS t(cls, budget)",
     "random_images": f"WITH {MF} SELECT video_id FROM mf ORDER BY {ORDER42.format(k='video_id')} LIMIT 100",
     "tiered_pick": f"WITH {_VD}, r AS (SELECT road, video_id, CAST(row_number() OVER (PARTITION BY road ORDER BY county <> 'Tucker', county <> 'Wood', {ORDER42.format(k='video_id')}) AS INTEGER) AS rank FROM vd) SELECT * FROM r WHERE rank <= 40",
     "tiered_order": f"WITH {_VD} SELECT video_id, county FROM vd ORDER BY county <> 'Tucker', county <> 'Wood', {ORDER42.format(k='video_id')} LIMIT 50",
@@ -243,7 +237,7 @@ ORACLES = {
     "mark_reviewed": f"WITH {BX} SELECT idx AS cluster_id, idx <> 77 AS needs_review, CASE WHEN idx <> 77 THEN 'Single sighting' END AS review_reason FROM bx",
     "frame_scores": f"WITH {BX} SELECT idx, round(CASE WHEN idx % 4 > 0 THEN conf * 100 * sqrt((x2 - x1) * (y2 - y1)) ELSE (x2 - x1) * (y2 - y1) END, 6) AS score FROM bx",
     "even_rounding": f"WITH {LL} SELECT stem, line_no, class_idx, round_even(class_idx / 2e0, 0) AS even, round(class_idx / 2e0) AS up FROM ll",
-    "repeat_suppression": f"""WITH RECURSIVE {DET}, q AS MATERIALIZED (SELECT video_id, det_idx, confidence, row_number() OVER (PARTITION BY video_id ORDER BY det_idx) AS r FROM d WHERE det_idx % 4 = 0),
+    "repeat_suppression": f"""WITH RECURSIVE {DET}, q AS MATERIALIZED (SELECT video_id, det_idx, confidence, row_number() OVER (PARTITION BY video_id ORDER BY det_idx) AS r FROM d),
 w AS (SELECT video_id, det_idx, confidence AS last, r, true AS kept FROM q WHERE r = 1 UNION ALL SELECT q.video_id, q.det_idx, CASE WHEN abs(q.confidence - w.last) >= 0.2 THEN q.confidence ELSE w.last END, q.r, abs(q.confidence - w.last) >= 0.2 FROM w JOIN q ON q.video_id = w.video_id AND q.r = w.r + 1) SELECT video_id, det_idx FROM w WHERE kept""",
     "early_stop": f"""WITH {DET}, m AS (SELECT video_id % 50 AS run, det_idx AS step, confidence AS loss FROM d), b AS (SELECT *, coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 0.01, true) AS better FROM m),
 l AS (SELECT *, max(step) FILTER (better) OVER (PARTITION BY run ORDER BY step) AS last FROM b) SELECT run, coalesce(min(step) FILTER (step - last >= 2000), max(step)) AS stop_step FROM l GROUP BY 1""",

@@ -9,6 +9,7 @@ from curbline.functions import box as B
 from curbline.functions import text as T
 from curbline.functions.classify import RAW_TO_CLASS
 from curbline.operators import curate, evaluate, quality, review, sample
+from curbline.operators.overlap import overlapping
 from curbline.plans import views
 from curbline.plans.tracks import INV
 
@@ -33,7 +34,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     p, g = _sides(spark, d)
-    j = p.select("image", F.col("idx").alias("p"), "box").join(g.select("image", F.col("idx").alias("g"), F.col("box").alias("gbox")), "image")
+    j = overlapping(p.select("image", F.col("idx").alias("p"), "box"), g.select("image", F.col("idx").alias("g"), F.col("box").alias("gbox")), ("image",), "box", "gbox")
     return j.withColumn("iou", B.iou(F.col("box"), F.col("gbox"))).where("iou > 0.3").select("p", "g", F.round("iou", 6).alias("iou"))
 
 

@@ -4,10 +4,8 @@ says what must come back."""
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -223,23 +221,6 @@ def folder_listing(spark: SparkSession, d: str) -> DataFrame:
     return quality.storage(files, "folder").select("folder", "bytes", "usd_month", "over")
 
 
-def dataset_yaml(spark: SparkSession, d: str) -> DataFrame:
-    """A dataset file written and read by the driver."""
-    with tempfile.TemporaryDirectory() as folder:
-        at = Path(folder) / "data.yaml"
-        at.write_text(sinks.dataset_yaml("/data", "images/train", "images/val", CLASSES))
-        found = annotations.dataset_config(str(at))
-    return spark.createDataFrame([(i, n, found["nc"], found["splits"]["val"]["labels"]) for i, n in enumerate(found["names"])], "idx int, name string, nc int, val_labels string")
-
-
-def prefix_yaml(spark: SparkSession, d: str) -> DataFrame:
-    with tempfile.TemporaryDirectory() as folder:
-        at = Path(folder) / "rules.yaml"
-        at.write_text("rules:\n" + "".join(f"  - {{prefix: {p}, class: {i}}}\n" for i, (p, _) in enumerate(CODE_RULES)))
-        rules = annotations.prefix_rules(str(at))
-    return spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(rules)], "ord int, prefix string, cls int")
-
-
 def _videos(spark: SparkSession, d: str) -> DataFrame:
     return views.manifest(spark, d).selectExpr("video_id", "CAST(CASE WHEN video_id % 3 = 0 THEN 0 ELSE 24 + video_id % 7 END AS DOUBLE) AS fps", "video_id % 200 AS n_frames", "CAST(video_id % 9000 AS DOUBLE) AS duration_ms")
 
@@ -366,7 +347,7 @@ def _merged_rounds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def context_patches(spark: SparkSession, d: str) -> DataFrame:
     """Cells of a tiling and the patch around each."""
-    v = views.manifest(spark, d).where("video_id % 50 = 0").select("video_id", (F.col("video_id") % 300 + 20).cast("int").alias("width"), F.lit(100).alias("height"))
+    v = views.manifest(spark, d).select("video_id", (F.col("video_id") % 300 + 20).cast("int").alias("width"), F.lit(100).alias("height"))
     cells = v.select("*", F.posexplode(B.grid_cells(F.col("width"), F.col("height"), 32)).alias("cell", "b"))
     patch = B.context_patch(F.col("b"), F.lit(48.0), F.col("width"), F.col("height"))
     return cells.withColumn("p", patch).select("video_id", "cell", F.col("b.x2").alias("cell_x2"), F.col("b.y2").alias("cell_y2"), *(F.col(f"p.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")))
@@ -393,7 +374,7 @@ def _preflight(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     caption_scan, gps_csv, metadata_csv, metadata_clock, gpx_track, geojson_lines, geojson_collection, reviewed_geojson, manifest_csv, exclusion_ids, label_text, label_scan, semicolon_boxes, category_list, object_json, split_lists,
-    image_index, cluster_csv, line_list, archive_entries, reviews_export, folder_listing, dataset_yaml, prefix_yaml, frame_grid, frame_stride, frame_seek, report_entries, qa_report, coco_sink, invalid_categories, prediction_tasks, markdown_table, thumbnail_box,
+    image_index, cluster_csv, line_list, archive_entries, reviews_export, folder_listing, frame_grid, frame_stride, frame_seek, report_entries, qa_report, coco_sink, invalid_categories, prediction_tasks, markdown_table, thumbnail_box,
     upload_diff, download_script, embed_script, label_names, coordinates, names_and_suffixes, round_merge, round_summary, context_patches, preflight, preflight_verdicts,
 )}
 
@@ -451,8 +432,6 @@ ORACLES = {
     "archive_entries": "SELECT 'n' || CAST(c_nationkey AS VARCHAR) || '.zip' AS archive, 'label' AS kind, 's' || CAST(c_custkey AS VARCHAR) AS stem, c_name AS content FROM customer UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR) || '.zip', 'image', 's' || CAST(c_custkey AS VARCHAR), 'picture' FROM customer WHERE c_custkey % 2 = 0",
     "reviews_export": _export_sql(),
     "folder_listing": f"WITH {MF}, s AS (SELECT county AS folder, CAST(sum(strlen(name) + 1) AS BIGINT) AS bytes FROM mf GROUP BY 1) SELECT folder, bytes, round(bytes / 1e9 * 0.023e0, 4) AS usd_month, false AS over FROM s",
-    "dataset_yaml": f"SELECT idx, name, {len(CLASSES)} AS nc, '/data/labels/val' AS val_labels FROM (VALUES {_NAMES}) AS t(idx, name)",
-    "prefix_yaml": f"SELECT ord, prefix, cls FROM (VALUES {_RULES}) AS t(ord, prefix, cls)",
     "frame_grid": f"WITH {_VID} SELECT video_id, frame_no, frame_no * 500e0 AS ts_ms FROM (SELECT video_id, unnest(range(CAST(floor(duration_ms / 500) AS BIGINT) + 1)) AS frame_no FROM v)",
     "frame_stride": f"WITH {_VID}, s AS (SELECT *, CAST(greatest(1, round_even(rate * 1.5, 0)) AS BIGINT) AS step, CAST(least(n_frames, floor(rate * 4)) AS BIGINT) AS e FROM v), f AS (SELECT video_id, step, rate, unnest(range(0, e, step)) AS frame_idx FROM s) SELECT video_id, CAST(frame_idx // step AS INTEGER) AS taken, frame_idx, round(frame_idx * 1000e0 / rate, 4) AS ts_ms FROM f",
     "frame_seek": f"WITH {_VID} SELECT video_id, frame_no, frame_no * 1000e0 AS ts_ms FROM (SELECT video_id, unnest(range(least(6, CAST(ceil(duration_ms / 1000) AS BIGINT)))) AS frame_no FROM v)",
@@ -479,7 +458,7 @@ SELECT row_number() OVER (ORDER BY image_id, line_no, category_id, cx, cy, w, h)
     "names_and_suffixes": f"WITH {MF} SELECT video_id, CASE WHEN video_id % 3 < 2 THEN '.jpg' ELSE '.png' END AS ext, CASE video_id % 3 WHEN 0 THEN 'FH' WHEN 1 THEN 'FL' ELSE 'other' END AS camera, 'a' || CAST(video_id AS VARCHAR) || '_reviewed.geojson' AS reviewed, CASE WHEN video_id % 2 = 0 THEN 'StopSigns' END AS inventory FROM mf",
     "round_merge": f"WITH {_ROUNDS} SELECT * FROM kp",
     "round_summary": f"WITH {_ROUNDS}, s AS (SELECT round, count(*) AS rows, count(*) FILTER (NOT has_image) AS label_without_image, count(*) FILTER (kind = 'annotated') AS annotated, count(*) FILTER (kind = 'background') AS background FROM rd GROUP BY 1), t AS (SELECT s.*, (SELECT count(*) FROM kp WHERE kp.round = s.round AND kind = 'annotated') AS annotated_kept, (SELECT count(*) FROM kp WHERE kp.round = s.round AND kind = 'background') AS background_kept FROM s) SELECT *, rows - label_without_image - annotated_kept - background_kept AS repeats FROM t",
-    "context_patches": f"""WITH {MF}, v AS (SELECT video_id, video_id % 300 + 20 AS w FROM mf WHERE video_id % 50 = 0), g AS (SELECT video_id, w, i, j, (w + 31) // 32 AS nx FROM v, range(10) AS a(i), range(4) AS b(j) WHERE i * 32 < w AND j * 32 < 100),
+    "context_patches": f"""WITH {MF}, v AS (SELECT video_id, video_id % 300 + 20 AS w FROM mf), g AS (SELECT video_id, w, i, j, (w + 31) // 32 AS nx FROM v, range(10) AS a(i), range(4) AS b(j) WHERE i * 32 < w AND j * 32 < 100),
 c AS (SELECT *, i * 32e0 AS ax, j * 32e0 AS ay, CAST(least((i + 1) * 32, w) AS DOUBLE) AS bx, CAST(least((j + 1) * 32, 100) AS DOUBLE) AS byy FROM g),
 p AS (SELECT *, CAST(floor(greatest(0e0, (ax + bx) / 2 - 48)) AS INTEGER) AS x1, CAST(floor(greatest(0e0, (ay + byy) / 2 - 48)) AS INTEGER) AS y1, CAST(floor(least(CAST(w AS DOUBLE), (ax + bx) / 2 + 48)) AS INTEGER) AS x2, CAST(floor(least(100e0, (ay + byy) / 2 + 48)) AS INTEGER) AS y2 FROM c)
 SELECT video_id, CAST(j * nx + i AS INTEGER) AS cell, bx AS cell_x2, byy AS cell_y2, x1, y1, x2, y2 FROM p""",

@@ -155,12 +155,11 @@ def read_manifest(spark: SparkSession, path: str, schema: str | None = None) ->
     return spark.read.csv(path, header=True, schema=schema, escape='"')
 
 
-def dataset_config(path: str) -> dict:
+def parse_dataset(text: str) -> dict:
     """A dataset's YAML: names as a list, nc from them, and for each split its images and labels folders."""
     import yaml
 
-    with open(path) as f:
-        raw = yaml.safe_load(f)
+    raw = yaml.safe_load(text)
     names = raw.get("names") or []
     names = [names[k] for k in sorted(names)] if isinstance(names, dict) else list(names)
     root = str(raw.get("path", "")).rstrip("/")
@@ -173,15 +172,50 @@ def dataset_config(path: str) -> dict:
     return {"names": names, "nc": len(names), "splits": splits}
 
 
+def dataset_config(path: str) -> dict:
+    """parse_dataset of a file the driver can open."""
+    with open(path) as f:
+        return parse_dataset(f.read())
+
+
+def read_datasets(texts: DataFrame) -> DataFrame:
+    """(file, idx, name, nc, split, images, labels) of dataset files (file, value): a row a class and split."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                found = parse_dataset(text)
+                rows = [(file, i, n, found["nc"], k, s["images"], s["labels"]) for i, n in enumerate(found["names"]) for k, s in found["splits"].items()]
+                yield pd.DataFrame(rows, columns=["file", "idx", "name", "nc", "split", "images", "labels"])
+
+    return texts.select("file", "value").mapInPandas(parse, "file string, idx int, name string, nc int, split string, images string, labels string")
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Frame clusters (frame_stem, cluster_id, split, keep, targeted_classes) with keep as a boolean and the classes as an array."""
     rows = spark.read.csv(path, header=True, escape='"')
     return rows.withColumn("keep", F.lower("keep") == "true").withColumn("targeted_classes", F.filter(F.split(F.coalesce("targeted_classes", F.lit("")), r"\|"), lambda c: c != ""))
 
 
-def prefix_rules(path: str) -> list[tuple[str, int]]:
-    """Ordered (prefix, class) rules of a YAML file."""
+def parse_rules(text: str) -> list[tuple[str, int]]:
+    """Ordered (prefix, class) rules of YAML."""
     import yaml
 
+    return [(str(r["prefix"]), r["class"]) for r in yaml.safe_load(text)["rules"]]
+
+
+def prefix_rules(path: str) -> list[tuple[str, int]]:
+    """parse_rules of a file the driver can open."""
     with open(path) as f:
-        return [(r["prefix"], r["class"]) for r in yaml.safe_load(f)["rules"]]
+        return parse_rules(f.read())
+
+
+def read_rules(texts: DataFrame) -> DataFrame:
+    """(file, ord, prefix, cls) of rule files (file, value)."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                yield pd.DataFrame([(file, k, p, c) for k, (p, c) in enumerate(parse_rules(text))], columns=["file", "ord", "prefix", "cls"])
+
+    return texts.select("file", "value").mapInPandas(parse, "file string, ord int, prefix string, cls int")

@@ -46,9 +46,13 @@ def _column(columns: list[str], names: set[str]) -> str | None:
     return next((c for c in columns if c.strip().lower() in names), None)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
+#: What a fix says of its file, unless a reader is told otherwise.
+FILE = "_metadata.file_name"
+
+
+def _csv(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
     rows = spark.read.csv(path, header=True, escape='"')
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("ord"))
+    return rows.select("*", (F.col(FILE) if key is None else key).alias("file"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("ord"))
 
 
 def _found(columns: list[str], wanted: dict[str, set[str]], path: str, needed: tuple[str, ...]) -> dict[str, Column]:
@@ -72,10 +76,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _rebased(out.where("ts_ms is not null and lat is not null and lon is not null").where(valid_fix(F.col("lat"), F.col("lon"))))
 
 
-def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_metadata_csv(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
     """CSV of a metadata tool: sample seconds if any row of the file has them, else absolute times from the first row's. Headers are as the tool
     writes them, with or without underscores, in any case."""
-    rows = _csv(spark, path)
+    rows = _csv(spark, path, key)
     c = _found(rows.columns, METADATA, path, ("lat", "lon"))
     clock = F.regexp_replace(c["clock"], r"^(\d{4}):(\d{2}):", "$1-$2-")
     out = rows.select(
@@ -89,16 +93,35 @@ def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", "ts_ms", "lat", "lon", "alt", "ord").where("ts_ms is not null and lat is not null and lon is not null").where(valid_fix(F.col("lat"), F.col("lon")))
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
+def read_gpx(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
     """Track points of GPX files from the first one's time on; a track of fewer than two timed points is none."""
     schema = "_lat double, _lon double, ele double, time string"
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
-    out = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), timestamp_ms(F.col("time")).alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("ele").alias("alt"), F.monotonically_increasing_id().alias("ord"))
+    out = rows.select((F.col(FILE) if key is None else key).alias("file"), F.col("_metadata.file_path").alias("_path"), timestamp_ms(F.col("time")).alias("t"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("ele").alias("alt"), F.monotonically_increasing_id().alias("ord"))
     w = Window.partitionBy("_path")
     out = out.where("t is not null").where(valid_fix(F.col("lat"), F.col("lon"))).withColumn("n", F.count("*").over(w)).where("n >= 2")
     return out.select("file", (F.col("t") - F.min("t").over(w)).alias("ts_ms"), "lat", "lon", "alt", "ord")
 
 
+#: A strategy is accepted for a file if it finds so many fixes.
+LEAST_FIXES = 2
+
+
+def choose_tracks(files: DataFrame, strategies: list[DataFrame], strict: bool = True) -> DataFrame:
+    """The fixes of each file (file) by the first of the strategies' tracks that has LEAST_FIXES or more of it, with strategy, its number from 1. A file for
+    which none has is an error, or with strict=False has no rows."""
+    every = None
+    for k, rows in enumerate(strategies, 1):
+        one = rows.withColumn("strategy", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    counts = every.groupBy("file", "strategy").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_FIXES)
+    chosen = files.select("file").distinct().join(counts.groupBy("file").agg(F.min("strategy").alias("strategy")), "file", "left")
+    if strict:
+        failed = F.raise_error(F.concat(F.lit("no strategy finds a track in "), "file"))
+        chosen = chosen.withColumn("strategy", F.coalesce("strategy", failed.cast("int")))
+    return every.join(chosen.where("strategy is not null"), ["file", "strategy"])
+
+
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """The reader for a file by its name and, for CSV, its header. A track without a fix is an error."""
     if path.lower().endswith(".srt"):

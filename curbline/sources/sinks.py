@@ -131,6 +131,25 @@ def dataset_yaml(path: str, train: str, val: str, names: list[str]) -> str:
     return "\n".join([f"path: {path}", f"train: {train}", f"val: {val}", f"nc: {len(names)}", "names:", *(f"  {i}: {n}" for i, n in enumerate(names))]) + "\n"
 
 
+def dataset_yamls(classes: DataFrame, by: str, name: str, order: str) -> DataFrame:
+    """(by, value): a dataset file for each group of classes, as dataset_yaml writes it, with the group as its path."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda x: x[name])
+    text = F.concat(
+        F.lit("path: /data/"), by, F.lit("\ntrain: images/train\nval: images/val\nnc: "), F.size("n"), F.lit("\nnames:\n"), F.array_join(F.transform("n", lambda x, i: F.concat(F.lit("  "), i, F.lit(": '"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))), "\n"),
+    )
+    return classes.groupBy(by).agg(names.alias("n")).select(by, text.alias("value"))
+
+
+#: The columns of a list of signs to annotate again, in their order.
+REANNOTATION = ("cluster_id", "predicted_class", "lat", "lon", "note", "video_source")
+
+
+def reannotation(wrong: DataFrame, video_source: str) -> DataFrame:
+    """The list of wrongly classed clusters (cluster_id, sign_class, lat, lon, note), for write_csv: cells with quotes, commas or line ends are quoted."""
+    rows = wrong.withColumnRenamed("sign_class", "predicted_class").withColumn("video_source", F.lit(video_source))
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in REANNOTATION))
+
+
 def download_script(rows: DataFrame, url: str = "url", name: str = "filename") -> DataFrame:
     """Shell lines that fetch what is not there yet."""
     quote = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("'\\''")), F.lit("'"))

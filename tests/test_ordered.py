@@ -1,9 +1,10 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from curbline.operators import quality, skew
+from curbline.operators import ordered, quality, skew, temporal
 from curbline.operators.ordered import best_after, numbered, running
 from curbline.sources import gps, sinks
 
@@ -64,3 +65,52 @@ def test_preflight_links_and_strictness(spark):
     got = {r.split: r for r in quality.preflight(splits, lines, stems, images).collect()}
     assert (got["train"].status, got["train"].worst_class, got["train"].broken_images, got["val"].status, got["val"].images_alone, got["val"].empty_labels) == ("FAIL", 5, 1, "PASS", 1, 1)
     assert {r.split: r.status for r in quality.preflight(splits, lines, stems, images, strict=True).collect()} == {"train": "FAIL", "val": "FAIL"}
+
+
+def long_video(spark, n=4000):
+    """One video with nine tenths of the rows."""
+    rng = random.Random(3)
+    return spark.createDataFrame([("big" if i % 10 else f"v{i % 50}", i // 3, i, rng.random(), rng.random() if rng.random() < 0.3 else None) for i in range(n)], "v string, ts long, id long, x double, y double")
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_carried_values(spark, many_ranges):
+    rows = long_video(spark)
+    last, after = {}, {}
+    want = {}
+    data = sorted(rows.collect(), key=lambda r: (r.v, r.ts, r.id))
+    for r in data:
+        want[r.id] = [last.get(r.v)]
+        last[r.v] = r.y if r.y is not None else last.get(r.v)
+        want[r.id].append(last.get(r.v))
+    for r in reversed(data):
+        want[r.id].append(after.get(r.v))
+        after[r.v] = r.y if r.y is not None else after.get(r.v)
+    by, order = ("v",), ("ts", "id")
+    got = ordered.carried(rows, by, order, "y", "before", own=False)
+    got = ordered.carried(ordered.carried(got, by, order, "y", "at"), by, order, "y", "after", ahead=True, own=False)
+    assert {r.id: [r.before, r["at"], r.after] for r in got.collect()} == want
+
+
+def test_scans_by_ranges_are_as_by_group(spark, many_ranges):
+    rows = long_video(spark)
+    assert ordered.by_length(rows, ("v",), 10_000)[1] is None and ordered.by_length(rows, ("v",), 300)[1].select("v").distinct().count() == 1
+    same = lambda f: sorted(map(str, f(300).collect())) == sorted(map(str, f(10**9).collect()))
+    assert same(lambda most: temporal.gap_sessions(rows, "v", "ts", 0.5, ("id",), most))
+    assert same(lambda most: temporal.suppress_repeats(rows, "v", "id", "x", 0.4, most))
+    whole = rows.withColumn("cents", (F.col("x") * 100).cast("long"))
+    assert same(lambda most: temporal.running_budget(whole, "cents", ("id",), 20_000, ("v",), most)) and same(lambda most: temporal.running_budget(whole, "cents", ("id",), 20_000, (), most))
+    frames, fixes = rows.where("id % 3 > 0").select("v", F.col("ts").alias("t"), "id"), rows.where("id % 3 = 0").groupBy("v", F.col("ts").alias("t")).agg(F.min("x").alias("lat"), F.max("y").alias("lon"))
+    assert same(lambda most: temporal.interpolate_track(frames, fixes, "v", "t", ("lat", "lon"), 20, most))
+
+
+def test_no_task_holds_a_long_video(spark, many_ranges):
+    rows = long_video(spark, 20_000)
+    sizes = ordered.ranges(rows, ("v", "ts", "id")).groupBy("_p").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 20_000 * 0.5

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from curbline.plans import choices, curation, extras, files, live
+from curbline.plans import choices, curation, extras, files, live, scale
 
 DATA = os.environ.get("QUERY_TEST_DATA", "/root/testdata/sf0.001")
-CASES = [(n, m.QUERIES[n], m.ORACLES[n]) for m in (files, choices, live, extras) for n in m.QUERIES if n in m.ORACLES]
+CASES = [(n, m.QUERIES[n], m.ORACLES[n]) for m in (files, choices, live, extras, scale) for n in m.QUERIES if n in m.ORACLES]
 CASES += [(n, curation.QUERIES[n], curation.ORACLES[n]) for n in ("greedy_match", "ap50", "coarse_mean_ap", "recall_by_bucket", "uncovered_truth", "frames_by_road_type", "stratified_split", "cluster_split")]
 
 

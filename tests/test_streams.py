@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from curbline.streaming import streams
+from curbline.streaming import repeats, streams, upsert
 
 
 def test_sessions_and_resume(spark, tmp_path):
@@ -17,12 +19,46 @@ def test_sessions_and_resume(spark, tmp_path):
 
 
 def test_repeats_keep_state_between_runs(spark, tmp_path):
-    src, schema = str(tmp_path / "in"), "v string, ts long, x double"
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    for part in ([("a", 1, 1.0), ("a", 2, 1.2), ("b", 1, 9.0)], [("a", 3, 1.3), ("a", 4, 2.0)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        streams.drain(streams.suppress_repeats(streams.file_stream(spark, src, schema), "v", "ts", "x", 0.5), out, cp)
-    assert sorted((r.v, r.ts) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 4), ("b", 1)]
+    """Rows of one group shuffled over files and small Arrow batches; what waits for the watermark comes with later runs."""
+    t0, schema = dt.datetime(2024, 1, 1), "v string, n long, ts timestamp, x double"
+    rng = random.Random(5)
+    rows = [("a" if i % 3 else "b", i, t0 + dt.timedelta(seconds=i // 2), rng.random()) for i in range(240)]
+    src, out, cp = (str(tmp_path / k) for k in ("in", "out", "cp"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.streaming.stateStore.providerClass")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    repeats.use_rocksdb(spark)
+    try:
+        for part in (rows[:130], rows[130:]):
+            shuffled = rng.sample(part, len(part))
+            spark.createDataFrame(shuffled, schema).coalesce(1).write.mode("append").parquet(src)
+            streams.drain(repeats.suppress_repeats(streams.file_stream(spark, src, schema), "v", "ts", "x", 0.4, "n", "10 seconds"), out, cp)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want, last = [], {}
+    for v, n, ts, x in rows:
+        if abs(x - last.get(v, 9.0)) >= 0.4:
+            last[v] = x
+            want += [n] if ts < rows[-1][2] - dt.timedelta(seconds=10) else []
+    assert sorted(r.n for r in spark.read.schema(schema).parquet(out).collect()) == want and len(want) > 40
+
+
+def test_keyed_table(spark, tmp_path):
+    table = upsert.KeyedTable(spark, str(tmp_path / "t"), StructType.fromDDL("k string, n int, x string"), "k", 3)
+    assert table.read().count() == 0
+    batches = [[("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], [], [("b", 0, "late"), ("c", 5, "c"), (None, 1, "n")], [("a", 2, "same order, newer")]]
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, table.schema)
+        assert table.merge(df, number, "n") and not table.merge(df, number, "n")
+    want = [("a", 2, "same order, newer"), ("b", 1, "y"), ("c", 5, "c"), (None, 1, "n")]
+    assert sorted((tuple(r) for r in table.read().collect()), key=str) == sorted(want, key=str)
+    # a batch that failed before its manifest has changed nothing, and may be run again
+    table._commit, commit = (lambda *a: None), table._commit
+    table.merge(spark.createDataFrame([("a", 9, "lost")], table.schema), 4, "n")
+    assert {r.k: r.n for r in table.read().collect()}["a"] == 2
+    table._commit = commit
+    assert table.merge(spark.createDataFrame([("a", 9, "kept")], table.schema), 4, "n")
+    assert {r.k: r.x for r in table.read().collect()}["a"] == "kept"
 
 
 def test_windows_and_new_rows(spark, tmp_path):
