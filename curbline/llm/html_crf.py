@@ -10,6 +10,7 @@ size, and nothing is learnt from the pages that are extracted.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_IN_TAG = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-#: Comments and raw text run to the end of the page when they are not closed.
-_RAW = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-_HIDDEN = rf"<(?:svg|template|noscript)(?=[\s/>])(?:{_IN_TAG}|[^>]*)>"
-MARKUP = re.compile(rf"{_RAW}|({_HIDDEN})|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_IN_TAG})>", re.DOTALL | re.IGNORECASE)
-#: Tags of elements whose inside is no text of the page.
-HIDDEN = re.compile(rf"{_RAW}|({_HIDDEN})|</(svg|template|noscript)\s*>", re.DOTALL | re.IGNORECASE)
+_IN_TAG = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[\"'>]")
+_RAW = re.compile(r"(script|style|textarea|title)(?=[\s/>])", re.IGNORECASE)
+_HIDDEN = re.compile(r"(svg|template|noscript)(?=[\s/>])", re.IGNORECASE)
+_HIDDEN_END = re.compile(r"</(svg|template|noscript)\s*>", re.IGNORECASE)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "textarea", "title")}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
@@ -47,16 +47,96 @@ class Block:
     linked: int  # characters inside links
 
 
-def _hidden_ends(html: str) -> dict[int, int]:
-    """Where the svg, template and noscript elements that are closed begin and end. A self-closed or unclosed tag holds nothing."""
-    ends: dict[int, int] = {}
-    open_at: dict[str, list[int]] = {"svg": [], "template": [], "noscript": []}
-    for m in HIDDEN.finditer(html):
-        if m[2] and not m[2].endswith("/>"):
-            open_at[re.match(r"<(\w+)", m[2])[1].lower()].append(m.start())
-        elif m[3] and open_at[m[3].lower()]:
-            ends[open_at[m[3].lower()].pop()] = m.end()
-    return ends
+class Markup:
+    """Finds a page's markup from left to right in linear time, however broken it is.
+
+    A tag ends at the first > outside quotes. Once a tag has been found without such an end, the places of quotes, > and white space are noted, and so are the
+    quotes from which no end was reached: no stretch is searched again from every tag in it.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last = html, html.rfind(">")
+        self.final = {c: html.rfind(c) for c in "\"'"}
+        self.special: list[int] | None = None
+        self.stops: list[int] = []
+        self.dead: set[int] = set()
+
+    def _note(self) -> None:
+        self.special = [m.start() for m in _SPECIAL.finditer(self.html)]
+        self.stops = [m.start() for m in _NAME_END.finditer(self.html)]
+
+    def tag_end(self, at: int) -> int:
+        """The place after the > that ends a tag of which at is inside and outside quotes; -1 if there is none."""
+        if self.special is None:
+            if m := _IN_TAG.match(self.html, at):
+                return m.end()
+            self._note()
+        path, k = [], bisect_left(self.special, at)
+        while k < len(self.special) and (c := self.special[k]) not in self.dead:
+            if self.html[c] == ">":
+                return c + 1
+            path.append(c)
+            if c >= self.final[self.html[c]]:
+                break
+            k = bisect_left(self.special, self.html.find(self.html[c], c + 1) + 1)
+        self.dead.update(path)
+        return -1
+
+    def name_end(self, at: int) -> int:
+        if self.special is None:
+            m = _NAME_END.search(self.html, at)
+            return m.start() if m else len(self.html)
+        k = bisect_left(self.stops, at)
+        return self.stops[k] if k < len(self.stops) else len(self.html)
+
+    def skipped(self, at: int) -> int:
+        """Where a comment or an element of raw text that begins at the < at ends, the page's end if it is not closed; -1 if there is none here."""
+        html = self.html
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return len(html) if end < 0 else end + 3
+        if at < self.last and (m := _RAW.match(html, at + 1)):
+            end = _RAW_END[m[1].lower()].search(html, html.find(">", at) + 1)
+            return end.end() if end else len(html)
+        return -1
+
+    def hidden(self, at: int) -> int:
+        """The end of the svg, template or noscript tag that begins at the < at; -1 if there is none here."""
+        if at > self.last or not (m := _HIDDEN.match(self.html, at + 1)):
+            return -1
+        end = self.tag_end(m.end())
+        return end if end >= 0 else self.html.find(">", at) + 1
+
+    def tag(self, at: int) -> tuple[int, int, int] | None:
+        """Of the tag whose name begins at at: where its name, its inside and the tag end."""
+        end = self.name_end(at)
+        if (whole := self.tag_end(end)) >= 0:
+            return end, whole - 1, whole
+        if self.special is not None:  # a name that has swallowed the begin of a quoted value
+            k = bisect_left(self.special, at)
+            if k < len(self.special) and self.special[k] < end and (whole := self.tag_end(self.special[k])) >= 0:
+                return self.special[k], whole - 1, whole
+        return None
+
+    def hidden_ends(self) -> dict[int, int]:
+        """Where the svg, template and noscript elements that are closed begin and end. A self-closed or unclosed tag holds nothing."""
+        ends: dict[int, int] = {}
+        open_at: dict[str, list[int]] = {"svg": [], "template": [], "noscript": []}
+        at = self.html.find("<")
+        while 0 <= at:
+            if (end := self.skipped(at)) >= 0:
+                pass
+            elif (end := self.hidden(at)) >= 0:
+                if not self.html.endswith("/>", at, end):
+                    open_at[_HIDDEN.match(self.html, at + 1)[1].lower()].append(at)
+            elif m := _HIDDEN_END.match(self.html, at):
+                end = m.end()
+                if open_at[m[1].lower()]:
+                    ends[open_at[m[1].lower()].pop()] = end
+            else:
+                end = at + 1
+            at = self.html.find("<", end)
+        return ends
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
@@ -85,19 +165,32 @@ def leaf_blocks(html: str | None) -> list[Block]:
             linked += len(text.strip())
 
     ends: dict[int, int] | None = None
-    while m := MARKUP.search(html, at):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        if m[2]:
-            ends = _hidden_ends(html) if ends is None else ends
-            at = ends.get(m.start(), at)
+    page, here = Markup(html), html.find("<")
+    while 0 <= here:
+        closing, name, inside, end = False, None, (0, 0), page.skipped(here)
+        if end < 0 and here > page.last:  # no tag can end any more
+            here = html.find("<!--", here + 1)
             continue
-        tag = m[4]
-        if tag is None:
+        if end < 0 and (end := page.hidden(here)) >= 0:
+            ends = page.hidden_ends() if ends is None else ends
+            end = ends.get(here, end)
+        elif end < 0:
+            closing = html.startswith("/", here + 1)
+            first = here + 1 + closing
+            if html.startswith(("!", "?"), here + 1):
+                end = html.find(">", here) + 1
+            elif html[first : first + 1].isascii() and html[first : first + 1].isalpha() and (found := page.tag(first)):
+                name, inside, end = html[first : found[0]], found[:2], found[2]
+            else:
+                here = html.find("<", here + 1)
+                continue
+        if here > at:
+            add(html[at:here])
+        at, here = end, html.find("<", end)
+        if name is None:
             continue
-        tag = tag.lower()
-        if m[3]:
+        tag = name.lower()
+        if closing:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCK_TAGS:
@@ -114,8 +207,9 @@ def leaf_blocks(html: str | None) -> list[Block]:
             end_block()
             in_link = 0
             _imply_ends(stack, tag)
-            if tag not in VOID_TAGS and not m[5].endswith("/"):
-                words = WORD.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[5])).lower()) if "=" in m[5] else ()
+            more = html[inside[0] : inside[1]]
+            if tag not in VOID_TAGS and not more.endswith("/"):
+                words = WORD.findall(" ".join(a or b or c for a, b, c in ATTRIBUTE.findall(more)).lower()) if "=" in more else ()
                 stack.append((tag, (tag, *words)))
     if at < len(html):
         add(html[at:])

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from curbline.llm.html_crf import default_field, extract_pages, labelled_pages, leaf_blocks
@@ -81,3 +83,24 @@ def test_viterbi_against_all_labellings(spark):
         score = lambda labels: sum(s for s, x in zip(own, labels) if x) + sum(field.move[a][b] for a, b in zip(labels, labels[1:]))
         best = max(product((0, 1), repeat=len(blocks)), key=score)
         assert got[i] == "\n".join(b.text for b, x in zip(blocks, best) if x)
+
+
+def test_broken_pages_in_linear_time():
+    """Tags that never end, quotes that never close, and a quote before the last >: each of some 5 MB."""
+    began = time.process_time()
+    for shape, n in (("<div ", 1_000_000), ("<svg '\"", 700_000), ("<a x='", 830_000), ("<a", 2_500_000), ("<script ", 600_000), ("<svg", 1_200_000)):
+        for tail in ("", ">", "'>", " '>", "\" '>text"):
+            leaf_blocks(shape * (n // 10) + tail)
+        leaf_blocks(shape * n + "\" '>text")
+        leaf_blocks(shape * n)
+    assert time.process_time() - began < 90
+
+
+def test_markup_that_is_broken_is_text():
+    texts = lambda html: [b.text for b in leaf_blocks(html)]
+    assert texts("<p>one <b two") == ["one <b two"]
+    assert texts("<p>a<br>b<div title='x>y'>c</div><!-- <p>no</p> --><p title=\"open>d</p>") == ["a b", "c", '<p title="open>d']
+    assert texts("<p>x</p><svg a='><path>'>hidden</svg><p>y</p><svg class=\"i\"/><p>z</p>") == ["x", "y", "z"]
+    assert texts("<p>1 < 2</p><script>if (a<b) '</p>'</script><style>p{}") == ["1 < 2"]
+    assert texts("<p>t</p><textarea>raw <p></textarea ><p>u") == ["t", "u"] and texts("<p>t</p><template><p>in</p></template>v") == ["t", "v"]
+    assert texts("<?xml x?><!doctype html><p>w</p></ p><1>") == ["w", "</ p><1>"]
