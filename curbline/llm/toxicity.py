@@ -63,19 +63,20 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(positive):
         return []
     prefix = np.concatenate(([0.0], np.cumsum(scores)))
-    held: list[tuple[int, int, float, float]] = []  # start, end, total before it, total after it
+    # start, end, total before it, total after it, and the last segment before it with a lower total before it: those between are passed over at once
+    held: list[tuple[int, int, float, float, int]] = []
     for i in positive.tolist():
-        start, end, low, high = i, i + 1, prefix[i], prefix[i + 1]
+        start, end, low, high, j = i, i + 1, prefix[i], prefix[i + 1], len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= low:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= high:
-                held.append((start, end, low, high))
+                held.append((start, end, low, high, j))
                 break
-            start, low = held[j][0], held[j][2]
+            start, _, low, _, further = held[j]
             del held[j:]
-    return [(a, b, float(high - low)) for a, b, low, high in held]
+            j = further
+    return [(a, b, float(high - low)) for a, b, low, high, _ in held]
 
 
 @dataclass

@@ -1,5 +1,7 @@
 import zlib
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +36,15 @@ def test_maximal_segments(scores):
     assert got == want
 
 
+def test_maximal_segments_of_a_book_in_linear_time():
+    rng = np.random.default_rng(1)
+    for scores in (np.tile([1.0, -1.0, -1.0], 333_334), np.tile([1.0, -0.5, 1.0, -2.0], 250_000), rng.choice([1.0, -1.0, -1.5], 1_000_000), rng.normal(0.02, 1, 1_000_000)):
+        began = time.process_time()
+        found = maximal_segments(scores)
+        assert found and time.process_time() - began < 6
+    assert len(maximal_segments(np.tile([1.0, -1.0, -1.0], 1000))) == 1000
+
+
 def corpus(spark, n=900, seed=4):
     rng = np.random.default_rng(seed)
     words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["vile", "rotten", "awful", "nasty"]
