@@ -33,8 +33,8 @@ TOP = 50
 SEGMENT, BLOCK = 65_536, 8
 #: Rounds whose meetings are one job.
 TOGETHER = 8
-#: Counts a task holds before it puts them out.
-HELD = 200_000
+#: Counts a task holds before it puts them out, each as one number: occurrences, and above this many bits documents.
+HELD, BITS = 500_000, 40
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -52,27 +52,24 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text as bytes) to (lang, source, term, n, docs): summed over a task's rows, and put out whenever there are HELD of them. A group gets
     a row of the empty term, so that groups without terms are known."""
 
-    def put(held: dict[tuple[str, str], dict[str, list[int]]]) -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), own in held.items() for term, (n, docs) in own.items()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "source", "term", "n", "docs"])
+    def put(held: dict[tuple[str, str], dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in held.items():
+            both = np.fromiter(own.values(), np.int64, len(own))
+            group = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(own), np.int32))) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*group, pa.array(list(own), pa.string()), pa.array(both & ((1 << BITS) - 1)), pa.array(both >> BITS)], ["lang", "source", "term", "n", "docs"])
 
     find, held, size = re.compile(TERMS).findall, {}, 0
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = held.setdefault((lang, source), {"": [0, 0]})
-            size -= len(own)
+            own = held.setdefault((lang, source), {"": 0})
+            before, get = len(own), own.get
             for term, n in Counter(find(text.translate(_LOWER).decode())).items():
-                if (at := own.get(term)) is None:
-                    own[term] = [n, 1]
-                else:
-                    at[0] += n
-                    at[1] += 1
-            size += len(own)
+                own[term] = get(term, 0) + n + (1 << BITS)
+            size += len(own) - before
             if size > HELD:
-                yield put(held)
+                yield from put(held)
                 held, size = {}, 0
-    if held:
-        yield put(held)
+    yield from put(held)
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
