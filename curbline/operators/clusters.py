@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbline.functions.geo import plane_x, plane_y
 from curbline.operators.components import connected_components
 from curbline.operators.spatial import within
+from curbline.plans.session import cut
 
 EPS_M, MERGE_M = 15.0, 20.0
 TOP_CONFIDENCES, TOP_PLACES = 3, 5
@@ -63,6 +64,7 @@ def centres(members: DataFrame, group: str, order: str) -> DataFrame:
 def merge_close(clustered: DataFrame, radius_m: float = MERGE_M, by: str = "video_id", idx: str = "det_idx") -> DataFrame:
     """clustered with cluster, the smallest component of those that same-class centres at most radius_m apart join, and member_order, by
     component and then detection. Centres are those before merging."""
+    clustered = cut(clustered)  # read four times below
     votes = class_votes(clustered, "component", idx).select("component", "top_class")
     heads = clustered.select("component", by).distinct().join(votes, "component").join(centres(clustered, "component", idx), "component")
     right = heads.select(by, "top_class", F.col("component").alias("other"), F.col("lat_median").alias("r_lat"), F.col("lon_median").alias("r_lon"))

@@ -17,14 +17,16 @@ def _row(lat: Column, radius_m: float) -> Column:
     return F.floor(lat / (radius_m / _DEG_M * 1.0001))
 
 
-def _column(y: Column, lon: Column, radius_m: float, step: int = 0) -> Column:
-    """The cell step cells beside lon's in row y. Cells are as wide as radius_m spans at the latitudes of the row and its neighbours, and wrap at 180 degrees."""
+def _columns(y: Column, radius_m: float) -> Column:
+    """How many cells row y has: each as wide as radius_m spans at the latitudes of the row and its neighbours. They wrap at 180 degrees."""
     high, half = radius_m / _DEG_M * 1.0001, math.sin(min(radius_m * 1.0001 / (2 * EARTH_M), math.pi / 2))
     least = F.cos(F.radians(F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * high, F.lit(90.0))))
     wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(least, F.lit(1e-12)))))
-    n = F.greatest(F.floor(360 / wide), F.lit(1))
-    at = F.least(F.floor(F.pmod(lon.cast("double"), F.lit(360.0)) / 360 * n), n - 1)
-    return F.pmod(at + step, n)
+    return F.greatest(F.floor(360 / wide), F.lit(1))
+
+
+def _column(lon: Column, n: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon.cast("double"), F.lit(360.0)) / 360 * n), n - 1)
 
 
 def within(left: DataFrame, right: DataFrame, radius_m: float, by: tuple[str, ...] = (), left_at: tuple[str, str] = ("lat", "lon"),
@@ -35,17 +37,20 @@ def within(left: DataFrame, right: DataFrame, radius_m: float, by: tuple[str, ..
     """
     (la, lo), (ra, ro) = left_at, right_at
     y = _row(F.col(la), radius_m)
-    # Near the poles a row has one or two cells, which are their own neighbours.
-    around = F.array_distinct(F.array(*(F.struct((y + i).alias("y"), _column(y + i, F.col(lo), radius_m, j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    a = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_cell", F.explode(around))
-    y = _row(F.col(ra), radius_m)
-    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumn("_rcell", F.struct(y.alias("y"), _column(y, F.col(ro), radius_m).alias("x")))
-    on = (F.col("_cell.y") == F.col("_rcell.y")) & (F.col("_cell.x") == F.col("_rcell.x"))
+    a = left.where(F.col(la).isNotNull() & F.col(lo).isNotNull()).withColumn("_y", F.explode(F.array(y - 1, y, y + 1)))
+    a = a.withColumn("_n", _columns(F.col("_y"), radius_m)).withColumn("_x", _column(F.col(lo), F.col("_n")))
+    beside = F.array(F.pmod(F.col("_x") - 1, F.col("_n")), F.col("_x"), F.pmod(F.col("_x") + 1, F.col("_n")))
+    # near the poles a row has one or two cells, which are their own neighbours
+    a = a.withColumn("_x", F.explode(F.when(F.col("_n") > 2, beside).otherwise(F.array_distinct(beside))))
+    b = right.where(F.col(ra).isNotNull() & F.col(ro).isNotNull()).withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumn("_ry", _row(F.col(ra), radius_m))
+    b = b.withColumn("_rx", _column(F.col(ro), _columns(F.col("_ry"), radius_m)))
+    # latitudes alone rule out many pairs of cells that touch
+    on = (F.col("_y") == F.col("_ry")) & (F.col("_x") == F.col("_rx")) & (F.abs(F.col(la) - F.col(ra)) <= radius_m / _DEG_M * 1.0001)
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     joined = a.join(b, on).drop(*(f"_by_{c}" for c in by))
     d = haversine_m(F.col(la), F.col(lo), F.col(ra), F.col(ro))
-    return joined.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).drop("_cell", "_rcell")
+    return joined.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).drop("_y", "_x", "_n", "_ry", "_rx")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius_m: float, key: str, order: str, left_at: tuple[str, str] = ("lat", "lon"),

@@ -12,6 +12,7 @@ from curbline.operators import reconcile as R
 from curbline.operators import review as V
 from curbline.operators import spatial, temporal
 from curbline.plans import views
+from curbline.plans.session import cut
 
 DET = f"d AS ({views.DETECTIONS.replace('{ms}', views.DUCK_MS)})"
 INV_CLASS = """CASE WHEN u LIKE 'R1-1%' THEN 'StopSigns' WHEN u LIKE 'R2%' THEN 'SpeedLimits' WHEN u LIKE 'R10%' THEN 'TrafficLights' WHEN u LIKE 'W1%' THEN 'Curves' WHEN u LIKE 'D10%' THEN 'MileMarkers'
@@ -37,7 +38,7 @@ tv AS (SELECT {group}, max(class_name) FILTER (k = 1) AS top_class, max(n) FILTE
 rk AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY confidence DESC, {order}) AS k FROM {members}),
 st AS (SELECT {group}, avg(confidence) FILTER (k <= 3) AS conf, quantile_cont(lat, 0.5) FILTER (k <= 5) AS la, quantile_cont(lon, 0.5) FILTER (k <= 5) AS lo, stddev_pop(lat) AS sla, stddev_pop(lon) AS slo, count(*) AS n,
  min(frame_ts) AS first_seen_ts, max(frame_ts) FILTER (k = 1) AS best_frame_ts, max(det_idx) FILTER (k = 1) AS best_det FROM rk GROUP BY 1),
-cl AS (SELECT {group}, top_class AS sign_class, round(conf, 6) AS confidence, n AS sighting_count,
+cl AS MATERIALIZED (SELECT {group}, top_class AS sign_class, round(conf, 6) AS confidence, n AS sighting_count,
  nullif(concat_ws('; ', CASE WHEN n = 1 THEN 'Single sighting' END, CASE WHEN conf < 0.5 THEN 'Low confidence (' || CAST(round(CAST(conf AS DECIMAL(18, 9)), 2) AS VARCHAR) || ')' END,
   CASE WHEN top_n / total < 0.70 AND second_class IS NOT NULL THEN 'Split class vote (' || top_class || ' ' || CAST(CAST(round(CAST(top_n * 100.0 / total AS DECIMAL(18, 9)), 0) AS INT) AS VARCHAR) || '% / ' || second_class || ' ' || CAST(CAST(round(CAST(second_n * 100.0 / total AS DECIMAL(18, 9)), 0) AS INT) AS VARCHAR) || '%)' END), '') AS review_reason,
  round(top_n / total, 6) AS class_vote_pct, first_seen_ts, best_frame_ts, best_det, round(la, 8) AS lat_median, round(lo, 8) AS lon_median, round(sla, 8) AS lat_std, round(slo, 8) AS lon_std FROM st JOIN tv USING ({group}))"""
@@ -113,7 +114,7 @@ def nearest_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_inventory(spark: SparkSession, d: str) -> DataFrame:
-    clusters, inv = _clusters(spark, d), views.inventory(spark, d)
+    clusters, inv = cut(_clusters(spark, d)), views.inventory(spark, d)
     nearby = R.in_corridor(inv, clusters)
     return R.missing(clusters, nearby, R.match(clusters, nearby)).select("inv_id", "inv_class")
 
@@ -123,10 +124,10 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cluster_id", "sign_class", "inventory_match", "inventory_distance_m", "inventory_class", "discrepancy_type", "needs_review", "review_reason")
 
 
-_NEAR = f"""box AS (SELECT min(lat_median) - 60 / 111000e0 AS a, max(lat_median) + 60 / 111000e0 AS b, min(lon_median) - 60 / (111000e0 * cos(radians(avg(lat_median)))) AS c, max(lon_median) + 60 / (111000e0 * cos(radians(avg(lat_median)))) AS e FROM cl),
-near AS (SELECT inv.* FROM inv, box WHERE inv_lat BETWEEN box.a AND box.b AND inv_lon BETWEEN box.c AND box.e),
-pair AS (SELECT cluster AS cluster_id, inv_ord, inv_id, inv_class, {_hav('lat_median', 'lon_median', 'inv_lat', 'inv_lon')} AS dist FROM cl JOIN near ON abs(lat_median - inv_lat) < 0.001),
-mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, inv_ord) AS k FROM pair WHERE dist <= 25) WHERE k = 1),
+_NEAR = f"""box AS MATERIALIZED (SELECT min(lat_median) - 60 / 111000e0 AS a, max(lat_median) + 60 / 111000e0 AS b, min(lon_median) - 60 / (111000e0 * cos(radians(avg(lat_median)))) AS c, max(lon_median) + 60 / (111000e0 * cos(radians(avg(lat_median)))) AS e FROM cl),
+near AS MATERIALIZED (SELECT inv.* FROM inv, box WHERE inv_lat BETWEEN box.a AND box.b AND inv_lon BETWEEN box.c AND box.e),
+pair AS MATERIALIZED (SELECT cluster AS cluster_id, inv_ord, inv_id, inv_class, {_hav('lat_median', 'lon_median', 'inv_lat', 'inv_lon')} AS dist FROM (SELECT *, unnest([-1, 0, 1]) + CAST(floor(lat_median * 1000) AS BIGINT) AS bin FROM cl) c JOIN (SELECT *, CAST(floor(inv_lat * 1000) AS BIGINT) AS bin FROM near) n ON c.bin = n.bin),
+mt AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, inv_ord) AS k FROM pair WHERE dist <= 25) WHERE k = 1),
 gone AS (SELECT * FROM near WHERE inv_class <> 'Warnings' AND inv_ord NOT IN (SELECT inv_ord FROM mt) AND inv_ord IN (SELECT inv_ord FROM pair WHERE dist <= 60))"""
 _RECONCILED = f"""{CLUSTERS}, {INV}, {_NEAR},
 co AS (SELECT cluster AS cluster_id, cl.*, mt.inv_id, mt.inv_class, mt.dist, CASE WHEN sign_class IN ('Regulatory', 'Informational') THEN 'Informational/Regulatory' ELSE sign_class END AS s1, CASE WHEN inv_class IN ('Regulatory', 'Informational') THEN 'Informational/Regulatory' ELSE inv_class END AS s2 FROM cl LEFT JOIN mt ON cluster = cluster_id),
