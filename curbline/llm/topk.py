@@ -30,6 +30,10 @@ from curbline.plans.session import cut
 ROOTS, SUBTREE, PAGE, BLOCK, FIRST = 4096, 4096, 256, 1024, 4
 
 
+#: Distances that a task computes at once: rows of a step times routing vectors.
+CELLS = 4_000_000
+
+
 def _slack(top: float) -> float:
     """More than any computed distance can be off: squares up to some times top are subtracted, so that a small distance carries the square root of their
     rounding error."""
@@ -64,6 +68,36 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0.0))
 
 
+def _steps(n: int, pivots: np.ndarray) -> Iterator[slice]:
+    """Slices of n rows whose distances to the pivots are at most CELLS."""
+    step = max(1, CELLS // len(pivots))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+class Rings:
+    """The subtrees as rings around the cells' routing vectors, sorted by cell: a cell's widest bounds tell whether its rings are looked at."""
+
+    def __init__(self, cell_of: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.cell_of, self.low, self.high = cell_of, low, high
+        self.begin = np.flatnonzero(np.r_[True, cell_of[1:] != cell_of[:-1]])
+        self.size = np.diff(np.r_[self.begin, len(cell_of)])
+        self.cells = cell_of[self.begin]
+        self.cell_low, self.cell_high = np.minimum.reduceat(low, self.begin), np.maximum.reduceat(high, self.begin)
+
+    def near(self, d: np.ndarray, bound: float, seen: np.ndarray, most: int | None) -> np.ndarray:
+        """Of a query at distances d from the routing vectors the rings, nearest first, that may hold something within bound, but for those seen."""
+        least = lambda at, low, high: np.maximum(np.maximum(at - high, low - at), 0.0)
+        held = np.flatnonzero(least(d[self.cells], self.cell_low, self.cell_high) <= bound)
+        n = self.size[held]
+        rings = np.arange(n.sum()) + np.repeat(self.begin[held] - np.cumsum(n) + n, n)
+        far = least(d[self.cell_of[rings]], self.low[rings], self.high[rings])
+        ok = far <= bound
+        if len(seen):
+            ok &= ~np.isin(rings, seen)
+        rings, far = rings[ok], far[ok]
+        return rings[np.argsort(far, kind="stable")][:most].astype("int32")
+
+
 class MTree:
     """One subtree: pages of entries under routing vectors."""
 
@@ -138,8 +172,10 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id",
 
     def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            d = _distances(_lift(_matrix(pdf["v"], dim), top), pivots)
-            yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
+            for rows in _steps(len(pdf), pivots):
+                part = pdf.iloc[rows]
+                d = _distances(_lift(_matrix(part["v"], dim), top), pivots)
+                yield part.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
 
     placed = numbered(vectors.mapInPandas(to_cells, "vec_id long, v array<long>, cell int, far double"), ("cell", "far", "vec_id"), "number")
     starts = placed.groupBy("cell").agg(F.min("number").alias("begin"))  # at most ROOTS rows
@@ -153,20 +189,19 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id",
 
     trees = cut(dealt.groupBy("cell", "part").applyInPandas(build, "cell int, part int, low double, high double, tree binary"))
     rings = trees.select("cell", "part", "low", "high").orderBy("cell", "part").toPandas()  # three numbers for every SUBTREE vectors
-    cell_of, low, high = rings["cell"].to_numpy(), rings["low"].to_numpy(), rings["high"].to_numpy()
+    cell_of = rings["cell"].to_numpy()
+    shape = Rings(cell_of, rings["low"].to_numpy(), rings["high"].to_numpy())
     index = spark.createDataFrame([(int(c), int(p), i) for i, (c, p) in enumerate(zip(rings["cell"], rings["part"], strict=True))], "cell int, part int, node int")
     trees = trees.join(F.broadcast(index), ["cell", "part"]).select("node", "tree")
 
     def plan(most: int | None):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                d = _distances(np.column_stack([_matrix(pdf["v"], dim), np.zeros(len(pdf))]), pivots)[:, cell_of]
-                least = np.maximum(np.maximum(d - high, low - d), 0.0)
                 todo = []
-                for i, (bound, seen) in enumerate(zip(pdf["bound"], pdf["seen"], strict=True)):
-                    least[i, np.asarray(seen, np.int64)] = np.inf
-                    near = np.flatnonzero(least[i] <= min(bound + slack, np.finfo(float).max))
-                    todo.append(near[np.argsort(least[i][near], kind="stable")][:most].astype("int32"))
+                for rows in _steps(len(pdf), pivots):
+                    part = pdf.iloc[rows]
+                    d = _distances(np.column_stack([_matrix(part["v"], dim), np.zeros(len(part))]), pivots)
+                    todo += [shape.near(d[i], min(bound + slack, np.finfo(float).max), np.asarray(seen, np.int64), most) for i, (bound, seen) in enumerate(zip(part["bound"], part["seen"], strict=True))]
                 yield pdf.assign(todo=todo)
 
         return run

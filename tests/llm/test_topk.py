@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from curbline.llm import topk
 from curbline.llm.topk import top_k
 
 
@@ -45,3 +47,28 @@ def test_clusters_far_apart(spark):
         rows += [(1000 * c + i, (centre + rng.normal(size=8) * 0.1).tolist()) for i in range(200)]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, node int, bound int")
     assert sorted(tuple(r) for r in top_k(frame, every=25, subtree=50, page=10).collect()) == brute(rows, 25)
+
+
+def test_planning_is_bounded(monkeypatch):
+    """10 000 queries against 24 000 rings of 4 096 cells; and rings as by computing all of them."""
+    rng = np.random.default_rng(3)
+    pivots = rng.normal(size=(4096, 16))
+    cells = np.sort(np.r_[np.arange(4096), rng.integers(0, 4096, 19_904)])
+    low = np.abs(rng.normal(size=24_000)) * 3
+    rings = topk.Rings(cells, low, low + 0.1)
+    queries = rng.normal(size=(10_000, 16))
+    tracemalloc.start()
+    found = []
+    for rows in topk._steps(len(queries), pivots):
+        d = topk._distances(queries[rows], pivots)
+        found += [rings.near(x, 0.5 if i % 2 else np.inf, np.array([5, 7]) if i % 3 else np.zeros(0, np.int64), 5) for i, x in enumerate(d[:200])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(found) > 1000
+    d = topk._distances(queries[:50], pivots)
+    for i, x in enumerate(d):
+        bound, seen = (0.4, np.array([3, 900])) if i % 2 else (np.inf, np.zeros(0, np.int64))
+        least = np.maximum(np.maximum(x[cells] - (low + 0.1), low - x[cells]), 0.0)
+        least[seen] = np.inf
+        near = np.flatnonzero(least <= min(bound, np.finfo(float).max))
+        assert (rings.near(x, min(bound, np.finfo(float).max), seen, 9) == near[np.argsort(least[near], kind="stable")][:9]).all()
