@@ -12,8 +12,8 @@ pick the same string at the same place. The suffixes at picked positions, the an
    where that leaves several classes one by one by LENGTH bytes.
 
 Anchors are about 3 in 100 positions. Spark deals them out by rank and sorts them; those not first of their class in their own batch are
-settled there and not dealt by rank, which bounds what a text with a third of all rows can bring to one task. Ranks are pairs of 64-bit polynomial hashes rather than sorted positions: two different strings of
-one rank need a collision in both.
+settled there and not dealt by rank, which bounds what a text with a third of all rows can bring to one task. A rank that holds very many classes, as a line
+that most documents share and that ends in mid-window, is dealt by class. Ranks and classes are 64-bit hashes rather than sorted positions.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.plans.session import checkpoint_dir, shuffles_freed
+from curbline.plans.session import checkpoint_dir, cut, shuffles_freed
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, SYMBOL = 100, 32, 8
 WINDOW = LENGTH - GRAM + 1
 #: Bytes hashed at a time. Short documents share a block; a long one is cut, its parts overlapping by LENGTH - 1 bytes.
 SEGMENT = 1 << 19
@@ -39,15 +39,13 @@ _U = np.uint64
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of the bytes; powers of the base and of its inverse modulo 2^64, for one block."""
-    rng = np.random.default_rng(0x5EED)
-    values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for one block."""
     base = 0x9E3779B97F4A7C15 | 1
     inverse = pow(base, -1, 1 << 64)
     n = 2 * SEGMENT + 4 * LENGTH
     up, down = (np.cumprod(np.full(n, b, np.uint64)) for b in (base, inverse))
-    return values, np.r_[_U(1), up[:-1]], np.r_[_U(1), down[:-1]]
+    return np.r_[_U(1), up[:-1]], np.r_[_U(1), down[:-1]]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,15 +54,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Prefix hashes of some bytes: the hash of any substring in constant time."""
+    """Prefix hashes of some bytes: the hash of any substring of SYMBOL bytes or more in constant time.
+
+    The polynomial is over the mixed values of every SYMBOL neighbouring bytes, not over bytes: alternating runs of two letters, which cancel in any
+    polynomial modulo a power of two, have nothing in common there.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
-        values, up, self.down = _tables()
+        up, self.down = _tables()
+        wide = np.zeros(len(data) + SYMBOL, np.uint64)
+        wide[: len(data)] = data
+        symbols = wide[: len(data)].copy()
+        for k in range(1, SYMBOL):
+            symbols |= wide[k : k + len(data)] << _U(8 * k)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.prefix[1:])
+        np.cumsum(_mix(symbols + _U(0x632BE59BD9B4E019)) * up[: len(data)], out=self.prefix[1:])
 
     def hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.prefix[start + length] - self.prefix[start]) * self.down[start] + (np.atleast_1d(length).astype(np.uint64) + _U(1)) * _U(0xD1B54A32D192ED03))
+        end = start + length - (SYMBOL - 1)
+        return _mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (np.atleast_1d(length).astype(np.uint64) + _U(1)) * _U(0xD1B54A32D192ED03))
 
 
 def _picked(grams: np.ndarray) -> np.ndarray:
@@ -135,7 +143,7 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT, heavy: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) -> anchors. low orders windows within a doc: the text's tie above the position."""
     for batch in batches:
         docs, ties = np.asarray(batch.column(0)), np.asarray(batch.column(1)) << 32
@@ -146,10 +154,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> I
             found.append((gram.view(np.int64), kind.view(np.int64), docs[number], ties[number] + low + off, (high - low).astype(np.int32), lead.astype(np.int32)))
         if not found:
             continue
-        yield _settled(found)
+        yield _settled(found, heavy)
+
+
+#: A rank with over a HEAVY-th of the anchors of one in SAMPLE documents is dealt by class, so there are fewer than HEAVY of them.
+HEAVY, SAMPLE = 1000, 64
 
 
-def _settled(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+def _settled(found: list[tuple[np.ndarray, ...]], heavy: tuple[int, ...] = ()) -> pa.RecordBatch:
     """Rows (gram, kind, doc, low, span, lead) of one batch with what they are dealt by. Those not first of their class in the batch
     need not meet the others: only where they start matters, and they are dealt by that. A row of the very same place counts once."""
     gram, kind, doc, low, span, lead = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -158,13 +170,18 @@ def _settled(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     same = np.r_[False, (gram[1:] == gram[:-1]) & (kind[1:] == kind[:-1])][: len(by)]
     again = same & np.r_[False, (doc[1:] == doc[:-1]) & (low[1:] == low[:-1])][: len(by)]
     deal = np.where(same, doc * 1_000_003 + low, gram)
+    if heavy:  # a rank of very many classes is dealt by class
+        many = ~same & np.isin(gram, np.array(heavy, np.int64))
+        deal[many] = _mix(gram[many].view(np.uint64) + _mix(kind[many].view(np.uint64))).view(np.int64)
     gram, kind, lead = (np.where(same, 0, c).astype(c.dtype) for c in (gram, kind, lead))
     columns = {"deal": deal, "late": same.astype(np.int32), "gram": gram, "kind": kind, "doc": doc, "low": low, "span": span.astype(np.int32), "lead": lead.astype(np.int32)}
     return _batch({k: v[~again] for k, v in columns.items()})
 
 
-def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors in the order of late, gram, kind, doc, low -> marked anchors. What is kept between batches is one anchor."""
+def _mark_rows(batches: Iterator[pa.RecordBatch], heavy: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Anchors in the order of late, gram, kind, doc, low -> marked anchors. What is kept between batches is one anchor. The first anchors of heavy ranks, whose
+    other classes lie elsewhere, are marked as if there were any; if not, the next round finds them alone."""
+    dealt_by_class = np.array(heavy, np.int64)
     last, pending = None, None  # the last (gram, kind, doc, low); the first anchor of a rank that has one class so far
     for batch in batches:
         if not batch.num_rows:
@@ -190,11 +207,11 @@ def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif new_rank[0]:
                 pending = None
             row = lambda at: {f: x[f][fresh[at]] for f in ("doc", "low", "span", "lead", "gram")}
-            parts = firsts[kinds[rank[firsts]] > 1]
+            parts = firsts[(kinds[rank[firsts]] > 1) | np.isin(g[firsts], dealt_by_class)]
             out.append(row(parts) | {"part": np.ones(len(parts), bool)})
             rest = np.flatnonzero(~new_kind & moved)
             out.append(row(rest) | {"part": np.zeros(len(rest), bool)})
-            if kinds[-1] == 1 and len(firsts) and rank[firsts[-1]] == rank[-1]:
+            if kinds[-1] == 1 and len(firsts) and rank[firsts[-1]] == rank[-1] and not np.isin(g[-1], dealt_by_class):
                 pending = row(firsts[-1:]) | {"part": np.ones(1, bool)}
             elif kinds[-1] > 1:
                 pending = None
@@ -221,7 +238,7 @@ def _hashed(text: np.ndarray, start: np.ndarray, length: np.ndarray, segment: in
     return out
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+def _block_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT, heavy: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Of first anchors, runs of BLOCK windows at the same places before the anchor: gram is the rank of the text that all windows of the
     place share, kind the class of the text of the windows there are."""
     for batch in batches:
@@ -238,10 +255,10 @@ def _block_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> It
             full = _hashed(text, start, stop - start + LENGTH, segment) + _mix((anchor - start).astype(np.uint64))
             found.append((core.view(np.int64), full.view(np.int64), np.full(len(b), doc, np.int64), start + tie, stop - start, np.zeros(len(b), np.int64)))
         if found:
-            yield _settled(found)
+            yield _settled(found, heavy)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT, heavy: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Of the runs left, each window. Its rank is made of the run's and of its own text, so that a rank has one class."""
     for batch in batches:
         found = []
@@ -253,7 +270,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> I
             zero = np.zeros(len(p), np.int64)
             found.append((rank.view(np.int64), own.view(np.int64), np.full(len(p), doc, np.int64), p + tie, zero, zero))
         if found:
-            yield _settled(found)
+            yield _settled(found, heavy)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -296,17 +313,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null texts count as empty, texts below LENGTH bytes keep everything. Null doc_ids come after all others. Different texts of one
     doc_id come in the order of a checksum of theirs; rows that repeat id and text are one document and get the same result. An empty
     table gives an empty result; further columns are not looked at. segment, at most SEGMENT, is the number of bytes hashed at a time. Equality is
-    that of two 64-bit hashes: the odds of any false match among n anchors are about n squared over 2^129.
+    that of 64-bit hashes of a rank's bytes and of all its windows' text: of two anchors of one rank with different text, one pair in 2^64 is taken for equal.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(doc_id)).alias("doc"), _tie(F.col(doc_id), body).alias("tie"), body.alias("text"))
     spark, tie, name = docs.sparkSession, F.shiftright("low", 32), uuid.uuid4().hex
 
-    def ranked(found: DataFrame, step: str) -> DataFrame:
-        """The marked rows of one round, as a table in the shared folder; the shuffle that sorted them can go then."""
+    def ranked(texts: DataFrame, make, step: str) -> DataFrame:
+        """The marked rows of one round, as a table in the shared folder; the shuffle that sorted them can go then. Which ranks are heavy is asked of a
+        sample of the texts: it decides only where rows are dealt, not what is marked in the end."""
         table = f"{checkpoint_dir(spark)}/repeats-{name}/{step}"
+        some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
         with shuffles_freed(spark):
-            found.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low").mapInArrow(_mark_rows, MARK).write.parquet(table)
+            sizes = cut(some.mapInArrow(partial(make, segment=segment), ANCHOR).where("late = 0").groupBy("gram").agg(F.count("*").alias("n")))
+            whole = sizes.agg(F.sum("n")).first()[0] or 0
+            heavy = tuple(r.gram for r in sizes.where((F.col("n") * HEAVY > whole) & (F.col("n") > 8)).select("gram").collect())  # fewer than HEAVY
+            found = texts.mapInArrow(partial(make, segment=segment, heavy=heavy), ANCHOR)
+            found.repartition("deal").sortWithinPartitions("late", "gram", "kind", "doc", "low").mapInArrow(partial(_mark_rows, heavy=heavy), MARK).write.parquet(table)
         return spark.read.schema(MARK).parquet(table)
 
     def with_text(parts: DataFrame) -> DataFrame:
@@ -314,9 +337,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lists = parts.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span", "lead", "gram")).alias("parts"))  # of one text
         return rows.join(lists, ["doc", "tie"]).select("doc_id", "doc", "tie", "text", "parts")
 
-    marks = [ranked(rows.select("doc", "tie", "text").mapInArrow(partial(_anchor_rows, segment=segment), ANCHOR), "anchors")]
-    marks.append(ranked(with_text(marks[0].where("part")).mapInArrow(partial(_block_rows, segment=segment), ANCHOR), "blocks"))
-    marks.append(ranked(with_text(marks[1].where("part")).mapInArrow(partial(_window_rows, segment=segment), ANCHOR), "windows"))
+    marks = [ranked(rows.select("doc", "tie", "text"), _anchor_rows, "anchors")]
+    marks.append(ranked(with_text(marks[0].where("part")), _block_rows, "blocks"))
+    marks.append(ranked(with_text(marks[1].where("part")), _window_rows, "windows"))
 
     cover = marks[0].unionByName(marks[1]).unionByName(marks[2]).where("not part").select("doc", "low", "span")
     cover = cover.groupBy("doc", tie.alias("tie")).agg(F.collect_list(F.struct("low", "span")).alias("cover"))  # of one text

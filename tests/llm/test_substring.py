@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from curbline.llm import doubling, substring
@@ -81,3 +82,44 @@ def test_prefix_doubling_of_every_position(spark, seed):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in doubling.remove_repeats(frame).collect())
     assert got == brute(rows)
     assert doubling.remove_repeats(frame.limit(0)).count() == 0
+
+
+def lined(n, line=73):
+    rng = np.random.default_rng(4)
+    shared = "".join(rng.choice(list("abcdefgh "), line))
+    text = lambda k: "".join(rng.choice(list("ijklmnop \n"), k))
+    return [(i, text(int(rng.integers(40, 200))) + shared + text(int(rng.integers(40, 200)))) for i in range(n)]
+
+
+def test_a_line_in_every_document_is_dealt_by_class():
+    rows = lined(600)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1].encode() for r in rows])], ["doc", "tie", "text"])
+    plain = next(substring._anchor_rows([batch])).to_pandas()
+    counts = plain["deal"].value_counts()
+    assert counts.iloc[0] > 500
+    split = next(substring._anchor_rows([batch], heavy=tuple(int(g) for g in counts[counts > 0.005 * len(plain)].index))).to_pandas()
+    assert len(split) == len(plain) and split["deal"].value_counts().iloc[0] < 0.01 * len(split)
+
+
+def test_heavy_ranks_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    monkeypatch.setattr(substring, "HEAVY", 10_000)
+    rows = lined(120) + [(1000 + i, t) for i, t in corpus(6) if i is not None] + [(2000 + i, t) for i, t in lined(30, 97)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = remove_repeats(frame)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == brute(rows)
+
+
+def test_alternating_runs_have_hashes_of_their_own():
+    """Thue-Morse runs cancel in a polynomial over bytes modulo a power of two."""
+    one = np.array([bin(i).count("1") % 2 for i in range(64)], np.uint8)
+    data = np.concatenate([97 + one, 98 - one])
+    a, b = substring.Block(data).hash(np.array([0, 64]), 64)
+    assert (a ^ b) & np.uint64(0xFFFFFFFF) and (a ^ b) >> np.uint64(32)
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdefghij"), 1_300_000))
+    got = remove_repeats(spark.createDataFrame([(1, text), (2, text[700_000:] + "end")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in got] == [(1_300_000, 0, 0), (600_003, 600_000, 1)]
