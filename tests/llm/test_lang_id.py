@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from curbline.llm import lang_id
 from curbline.llm.lang_id import CONTEXT, CORE, UNDETERMINED, fit, identify, keep_identified, train
 
 PARTS = {"xx": "ba ke lo mu ri".split(), "yy": "sch ung ein öt zur".split(), "zz": "çon née aux ois ê".split()}
@@ -95,3 +96,43 @@ def test_kept_rows_of_an_empty_table_and_clashing_names(spark):
     kept = keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.where("doc_id = 99").count() == 0 and kept.count() > 0
     assert keep_identified(docs.limit(0), model).count() == 0
+
+
+def plain_pass(model, text):
+    """Label probabilities pooled over the letters of a text, byte by byte in plain Python, the whole text at once."""
+    body = text.lower().encode()
+
+    def states(cell, data):
+        h, out = [0.0] * cell.u_cand.shape[0], []
+        for byte in data:
+            n = len(h)
+            gate = [min(1.0, max(0.0, float(cell.gates[byte, j]) + sum(h[i] * float(cell.u_gates[i, j]) for i in range(n)))) for j in range(2 * n)]
+            new = [min(1.0, max(-1.0, float(cell.cand[byte, j]) + gate[n + j] * sum(h[i] * float(cell.u_cand[i, j]) for i in range(n)))) for j in range(n)]
+            h = [new[j] + gate[j] * (h[j] - new[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    ahead, back = states(model.ahead, body), states(model.back, body[::-1])[::-1]
+    pooled = np.zeros(len(model.langs))
+    for byte, a, b in zip(body, ahead, back, strict=True):
+        if 97 <= byte <= 122 or byte >= 128:
+            logits = np.array(a) @ model.w_ahead + np.array(b) @ model.w_back + model.bias
+            e = np.exp(logits - logits.max())
+            pooled += e / e.sum()
+    return pooled / pooled.sum()
+
+
+def test_against_a_plain_pass_over_whole_texts():
+    rng = np.random.default_rng(12)
+    word = lambda letters: "".join(rng.choice(list(letters), int(rng.integers(2, 8))))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    alphabets = {"aa": "abcdef", "bb": "defghé", "cc": "ghijkß"}
+    model = lang_id.fit([text(a, 60) for a in alphabets.values() for _ in range(20)], [k for k in alphabets for _ in range(20)], steps=40)
+    short = [text(a, int(rng.integers(3, 60))) + " 12!" for a in [*alphabets.values()] * 3]
+    for t, (lang, score) in zip(short, model.documents(short), strict=True):  # one segment: the same numbers
+        p = plain_pass(model, t)
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 2e-4
+    long = [text(a, 260) for a in alphabets.values()]  # several segments, whose context stands for what lies further off
+    for t, (lang, score) in zip(long, model.documents(long), strict=True):
+        p = plain_pass(model, t)
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 0.02

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+from curbline.llm import queries
 from curbline.llm.secrets import MASK, Automaton, Scorer, candidates, redact, rule_spans, scan, train
 
 HEX40 = "0123456789abcdef0123456789abcdef01234567"
@@ -114,3 +115,15 @@ def test_every_token_of_the_labelled_alphabet_is_a_candidate():
 def test_ordinary_tokens_are_learnt_from_whole_texts(spark):
     docs = spark.createDataFrame([(1, " ".join(["the"] * 100 + ["ordinary-\u00e9-token"])), (2, f"token={HEX40}")], "doc_id long, text string")
     assert math.exp(train(docs).ordinary.log_likelihood("ordinary")) > math.exp(Automaton([]).log_likelihood("ordinary"))
+
+
+def test_query_finds_keyless_values(spark, tmp_path):
+    """The registered query over a table whose unlabelled values have no keyword: the spans come from the automata alone."""
+    rng = np.random.default_rng(6)
+    rows = [(5000 + i, t, "en", "s", 1) for i, t in rows_with_secrets()]  # ordinary words, of which there are most in any corpus
+    rows += [(i, f'note token = "{secret(rng)}" and {ORDINARY}', "en", "s", 1) for i in range(120)]
+    rows += [(1000 + i, f"{ORDINARY} {secret(rng)} {ORDINARY}", "en", "s", 1) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_secrets(spark, str(tmp_path)).collect()}
+    found = [got[i].spans == f"format:{len(ORDINARY) + 1}:{len(ORDINARY) + 29}" for i in range(1000, 1050)]
+    assert np.mean(found) >= 0.9 and all(got[i].n_assign == 1 and "format" not in got[i].spans for i in range(120))
