@@ -54,7 +54,8 @@ def interpolate_track(frames: DataFrame, fixes: DataFrame, by: str = "video_id",
     if short is not None:
         order = Window.partitionBy("_by").orderBy("_t", "_side")
         lo = F.last("_fix", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        hi = F.first("_fix", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        back = Window.partitionBy("_by").orderBy(F.desc("_t"), F.desc("_side"))  # a frame that runs to the end is scanned anew for every row
+        hi = F.last("_fix", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
         short = short.withColumn("_lo", lo).withColumn("_hi", hi)
     if long is not None:
         long = carried(long, ("_by",), ("_t", "_side"), "_fix", "_lo")

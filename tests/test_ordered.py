@@ -37,6 +37,14 @@ def test_best_after(rows):
     assert got == {r[2]: max(x[1] for x in ROWS if x[0] == r[0] and x[2] >= r[2]) for r in ROWS}
 
 
+def test_no_frame_runs_to_the_end(rows, spark):
+    """Spark scans such a frame anew for every row, which is quadratic in the rows of a range or a track."""
+    frames = rows.select(F.lit("v").alias("video_id"), F.col("id").cast("double").alias("ts_ms"))
+    fixes = frames.select("*", *(F.col("ts_ms").alias(c) for c in ("lat", "lon", "alt")))
+    made = [best_after(rows, ("g",), ("id",), "v", "m"), ordered.carried(rows, ("g",), ("id",), "v", "m", ahead=True, own=False), temporal.interpolate_track(frames, fixes)]
+    assert not [df for df in made if "unboundedfollowing" in df._jdf.queryExecution().toString().lower()]
+
+
 @pytest.mark.parametrize("share", [2, 1000])
 def test_join_uneven(spark, rows, share):
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
