@@ -8,7 +8,8 @@ Which blocks meet is decided by the pigeonhole principle: with the 64 bits cut i
 most r bits apart agree on at least m - r blocks, so each fingerprint is filed once under every choice of m - r
 blocks. That is exact for any m > r. Equal fingerprints are collapsed first; a bucket with more than
 TILE fingerprints is dealt into tiles and every pair of tiles is a task of its own, so no bucket meets in
-one task. A tile pair yields a spanning forest of its links, never all pairs.
+one task. A tile yields a spanning forest of its links and a pair of tiles what joins their forests, never all
+pairs. Only the few heavy keys are broadcast: joins with tables that grow are merge joins, whatever their size.
 """
 
 from __future__ import annotations
@@ -152,16 +153,36 @@ def pair_links(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tup
                 yield at + int(k), found
 
 
+def _united(label: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Those links between the positions left and right of values that join two labels; label is changed to what they make."""
+    edges = []
+    for k, found in pair_links(values[left], values[right], radius):
+        at, own = right[found], label[left[k]]
+        names, first = np.unique(label[at], return_index=True)
+        other = names != own
+        if other.any():
+            edges += [(int(left[k]), int(at[i])) for i in first[other]]
+            held = np.append(names[other], own)
+            label[np.isin(label, held)] = held.min()
+    return edges
+
+
 def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges (member, first member), as positions, of the links between the positions left and right of values."""
     label = np.arange(len(values))
-    for k, found in pair_links(values[left], values[right], radius):
-        held = np.unique(label[np.append(right[found], left[k])])
-        if len(held) > 1:
-            label[np.isin(label, held)] = held[0]
+    _united(label, values, left, right, radius)
     return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(values)))]
 
 
+def across(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges, as positions, that join what is linked within left and within right to one another. The links inside a side are left out: they come
+    out where the side meets itself. So two tiles of near copies give one edge, however many links there are between them."""
+    label = np.arange(len(values))
+    for side in (left, right):
+        _united(label, values, side, side, radius)
+    return _united(label, values, left, right, radius)
+
+
 def _small_links(values: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links, as positions, inside many small groups at once: lane k compares the k-th value with the one s places on."""
     for s in range(1, int(size.max(initial=1))):
@@ -176,10 +197,31 @@ def _small_links(values: np.ndarray, group: np.ndarray, size: np.ndarray, radius
 
 
 SMALL = 48
+#: Nodes that a task remembers at a time.
+KNOWN = 1 << 20
+
+
+def _joining(parent: dict[int, int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges join two trees of parent, which takes them up: a link that a task finds again under another key is not put out again."""
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x], x = root, up
+        return root
+
+    keep = np.zeros(len(a), bool)
+    for i, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(u), find(v)
+        if x != y:
+            parent[max(x, y)], keep[i] = min(x, y), True
+    return keep
 
 
 def _compare_sorted(radius: int):
-    def flush(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, nodes: np.ndarray, parent: dict[int, int]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(keys)])
         group, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
@@ -193,18 +235,21 @@ def _compare_sorted(radius: int):
                 own, own_side = values[at : at + n], sides[at : at + n]
                 left = np.arange(n) if same else np.flatnonzero(own_side == 0)
                 right = np.arange(n) if same else np.flatnonzero(own_side == 1)
-                if len(left) and len(right) and (edges := forest(own, left, right, radius)):
+                if len(left) and len(right) and (edges := (forest if same else across)(own, left, right, radius)):
                     pairs.append(at + np.array(edges).T)
         if pairs:
             a, b = nodes[np.concatenate(pairs, axis=1)]
-            keep = a != b
+            keep = _joining(parent, a, b)
+            if len(parent) > KNOWN:
+                parent.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        parent: dict[int, int] = {}
 
         def parts(data: np.ndarray) -> Iterator[pa.RecordBatch]:
-            return flush(data[:, :3], np.ascontiguousarray(data[:, 3]), data[:, 4], np.ascontiguousarray(data[:, 5]))
+            return flush(data[:, :3], np.ascontiguousarray(data[:, 3]), data[:, 4], np.ascontiguousarray(data[:, 5]), parent)
 
         for batch in batches:
             data = np.stack([np.asarray(c) for c in batch.columns], axis=1)
@@ -278,10 +323,10 @@ def _classes(own: DataFrame, radius: int) -> DataFrame:
     seeds = [c for c in own.columns if c.startswith("fp")]
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = cut(connected_components(links(own.select(*seeds).distinct(), radius)).withColumnRenamed("node", "fp"))
-    linked = cut(distinct.join(parts, "fp"))
+    linked = cut(distinct.join(parts.hint("merge"), "fp"))
     sizes = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = join_uneven(linked, sizes, "component", "members", max(1, linked.count()))
-    alone = distinct.join(parts, "fp", "left_anti").withColumn("root", F.col("fp")).withColumn("component_id", F.col("least"))
+    alone = distinct.join(parts.hint("merge"), "fp", "left_anti").withColumn("root", F.col("fp")).withColumn("component_id", F.col("least"))
     return named.withColumnRenamed("component", "root").select("fp", "n", "root", "component_id").unionByName(alone.select("fp", "n", "root", "component_id"))
 
 
@@ -309,13 +354,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     own = cut(fingerprints(docs, doc_id, text, hash_of, seeds))
     # one winner a fingerprint, then one a component: the rows of a common text never meet in one task
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other"))
-    firsts = own.groupBy("fp").agg(first.alias("first")).join(_classes(own, radius).select("fp", "root"), "fp")
+    firsts = own.groupBy("fp").agg(first.alias("first")).join(_classes(own, radius).select("fp", "root").hint("merge"), "fp")
     winners = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.other")
     where = lambda i, h: F.xxhash64(i.cast("long"), h)
     winners = winners.select(F.struct(F.col("doc_id").alias("id"), "other").alias("_won"), where(F.col("doc_id"), F.col("other")).alias("_at"))
     # the rows go by one key, so that they are dealt once, for the join and for their copies
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.struct(F.col(doc_id).cast("long").alias("id"), hash_of.alias("other")).alias("_own"))
     rows = rows.withColumn("_at", where(F.col("_own.id"), F.col("_own.other")))
-    met = rows.join(winners, "_at").where(F.col("_own.id").eqNullSafe(F.col("_won.id")) & (F.col("_own.other") == F.col("_won.other")))
+    met = rows.join(winners.hint("merge"), "_at").where(F.col("_own.id").eqNullSafe(F.col("_won.id")) & (F.col("_own.other") == F.col("_won.other")))
     same = Window.partitionBy("_at", "_own").orderBy("_at")
     return met.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select("_row.*")

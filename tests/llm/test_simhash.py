@@ -2,8 +2,10 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from curbline.llm.simhash import fingerprint, keep_one, near_duplicates, pair_links
+from curbline.llm.simhash import fingerprint, keep_one, links, near_duplicates, pair_links
+from curbline.operators.skew import join_uneven
 
 
 def plain_fingerprint(text, seed=0):
@@ -139,3 +141,28 @@ def test_hot_component(spark):
         rows.append((i, " ".join(own)))
     got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
+
+
+def test_tiles_of_near_copies_give_few_edges(spark):
+    """All values lie within four bits of one another: under a key, tiles meet in pairs, but only one edge a pair joins them."""
+    values = [(1 << a) | (1 << b) for a in range(24) for b in range(a)]
+    fps = spark.createDataFrame([(v,) for v in values], "fp long").coalesce(1)
+    edges = links(fps, blocks=6, tile=16).collect()
+    parent = {v: v for v in values}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in edges:
+        assert bin(a ^ b).count("1") <= 4
+        parent[find(a)] = find(b)
+    assert len({find(v) for v in values}) == 1
+    keys = 15  # choices of 4 blocks of 6
+    assert len(edges) < keys * (len(values) + (len(values) // 16 + 1) ** 2 / 2)
+
+
+def test_only_heavy_keys_are_broadcast(spark):
+    left = spark.range(2000).select(F.col("id") % 50, "id").toDF("key", "id")
+    right = left.groupBy("key").agg(F.count("*").alias("n"))
+    plan = join_uneven(left, right, "key", "n", 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan  # the rows of light keys, however small the table
