@@ -99,10 +99,15 @@ def class_budgets(spark: SparkSession, d: str) -> DataFrame:
     return sample.budgets_by_share(counts.join(F.broadcast(whole), F.lit(True)), "cls", F.col("n") / F.col("whole"), 77)
 
 
+#: Keys that may lie in one zip file: it is made in a task's memory.
+ZIP_KEYS = 100_000
+
+
 def archive_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Zip files written to the shared folder and read by ranges of their entries, several tasks an archive."""
+    """Zip files written to the shared folder, by the tasks that make them, and read by ranges of their entries, several tasks a file. An archive of
+    very many entries lies there as files of one name in several folders."""
     path = _scratch(spark, "zips")
-    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), (F.col("c_nationkey") % 3).alias("part"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), (F.col("c_nationkey") % 3).alias("part"), F.floor(F.col("c_custkey") / ZIP_KEYS).alias("shard"))
 
     def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
         held = io.BytesIO()
@@ -114,14 +119,15 @@ def archive_ranges(spark: SparkSession, d: str) -> DataFrame:
                 if k % 2 == 0:
                     z.writestr(f"images\\s{k}.JPG", "picture")
                 z.writestr(f"notes/s{k}.md", "no")
-        return pd.DataFrame({"name": [f"n{pdf['part'].iloc[0]}.zip"], "content": [held.getvalue()]})
-
-    made = rows.groupBy("part").applyInPandas(zipped, "name string, content binary")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in made.toLocalIterator():  # three archives, one at a time
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}"), True)
-        out.write(bytearray(r["content"]))
-        out.close()
+        fs, at = archives._open(f"{path}/{pdf['shard'].iloc[0]}")
+        fs.create_dir(at)
+        with fs.open_output_stream(f"{at}/n{pdf['part'].iloc[0]}.zip") as out:
+            out.write(held.getbuffer())
+        return pd.DataFrame({"entries": [len(z.namelist())]})
+
+    made = rows.groupBy("part", "shard").applyInPandas(zipped, "entries long").agg(F.sum("entries")).first()[0]
+    if not made:
+        archives._open(path)[0].create_dir(archives._open(path)[1])
     found = archives.read_archives(spark, path, range_bytes=2_000)
     return found.select("archive", "kind", "stem", F.col("content").cast("string").alias("content"))
 

@@ -2,6 +2,7 @@ import csv
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,34 @@ def test_reannotation_is_quoted(spark, tmp_path):
     sinks.write_csv(sinks.reannotation(rows, "v.mp4"), str(tmp_path / "out"), single=True)
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert list(csv.reader(io.StringIO(text))) == [list(sinks.REANNOTATION), ["1", "Curves", "1.5", "", 'a "b", c\nd', "v.mp4"]] and '"a ""b"", c\nd"' in text
+
+
+def test_a_range_reads_its_own_part_of_the_directory(spark, tmp_path, monkeypatch):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(300):
+            z.writestr(f"labels/s{k}.txt", f"{k}" * 20)
+    (tmp_path / "a.zip").write_bytes(b"before" + held.getvalue())  # an archive need not begin its file
+    reader = archives.ZipReader({"path": str(tmp_path), "rangebytes": "600"})
+    parts = reader.partitions()
+    seen = []
+    plain = zipfile.ZipFile.infolist
+    monkeypatch.setattr(zipfile.ZipFile, "infolist", lambda z: seen.append(len(plain(z))) or plain(z))
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(parts) > 20 and sum(seen) == 300  # before, every range read the whole directory
+    assert [(r[1], r[2], r[4]) for r in rows] == [(k, f"labels/s{k}.txt", f"{k}".encode() * 20) for k in range(300)]
+
+
+def test_entries_go_on_in_batches():
+    class Held:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):  # noqa: N802
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for k in range(1200):
+                    z.writestr(f"labels/s{k}.txt", "x")
+            return [len(x) for x in f(iter([pd.DataFrame({"path": ["a.zip"], "content": [held.getvalue()]})]))]
+
+    assert annotations.open_archives(Held()) == [500, 500, 200]
