@@ -96,12 +96,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_archives(archives: DataFrame) -> DataFrame:
-    """The same of archives (path, content) that are rows already. An archive is opened where it is, entry by entry; one of over 2 GB does not fit a row."""
+    """The same of archives (path, content) that are rows already. An archive is opened where it is, entry by entry, and entries go on by a few hundred or
+    a few MB; one of over 2 GB does not fit a row."""
+    names = ["archive", "kind", "stem", "content"]
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                seen = set()
+                seen, rows, held = set(), [], 0
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         base = info.filename.replace("\\", "/").rsplit("/", 1)[-1]
@@ -109,7 +111,13 @@ def open_archives(archives: DataFrame) -> DataFrame:
                         kind = "label" if ext.lower() == "txt" else "image" if ext.lower() in ("jpg", "jpeg", "png") else None
                         if kind and stem and base not in ("classes.txt", "notes.json") and (kind, stem) not in seen:
                             seen.add((kind, stem))
-                            yield pd.DataFrame({"archive": [name], "kind": [kind], "stem": [stem], "content": [z.read(info)]})
+                            rows.append((name, kind, stem, z.read(info)))
+                            held += info.file_size
+                            if len(rows) == 500 or held > 4 << 20:
+                                yield pd.DataFrame(rows, columns=names)
+                                rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return archives.select("path", "content").mapInPandas(entries, "archive string, kind string, stem string, content binary")
 
