@@ -30,16 +30,22 @@ class Repeats(StatefulProcessor):
         self.last = handle.getValueState("last", "last double")
 
     def _wake_at(self, rows: list[tuple[Any, ...]]) -> None:
-        for t in list(self.handle.listTimers()):
+        """Sets the timer to the earliest of rows, unless it is earlier already: the rows that wait are not read for it."""
+        if not rows:
+            return
+        at = self.schema.fieldNames().index(self.ts)
+        due, timers = int(pd.Timestamp(min(r[at] for r in rows)).timestamp() * 1000) + 1, list(self.handle.listTimers())
+        if timers and min(timers) <= due:
+            return
+        for t in timers:
             self.handle.deleteTimer(t)
-        if rows:
-            at = self.schema.fieldNames().index(self.ts)
-            self.handle.registerTimer(int(min(pd.Timestamp(r[at]).timestamp() for r in rows) * 1000) + 1)
+        self.handle.registerTimer(due)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            self.waiting.appendList([tuple(map(_plain, r)) for r in pdf.itertuples(index=False, name=None)])
-        self._wake_at(list(self.waiting.get()))
+            new = [tuple(map(_plain, r)) for r in pdf.itertuples(index=False, name=None)]
+            self.waiting.appendList(new)
+            self._wake_at(new)
         yield pd.DataFrame(columns=self.schema.fieldNames())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -58,6 +64,8 @@ class Repeats(StatefulProcessor):
         self.waiting.clear()
         if rest:
             self.waiting.put([tuple(r) for r in rest])
+        for t in list(self.handle.listTimers()):  # the one that has run out is among them
+            self.handle.deleteTimer(t)
         self._wake_at(rest)
         yield pd.DataFrame(kept, columns=names)
 
