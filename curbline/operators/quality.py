@@ -40,23 +40,44 @@ def preflight(splits: DataFrame, lines: DataFrame, stems: DataFrame, images: Dat
     (config, split, stem, broken) of the files listed, broken ones being links that lead nowhere. A configured split without images or labels fails, as do bad
     lines and broken links; files without their pair are warnings, which fail only if strict.
     """
+    key = ["config", "split", "stem"]
+    none = {"label": F.lit(0), "image": F.lit(0), "broken_label": F.lit(False), "broken_image": F.lit(False), "line": F.lit(False)}
+    fields = [f for f in lines.schema.fields if f.name in LINE]
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in fields}
+    files = lambda x, name: x.select(*key, *((F.lit(1) if k == name else F.col("broken") if k == f"broken_{name}" else v).alias(k) for k, v in (none | blank).items()))
+    listed = lines.select(*key, *((F.lit(True) if k == "line" else v).alias(k) for k, v in none.items()), *(f.name for f in fields))
+    return preflight_listed(splits, listed.unionByName(files(stems, "label")).unionByName(files(images, "image")), strict)
+
+
+#: What a label file's line has.
+LINE = ("n_fields", "class_text", "cx", "cy", "w", "h")
+
+
+def preflight_listed(splits: DataFrame, listed: DataFrame, strict: bool = False, once: bool = False) -> DataFrame:
+    """preflight of one listing, in one pass: rows (config, split, stem, label, image, broken_label, broken_image, line and the fields of a line) say of a stem that so
+    many label files and images of it are listed and that there is a line; with once a stem's files are listed by any number of its rows and count once.
+
+    Stems are grouped once; configured splits, a row each, are broadcast.
+    """
     by = ["config", "split"]
-    cls, five, outside = F.col("class_text").try_cast("int"), F.col("n_fields") == 5, F.lit(False)
+    cls, five, outside = F.col("class_text").try_cast("int"), F.col("line") & (F.col("n_fields") == 5), F.lit(False)
     for c in ("cx", "cy", "w", "h"):
         outside |= F.coalesce(~F.col(c).between(0, 1), F.lit(True))
-    j = lines.join(splits, by)
     bad = cls.isNull() | ~cls.between(0, F.col("nc") - 1)
-    seen = j.groupBy(*by).agg(
-        F.count_if(five).alias("boxes"), F.count_if(~five).alias("bad_fields"), F.count_if(five & bad).alias("bad_class"),
+    fold = F.max if once else F.sum
+    broken = lambda n: fold(F.when(F.col(f"broken_{n}") & (F.col(n) > 0), 1).otherwise(0))
+    stems = listed.join(F.broadcast(splits.select(*by, "nc").distinct()), by).groupBy(*by, "stem").agg(
+        fold("label").alias("label"), fold("image").alias("image"), broken("label").alias("broken_label"), broken("image").alias("broken_image"), F.count_if("line").alias("n_lines"),
+        F.count_if(five).alias("boxes"), F.count_if(F.col("line") & (F.col("n_fields") != 5)).alias("bad_fields"), F.count_if(five & bad).alias("bad_class"),
         F.coalesce(F.max(F.when(five & bad, cls)), F.lit(-1)).alias("worst_class"), F.count_if(five & cls.isNotNull() & outside).alias("bad_coordinates"),
     )
-    files = lambda x, name: x.groupBy(*by).agg(F.count("*").alias(f"n_{name}"), F.count_if("broken").alias(f"broken_{name}"))
-    alone = stems.select(*by, "stem").distinct().withColumn("a", F.lit(1)).join(images.select(*by, "stem").distinct().withColumn("b", F.lit(1)), [*by, "stem"], "full_outer")
-    alone = alone.groupBy(*by).agg(F.count_if(F.col("b").isNull()).alias("labels_alone"), F.count_if(F.col("a").isNull()).alias("images_alone"))
-    empty = stems.join(lines.select(*by, "stem").distinct(), [*by, "stem"], "left_anti").groupBy(*by).agg(F.count("*").alias("empty_labels"))
-    out = splits
-    for part in (files(images, "images"), files(stems, "labels"), seen, empty, alone):
-        out = out.join(part, by, "left")
+    # a file without a stem has no partner and no lines
+    alone = lambda a, b: F.count_if((F.col(a) > 0) & ((F.col(b) == 0) | F.col("stem").isNull()))
+    empty = F.sum(F.when((F.col("n_lines") == 0) | F.col("stem").isNull(), F.col("label")).otherwise(0))
+    totals = {"n_images": F.sum("image"), "broken_images": F.sum("broken_image"), "n_labels": F.sum("label"), "broken_labels": F.sum("broken_label")}
+    totals |= {c: F.sum(c) for c in ("boxes", "bad_fields", "bad_class")} | {"worst_class": F.max("worst_class"), "bad_coordinates": F.sum("bad_coordinates")}
+    totals |= {"empty_labels": empty, "labels_alone": alone("label", "image"), "images_alone": alone("image", "label")}
+    out = splits.join(stems.groupBy(*by).agg(*(v.alias(k) for k, v in totals.items())), by, "left")
     out = out.withColumn("worst_class", F.coalesce("worst_class", F.lit(-1))).na.fill(0)
     errors = (F.col("n_images") == 0) | (F.col("n_labels") == 0) | (F.col("broken_images") + F.col("broken_labels") + F.col("bad_fields") + F.col("bad_class") + F.col("bad_coordinates") > 0)
     warned = F.col("labels_alone") + F.col("images_alone") > 0

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,21 @@ def test_preflight_links_and_strictness(spark):
     assert {r.split: r.status for r in quality.preflight(splits, lines, stems, images, strict=True).collect()} == {"train": "FAIL", "val": "FAIL"}
 
 
+def test_preflight_groups_stems_once(spark):
+    splits = spark.createDataFrame([("c", "train", 2), ("c", "val", 2)], "config string, split string, nc int")
+    line = ("c", "train", "a", 5, "1", 0.5, 0.5, 0.1, 0.1)
+    lines = spark.createDataFrame([line, (*line[:3], 4, *line[4:]), ("d", *line[1:])], "config string, split string, stem string, n_fields int, class_text string, cx double, cy double, w double, h double")
+    stems = spark.createDataFrame([("c", "train", x, None) for x in ("a", "b", "b", None)] + [("d", "train", "z", True)], "config string, split string, stem string, broken boolean")
+    images = spark.createDataFrame([("c", "train", x, x == "y") for x in ("a", "y", "y", None)], stems.schema)
+    report = quality.preflight(splits, lines, stems, images)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    got = {r.split: r for r in report.collect()}
+    t = got["train"]
+    assert (t.n_images, t.broken_images, t.n_labels, t.broken_labels, t.boxes, t.bad_fields, t.bad_class, t.worst_class) == (4, 2, 4, 0, 1, 1, 0, -1)
+    assert (t.empty_labels, t.labels_alone, t.images_alone, t.status, got["val"].status, len(got)) == (3, 2, 2, "FAIL", "FAIL", 2)
+    assert len(re.findall(r"Exchange hashpartitioning\(config#\d+, split#\d+, stem#", plan)) == 1
+
+
 def long_video(spark, n=4000):
     """One video with nine tenths of the rows."""
     rng = random.Random(3)
