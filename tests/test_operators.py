@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from curbline.functions import box as B
 from curbline.functions import classify, geo
 from curbline.functions import text as T
-from curbline.operators import clusters, curate, evaluate, quality, reconcile, review, sample, temporal
-from curbline.operators.components import connected_components
+from curbline.operators import clusters, components, curate, evaluate, quality, reconcile, review, sample, temporal
+from curbline.operators.components import _part_forests, components_by_parts, connected_components
 
 
 def one(spark, **columns):
@@ -187,3 +188,48 @@ def test_review_cases(spark):
     out = {r.cluster_id: r for r in review.apply_reviews(c, state).collect()}
     assert set(out) == {1, 2, 4} and not out[1].needs_review and (out[2].sign_class, out[2].original_class, out[2].corrected) == ("X", "Old", True) and out[4].review_reason == "why"
     assert review.mark_reviewed(c, 4).where("needs_review").count() == 3
+
+
+def test_components_by_parts_are_components(spark):
+    rng = np.random.default_rng(5)
+    part = rng.integers(0, 6, 300)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if part[a] == part[b] or rng.random() < 0.2]
+    rows = spark.createDataFrame([(a, b, int(part[a]), int(part[b])) for a, b in edges], "a long, b long, pa long, pb long")
+    want = sorted(map(tuple, connected_components(rows).collect()))
+    for most in (1_000_000, 5, 0):
+        assert sorted(map(tuple, components_by_parts(rows, "a", "b", "pa", "pb", most=most).collect())) == want
+    inside = [(a, b) for a, b in edges if part[a] == part[b]]
+    rows = rows.where("pa = pb")
+    assert sorted(map(tuple, components_by_parts(rows, "a", "b", "pa", "pb").collect())) == sorted(map(tuple, connected_components(rows).collect())) and len(inside) > 20
+    assert components_by_parts(rows.limit(0), "a", "b", "pa", "pb").count() == 0
+
+
+def test_part_forests_over_batches():
+    rows = pd.DataFrame([(1, 1, 2, False), (1, 3, 2, False), (1, 4, 5, False), (2, 10, 11, False), (2, 11, 20, True), (3, 20, 11, True), (3, 21, 22, False)], columns=["p", "u", "v", "crosses"])
+    for size in (1, 2, 7):
+        got = pd.concat(list(_part_forests((rows[i : i + size] for i in range(0, 7, size)), 100)))
+        stars = {(u, v) for u, v, o in got.itertuples(index=False) if not o}
+        assert stars == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (21, 21), (22, 21)}
+        assert {(u, v) for u, v, o in got.itertuples(index=False) if o} == {(11, 10), (11, 20), (20, 11)}
+
+
+def test_graphs_of_videos_need_no_rounds(spark, monkeypatch):
+    def rounds(edges, *_, **__):
+        raise AssertionError(f"{edges.count()} edges of single videos go on in rounds")
+
+    monkeypatch.setattr(components, "connected_components", rounds)
+    monkeypatch.setattr(clusters, "connected_components", rounds)
+    d = _dets(spark, [(1, "A", 0.9, 0), (1, "A", 0.9, 14), (2, "A", 0.9, 0), (2, "A", 0.9, 18), (3, "A", 0.9, 0), (3, "B", 0.9, 18)])
+    assert [r.cluster for r in clusters.merge_close(clusters.dbscan(d)).orderBy("det_idx").collect()] == [0, 0, 2, 2, 4, 5]
+
+
+def test_clusters_reach_over_squares(spark):
+    steps = [(1, "A", 0.9, 14 * i) for i in range(300)] + [(1, "A", 0.9, 14 * 300 + 2)] + [(2, "A", 0.9, 14 * i) for i in range(5)]
+    got = [r.component for r in clusters.dbscan(_dets(spark, steps)).orderBy("det_idx").collect()]
+    assert got == [0] * 300 + [300] + [301] * 5
+
+
+def test_members_of_clusters_are_shuffled_once(spark):
+    d = _dets(spark, [(1, "A", 0.9, 0), (1, "B", 0.8, 1)]).withColumn("c", F.col("det_idx") % 2)
+    plan = clusters.aggregate_clusters(d, "c")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
