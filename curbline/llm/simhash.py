@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 from curbline.operators.components import connected_components
 from curbline.operators.skew import join_uneven
-from curbline.plans.session import cut
+from curbline.plans.session import cut, in_few_files
 
 SEED = 42
 RADIUS = 4
@@ -318,12 +318,12 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile:
     return dealt.mapInArrow(_compare_sorted(radius), "a long, b long")
 
 
-def _classes(own: DataFrame, radius: int) -> DataFrame:
-    """(fp, n, root, component_id) of the distinct fingerprints of own (doc_id, fp, ...): n is the number of rows of the fingerprint."""
+def _classes(own: DataFrame, radius: int, rows: int) -> DataFrame:
+    """(fp, n, root, component_id) of the distinct fingerprints of own (doc_id, fp, ...), which has so many rows: n is the number of rows of the fingerprint."""
     seeds = [c for c in own.columns if c.startswith("fp")]
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    parts = cut(connected_components(links(own.select(*seeds).distinct(), radius)).withColumnRenamed("node", "fp"))
-    linked = cut(distinct.join(parts.hint("merge"), "fp"))
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), rows)
+    parts = cut(connected_components(links(own.select(*seeds).distinct(), radius), rows=rows).withColumnRenamed("node", "fp"), rows)
+    linked = cut(distinct.join(parts.hint("merge"), "fp"), rows)
     sizes = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = join_uneven(linked, sizes, "component", "members", max(1, linked.count()))
     alone = distinct.join(parts.hint("merge"), "fp", "left_anti").withColumn("root", F.col("fp")).withColumn("component_id", F.col("least"))
@@ -338,8 +338,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result; further columns are not looked at.
     """
     own = cut(fingerprints(docs, doc_id, text))
-    classes = cut(_classes(own, radius).select("fp", "n", "component_id"))
-    named = join_uneven(own, classes, "fp", "n", max(1, own.count()))
+    rows = own.count()
+    classes = cut(_classes(own, radius, rows).select("fp", "n", "component_id"), rows)
+    named = in_few_files(join_uneven(own, classes, "fp", "n", max(1, rows)), rows)
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -354,7 +355,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     own = cut(fingerprints(docs, doc_id, text, hash_of, seeds))
     # one winner a fingerprint, then one a component: the rows of a common text never meet in one task
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "other"))
-    firsts = own.groupBy("fp").agg(first.alias("first")).join(_classes(own, radius).select("fp", "root").hint("merge"), "fp")
+    firsts = own.groupBy("fp").agg(first.alias("first")).join(_classes(own, radius, own.count()).select("fp", "root").hint("merge"), "fp")
     winners = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.other")
     where = lambda i, h: F.xxhash64(i.cast("long"), h)
     winners = winners.select(F.struct(F.col("doc_id").alias("id"), "other").alias("_won"), where(F.col("doc_id"), F.col("other")).alias("_at"))

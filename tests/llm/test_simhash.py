@@ -166,3 +166,36 @@ def test_only_heavy_keys_are_broadcast(spark):
     right = left.groupBy("key").agg(F.count("*").alias("n"))
     plan = join_uneven(left, right, "key", "n", 2000)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan  # the rows of light keys, however small the table
+
+
+def test_small_tables_are_kept_in_few_files(spark, monkeypatch):
+    """Many shuffle partitions that Spark leaves as they are: each would be a file of every checkpoint, and of the result."""
+    from curbline.llm import simhash
+    from curbline.operators import components
+
+    parts = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", lambda *a, f=module.cut: (parts.append((out := f(*a)).rdd.getNumPartitions()), out)[1])
+    rows = [(i, f"common words of text {i % 40} and some more of {i % 7}") for i in range(120)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        parts.append(found.rdd.getNumPartitions())
+        got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in found.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    assert len(parts) > 5 and max(parts) <= spark.sparkContext.defaultParallelism
+
+
+def test_many_rows_keep_their_partitions(spark, monkeypatch):
+    from curbline.plans import session
+
+    monkeypatch.setattr(session, "FILE_ROWS", 10)
+    assert session.cut(spark.range(200).repartition(16), 200).rdd.getNumPartitions() == 16
+    assert session.cut(spark.range(200).repartition(16)).rdd.getNumPartitions() == 16
+    assert session.cut(spark.range(200).repartition(16), 60).rdd.getNumPartitions() == 6
